@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sharding
+from . import line_dedup, mixing, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_mixing": mixing.op3_mixing,
+    "op4_simhash": simhash.op4_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 SQL = {

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sharding, simhash, token_store
+from . import language_id, line_dedup, mixing, sharding, simhash, token_store
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_mixing": mixing.op3_mixing,
     "op4_simhash": simhash.op4_simhash,
     "op6_token_store": token_store.op6_token_store,
+    "op7_language_id": language_id.op7_language_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 SQL = {

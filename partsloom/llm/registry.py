@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, mixing, sharding, simhash, token_store
+from . import decontaminate, language_id, line_dedup, mixing, sharding, simhash, token_store
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op6_token_store": token_store.op6_token_store,
     "op7_language_id": language_id.op7_language_id,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 SQL = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, mixing, sharding, simhash, token_store
+from . import decontaminate, language_id, line_dedup, lm_scoring, mixing, sharding, simhash, token_store
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 SQL = {
     "op1_sharding": sharding.SQL,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, lm_scoring, mixing, sharding, simhash, token_store
+from . import decontaminate, impact_search, language_id, line_dedup, lm_scoring, mixing, sharding, simhash, token_store
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op3_mixing": mixing.op3_mixing,
     "op4_simhash": simhash.op4_simhash,
+    "op5_impact_search": impact_search.op5_impact_search,
     "op6_token_store": token_store.op6_token_store,
     "op7_language_id": language_id.op7_language_id,
     "op8_decontaminate": decontaminate.op8_decontaminate,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 SQL = {
     "op1_sharding": sharding.SQL,
+    "op5_impact_search": impact_search.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }

@@ -7,6 +7,7 @@ batches, so both ends hold a few tens of MB at any input size.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, kept
+from .common import col, shared_dir
 
 BATCH_BYTES = 8_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -30,7 +31,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(batch, ids, sizes, blob): whole texts (null: empty) in batches of about batch_bytes, in the order of the scan, nothing shuffled. A longer text is a batch of its own or ends one."""
+    """(batch, ids, sizes, blob): whole texts (null: empty) in batches of about batch_bytes, in the order of the scan, nothing shuffled. A longer text is a batch of its own or ends one.
+
+    The batches are written as a table bucketed by batch, so that joins with what comes back to a batch don't shuffle texts.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seq, ids, texts, total = TaskContext.get().partitionId(), 0, [], [], 0
@@ -51,7 +55,10 @@ def pack(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int = BATCH_B
             yield row()
 
     src = docs.select(col(id_col).cast("bigint").alias("i"), col(id_col).isNull().alias("none"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("t"))
-    return kept(src.mapInPandas(run, "batch long, ids array<bigint>, sizes binary, blob binary"), "packed")
+    spark = docs.sparkSession
+    out, name = src.mapInPandas(run, "batch long, ids array<bigint>, sizes binary, blob binary"), f"packed_{uuid.uuid4().hex}"
+    out.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "batch").sortBy("batch").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def unpack(sizes: bytes, blob: bytes) -> tuple[bytes, np.ndarray]:

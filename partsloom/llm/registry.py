@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, impact_search, language_id, line_dedup, lm_scoring, mixing, sharding, simhash, token_store
+from . import decontaminate, impact_search, language_id, line_dedup, lm_scoring, mixing, sharding, simhash, substring_dedup, token_store
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_simhash": simhash.op4_simhash,
     "op5_impact_search": impact_search.op5_impact_search,

@@ -1,4 +1,69 @@
-"""Corpus pipeline; stages follow."""
-STAGES = []
+"""Corpus pipeline: documents with a language, one of each group of near copies, none that gives the benchmark away, mixed and sharded.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the last return the
+columns of documents; a document that the mix takes twice then stands there twice.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from partsloom.llm import decontaminate, language_id, mixing, sharding, simhash
+from partsloom.llm.common import kept, table, with_columns
+
+#: A prediction of less score is no language. Whatever has a word of a learned language scores more.
+LEAST_SCORE = 0.25
+#: Near copies: five-word shingles; a similarity of 0.8 differs in about 10 of 64 bits on average, 0.9 in about 7.
+SHINGLE, DISTANCE, BLOCKS = 5, 8, 11
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a language is recognised. Learns from the labelled rows of all documents outside the held-out fold."""
+    train = table(spark, sf_dir, "documents")
+    model = language_id.train(train.where(~language_id.held_out(F.col("doc_id"))), "doc_id", "text", "lang")
+    if not model.langs:  # nothing to learn from: nothing to reject on
+        return docs
+    found = language_id.predict(docs, "text", model)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: that of the smallest id. Of repeated rows one stays; rows without an id can't be told apart and stay."""
+    label = simhash.near_duplicates(docs, shingle=SHINGLE, distance=DISTANCE, blocks=BLOCKS)
+    first = label.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("first_id")).distinct()
+    one = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    numbered = one.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return numbered.unionByName(one.where("doc_id is null"))
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage that gives a benchmark item away; a document without an id goes by a hash of its text."""
+    keyed = with_columns(docs, {"_pl_key": F.coalesce(F.col("doc_id"), F.xxhash64("text"))})
+    hit = kept(decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_pl_key"), "leaks")
+    return keyed.join(hit.select(F.col("doc_id").alias("_pl_key")).distinct(), "_pl_key", "left_anti").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    counts = mixing.mix(docs, mixing.word_count(F.col("text")))
+    return counts.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))).alias("nth"), "copies").where("nth <= copies").select(*docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All columns and the shard that each document's id names; copies stay together."""
+    return sharding.assign_shards(docs, ["doc_id"], [f"shard-{i}" for i in range(sharding.SHARDS)])
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("decontaminate", clean_of_benchmark), ("mix", mixed), ("shard", sharded)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = kept(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
+
+
+#: Kernels, fingerprints and Newton's method are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError

@@ -116,15 +116,19 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> Dat
         raise ValueError("there must be more blocks than differing bits")
     cut = [round(64 * i / blocks) for i in range(blocks + 1)]
     width = [b - a for a, b in zip(cut, cut[1:], strict=False)]
-    keys = []
-    for n, chosen in enumerate(combinations(range(blocks), blocks - distance)):
-        key, at = F.lit(n).cast("bigint"), 0
-        for i in chosen:
-            part = F.shiftrightunsigned("fp", cut[i]).bitwiseAND(F.lit((1 << width[i]) - 1))
-            key, at = F.shiftleft(key, width[i]).bitwiseOR(part), at + width[i]
-        if at + n.bit_length() > 63:
-            raise ValueError("too few differing bits for these blocks: a bucket's key has over 63 bits")
-        keys.append(key)
+    choices = list(combinations(range(blocks), blocks - distance))
+    if max(sum(width[i] for i in c) for c in choices) + len(choices).bit_length() > 63:
+        raise ValueError("too few differing bits for these blocks: a bucket's key has over 63 bits")
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            f = b["fp"].to_numpy(np.int64).view(np.uint64)
+            part = [(f >> np.uint64(c)) & np.uint64((1 << w) - 1) for c, w in zip(cut, width, strict=False)]
+            for n, chosen in enumerate(choices):
+                key = np.full(len(f), n, np.uint64)
+                for i in chosen:
+                    key = (key << np.uint64(width[i])) | part[i]
+                yield pd.DataFrame({"fp": b["fp"], "key": key.view(np.int64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest_k, rest_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -146,11 +150,11 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> Dat
         pairs = np.array(more, np.uint64).reshape(-1, 2)
         return pd.DataFrame({"a": np.r_[a, pairs[:, 0]].view(np.int64), "b": np.r_[b, pairs[:, 1]].view(np.int64)})
 
-    dealt = fps.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key")
+    dealt = fps.select("fp").distinct().mapInPandas(deal, "fp long, key long").repartition("key").sortWithinPartitions("key")
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs; other columns are not read.
 
     component_id is the smallest id among documents reachable over fingerprints at distance or less; ids that are
@@ -162,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = kept(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     each = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comp = connected_components(kept(links(fps, distance), "simhash-links"))
+    comp = connected_components(kept(links(fps, distance, blocks), "simhash-links"))
     named = each.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     label = kept(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "simhash-label")

@@ -22,9 +22,9 @@ END_ID = 1
 #: Ids a file holds before the next one is begun; a longer document has a file of its own.
 FILE_IDS = 16_000_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 #: Words looked up at a time.
-CHUNK = 500_000
+CHUNK = 200_000
 MAGIC = b"PLTOK1\0\0"
 #: One position is kept for so many documents.
 SAMPLE = 256
@@ -105,30 +105,36 @@ class WordEncoder:
 
     def reset(self) -> None:
         self.known = {b" ": 0}  # no word; stands for the end of a text
-        self.offset, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.flat = np.array([END_ID], np.uint32)
+        self.offset, self.size, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.size[0], self.flat[0], self.used = 1, END_ID, 1
 
     def learn(self, words: list[bytes]) -> None:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         ids = [e.ids for e in encode([w.decode() for w in words], add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
-        self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.array([x for y in ids for x in y], np.uint32)])
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        """The ids of words, one after the other; b" " gives the end id."""
+        n, m = len(self.known), int(size.sum())
+        if n + len(words) > len(self.size):
+            self.offset, self.size = (np.resize(a, 2 * (n + len(words))) for a in (self.offset, self.size))
+        if self.used + m > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + m))
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.size[n : n + len(words)] = size
+        self.offset[n : n + len(words)] = self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + m] = np.fromiter((x for y in ids for x in y), np.uint32, m)
+        self.used += m
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and where texts end in them; the word b" " gives the end id."""
         if len(self.known) > CACHE_WORDS:
             self.reset()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
+        miss = np.flatnonzero(at < 0).tolist()
+        if miss:
             self.learn(list(dict.fromkeys(words[i] for i in miss)))
             at[miss] = [self.known[words[i]] for i in miss]
         size = self.size[at]
-        begin = np.cumsum(size) - size
-        return self.flat[np.repeat(self.offset[at] - begin, size) + np.arange(size.sum())]
+        end = np.cumsum(size)
+        return self.flat[np.repeat(self.offset[at] - end + size, size) + np.arange(end[-1] if len(end) else 0)], end[at == 0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -187,22 +193,25 @@ def write_tokens(docs: DataFrame, id_col: str, text_col: str, folder: str, token
             doc_ids, missing, ends, ids, total, seq = [], [], [], [], 0, seq + 1
             return row
 
-        def take(words: list[bytes]) -> None:
-            nonlocal total
-            ids.append(enc.encode(words).astype(f"<u{enc.width}"))
-            total += len(ids[-1])
+        def take() -> None:
+            nonlocal total, words
+            now, end = enc.encode(words)
+            ids.append(now.astype(f"<u{enc.width}"))
+            ends.extend((end + total).tolist())
+            total, words = total + len(now), []
 
+        words: list[bytes] = []
         for b in batches:
             for i, none, t in zip(b["id"].fillna(0).astype("int64").tolist(), b["none"].tolist(), b["t"].tolist(), strict=True):
                 doc_ids.append(i)
                 missing.append(none)
-                words = t.encode("utf-8", "replace").split()
+                words += t.encode("utf-8", "replace").split()
                 words.append(b" ")
-                for k in range(0, len(words), CHUNK):
-                    take(words[k : k + CHUNK])
-                ends.append(total)
-                if total >= FILE_IDS:
-                    yield flush()
+                if len(words) >= CHUNK:
+                    take()
+                    if total >= FILE_IDS:
+                        yield flush()
+        take()
         if doc_ids:
             yield flush()
 

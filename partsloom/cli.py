@@ -40,8 +40,8 @@ def parser() -> Lenient:
     for name in ("factorize", "convert"):
         c = sub.add_parser(name)
         c.add_argument("path")
-        c.add_argument("-b", type=binary_form, default="text", dest="source", help="binary input: 0 portable, above native")
-        c.add_argument("-e", type=binary_form, default="text", dest="target", help="binary output, alike")
+        c.add_argument("-b", type=binary_form, dest="source", help="binary input: 0 portable, above native")
+        c.add_argument("-e", type=binary_form, dest="target", help="binary output, alike")
         c.add_argument("-c", action="store_true", dest="numeric_headers", help="column headers are numbers")
         c.add_argument("-r", action="store_true", dest="numeric_labels", help="row labels are numbers")
         if name == "factorize":
@@ -55,7 +55,7 @@ def parser() -> Lenient:
     g.add_argument("path")
     g.add_argument("rows", type=positive)
     g.add_argument("cols", type=positive)
-    g.add_argument("-e", type=binary_form, default="text", dest="target")
+    g.add_argument("-e", type=binary_form, dest="target")
     g.add_argument("most", type=float, nargs="?", default=1.0)
     g.add_argument("--seed", type=int)
     return p
@@ -63,6 +63,7 @@ def parser() -> Lenient:
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse(args)
+    a.source, a.target = getattr(a, "source", None) or "text", a.target or "text"
     spark = spark or SparkSession.builder.appName("partsloom").getOrCreate()
     if a.command == "generate":
         write_matrix(generate(spark, a.rows, a.cols, a.most, a.seed), a.path, a.target)

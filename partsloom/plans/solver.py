@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import R_MIN
 from ..model import Matrix
 from ..operators.start import FACTOR, PRIME, new_seed
+from ..session import checkpoint_dir
 from ..sources.validate import check_rank
 
 #: Cells of V up to which one task solves all, and cells of a block.
@@ -155,8 +156,7 @@ def _in_one_task(m: Matrix, o: Options, seed: int) -> Result:
 
 
 def _folder(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{where or 'file:///tmp/checkpoints/partsloom'}/factors-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/factors-{uuid.uuid4().hex}"
 
 
 def _by_blocks(m: Matrix, o: Options, seed: int) -> Result:

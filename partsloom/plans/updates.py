@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ieee_divide
 from ..operators.matrix import at_cells, multiply_divide, reduce_to_row
+from ..session import checkpointed
 
 
 def _numerators(v: DataFrame, w: DataFrame, h: DataFrame, key: str, other: str) -> DataFrame:
@@ -31,6 +32,6 @@ def update_w(v: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
 def iterate(v: DataFrame, w: DataFrame, h: DataFrame, times: int) -> tuple[DataFrame, DataFrame]:
     """times rounds of H, then W with the new H; each is checkpointed, else plans would double with every step."""
     for _ in range(times):
-        h = update_h(v, w, h).checkpoint()
-        w = update_w(v, w, h).checkpoint()
+        h = checkpointed(update_h(v, w, h))
+        w = checkpointed(update_w(v, w, h))
     return w, h

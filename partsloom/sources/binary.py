@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Matrix, MatrixError
+from ..session import checkpointed
 from .validate import validate
 
 # Fixed values of the format: signatures of real and of integer matrices.
@@ -104,7 +105,7 @@ def write_binary(m: Matrix, path: str, native: bool = False, real: str = "<f4",
         if not native:
             f.write(signature.to_bytes(4, "little"))
         f.write(np.array([m.n_rows, m.n_cols], index).tobytes())
-        for r in m.dense_rows().orderBy("i").toLocalIterator():
+        for r in checkpointed(m.dense_rows().orderBy("i")).toLocalIterator():
             f.write(np.array(r["row"]).astype(real).tobytes())
         if m.tagged:
             f.write("\n".join([line(m.row_tags, "i", "label", m.n_rows), line(m.col_tags, "j", "header", m.n_cols), m.name or ""]).encode() + b"\n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..model import Matrix
+from ..session import checkpointed
 
 
 def dense_index(keys: DataFrame, key: str, out: str) -> DataFrame:
@@ -16,7 +17,7 @@ def dense_index(keys: DataFrame, key: str, out: str) -> DataFrame:
     each. Checkpointed, as the numbers of a partition must not change between the two passes.
     """
     s = keys.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key).sortWithinPartitions(key)
-    s = s.select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")).checkpoint()
+    s = checkpointed(s.select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")))
     counts = s.groupBy("p").agg(F.count("*").alias("n"), F.min("m").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return s.join(F.broadcast(counts.select("p", "first", before.alias("base"))), "p").select(key, (F.col("base") + F.col("m") - F.col("first")).alias(out))

@@ -76,7 +76,7 @@ def validate_cells(spark, sf):
 def empty_rows_cols(spark, sf):
     m = _months(spark, sf)
     some = m.cells.where("(i + j) % 7 > 0 AND i % 11 > 0 AND j % 13 > 0")
-    rows = validate.empty_lines(some, "i", m.n_rows).select(F.lit("row").alias("what"), F.col("i").alias("at"))
+    rows = validate.empty_lines(some, "i", m.n_rows).select(F.lit("row").alias("what"), F.col("i").alias("idx"))
     return rows.union(validate.empty_lines(some, "j", m.n_cols).select(F.lit("column"), F.col("j")))
 
 
@@ -282,7 +282,7 @@ SQL = {
     "row_sums": _sql("SELECT i, round(sum(v), 6) AS s FROM V GROUP BY i", _MONTHS),
     "col_sums": _sql("SELECT j, round(sum(v), 6) AS s FROM V GROUP BY j", _MONTHS),
     "validate_cells": "SELECT i, j, round(v, 6) AS v FROM (SELECT vec_id AS i, (generate_subscripts(embedding, 1) - 1)::INT AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) WHERE v < 0 OR (v > 0 AND v < 2.2250738585072014e-308::DOUBLE) OR NOT isfinite(v)",
-    "empty_rows_cols": _sql("SELECT 'row' AS what, i AS at FROM ri WHERE i NOT IN (SELECT i FROM V WHERE (i + j) % 7 > 0 AND i % 11 > 0 AND j % 13 > 0) UNION ALL SELECT 'column', j FROM ci WHERE j NOT IN (SELECT j FROM V WHERE (i + j) % 7 > 0 AND i % 11 > 0 AND j % 13 > 0)", _MONTHS),
+    "empty_rows_cols": _sql("SELECT 'row' AS what, i AS idx FROM ri WHERE i NOT IN (SELECT i FROM V WHERE (i + j) % 7 > 0 AND i % 11 > 0 AND j % 13 > 0) UNION ALL SELECT 'column', j FROM ci WHERE j NOT IN (SELECT j FROM V WHERE (i + j) % 7 > 0 AND i % 11 > 0 AND j % 13 > 0)", _MONTHS),
     "transpose": _sql("SELECT j::BIGINT AS i, i::INT AS j, round(v, 6) AS v FROM V"),
     "combine_columns": _sql("SELECT i, j, v FROM V UNION ALL SELECT i, (j + (SELECT count(*) FROM ci))::INT, v * 2 FROM V"),
     "dense_rows": _sql("SELECT ri.i, ci.j::INT AS j, coalesce(v, 0) AS v FROM ri CROSS JOIN ci LEFT JOIN V ON V.i = ri.i AND V.j = ci.j", _MONTHS),

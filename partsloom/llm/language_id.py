@@ -108,13 +108,16 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
-    """Fits on TRAIN_PER_LANG labelled rows of each language at most, those of least hash of id and text length.
+    """Fits on TRAIN_PER_LANG different labelled rows of each language at most, those of least hash of id and text.
 
-    Of those rows the driver receives languages and distinct n-grams, of which a text has CODES at most.
+    They are chosen by hash alone and their texts are fetched afterwards, through a broadcast of TRAIN_PER_LANG hashes a language. The
+    driver receives their languages and distinct n-grams, of which a text has CODES at most.
     """
-    src = docs.select(F.xxhash64(col(id_col), F.length(col(text_col))).alias("h"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("t"))
-    src = src.where(F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    least = src.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("n") <= TRAIN_PER_LANG)
+    src = docs.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("t"))
+    src = src.where(F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}")).select("lang", F.xxhash64("id", "t").alias("h"), "t")
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = src.select("lang", "h").distinct().withColumn("n", number).where(F.col("n") <= TRAIN_PER_LANG)
+    least = src.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "n").agg(F.first("t").alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import UPPER, col, connected_components, kept, table
+from .packed import mix
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Fingerprints are cut into so many blocks; DISTANCE differing bits spoil DISTANCE blocks at most.
 BLOCKS = 7
 #: Shingles hashed at a time.
 CHUNK = 200_000
+#: Buckets of more fingerprints are not searched for a first near pair before they are linked.
+LARGE = 1000
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 #: Bit i of a byte as a counter in lane i of eight one-byte lanes.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64)[:, 0]
@@ -59,14 +62,15 @@ def fingerprint(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for each row of docs, repeated rows too; fp is the fingerprint's 64 bits as a bigint. A null text counts as an empty one: fingerprint 0."""
+    """(doc_id, fp, second) for each row of docs, repeated rows too; fp is the fingerprint's 64 bits as a bigint, second that of the hashes mixed once more. A null text counts as an empty one: fingerprint 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             done, hashes, sizes = [], [], []
 
             def flush():
-                done.append(fingerprint(np.array(hashes, np.uint64), np.array(sizes, np.int64)))
+                h, n = np.array(hashes, np.uint64), np.array(sizes, np.int64)
+                done.append(np.c_[fingerprint(h, n), fingerprint(mix(h), n)])
                 hashes.clear()
                 sizes.clear()
 
@@ -77,10 +81,11 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
                 if len(hashes) >= CHUNK:
                     flush()
             flush()
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.concatenate(done).view(np.int64)})
+            fps = np.concatenate(done).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps[:, 0], "second": fps[:, 1]})
 
     src = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("t"))
-    return src.mapInPandas(run, T.StructType([T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("fp", T.LongType())]))
+    return src.mapInPandas(run, T.StructType([T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("fp", T.LongType()), T.StructField("second", T.LongType())]))
 
 
 def links_within(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -143,10 +148,20 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> Dat
     def found(k: np.ndarray, f: np.ndarray) -> pd.DataFrame:
         begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
         size = np.diff(np.r_[begin, len(k)])
-        two = begin[size == 2]
-        two = two[np.bitwise_count(f[two] ^ f[two + 1]) <= distance]
-        a, b = f[two], f[two + 1]
-        more = [x for s, n in zip(begin[size > 2], size[size > 2], strict=True) for x in links_within(f[s : s + n], distance)]
+        bucket, left = np.repeat(np.arange(len(size)), size), np.repeat(begin + size, size) - np.arange(len(k)) - 1
+        near, apart = size > LARGE, 0
+        two: list[np.ndarray] = []
+        at = np.flatnonzero((left > 0) & ~near[bucket])
+        while len(at):  # each with the next, the one after and so on, all buckets together: most have no pair that is near
+            apart += 1
+            hit = at[np.bitwise_count(f[at] ^ f[at + apart]) <= distance]
+            two.append(hit[size[bucket[hit]] == 2])
+            near[bucket[hit]] = True
+            at = at[left[at] > apart]
+        two_at = np.concatenate([np.zeros(0, np.int64), *two])
+        a, b = f[two_at], f[two_at + 1]
+        many = near & (size > 2)
+        more = [x for s, n in zip(begin[many], size[many], strict=True) for x in links_within(f[s : s + n], distance)]
         pairs = np.array(more, np.uint64).reshape(-1, 2)
         return pd.DataFrame({"a": np.r_[a, pairs[:, 0]].view(np.int64), "b": np.r_[b, pairs[:, 1]].view(np.int64)})
 
@@ -154,19 +169,36 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> Dat
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def _over_second(fps: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """Links (a, b) that the second fingerprints make: each that is near another or goes with several first ones is a node by the side of the first ones."""
+    node = lambda c: F.xxhash64(F.lit("second"), F.col(c))
+    pairs = fps.select("fp", "second").distinct()
+    near = kept(links(fps.select(F.col("second").alias("fp")), distance, blocks), "simhash-links")
+    shared = pairs.groupBy("second").agg(F.count("*").alias("n")).where("n > 1").select("second")
+    touched = near.select(F.col("a").alias("second")).union(near.select("b")).union(shared).distinct()
+    across = pairs.join(touched, "second").select(F.col("fp").alias("a"), node("second").alias("b"))
+    return across.union(near.select(node("a"), node("b")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS, both: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs; other columns are not read.
 
     component_id is the smallest id among documents reachable over fingerprints at distance or less; ids that are
     null count only if all of a component are. Texts without words, null and empty ones have fingerprint 0 and link
     like any other. Repeated rows come back as often as they came. An empty df gives an empty result.
 
+    both: documents link over either of two fingerprints, of which the second differs independently, so that fewer pairs near
+    the limit are missed.
+
     Copies share a fingerprint and from there on only distinct fingerprints are dealt out, so thousands of copies cost
     one row; documents meet their fingerprint's component again in a join that Spark can split where one fingerprint is hot.
     """
     fps = kept(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     each = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comp = connected_components(kept(links(fps, distance, blocks), "simhash-links"))
+    edges = kept(links(fps, distance, blocks), "simhash-links")
+    if both:
+        edges = edges.unionByName(_over_second(fps, distance, blocks))
+    comp = connected_components(edges)
     named = each.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     label = kept(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "simhash-label")

@@ -454,3 +454,38 @@ def test_score_edges(spark):
 
 def test_with_columns_replaces_in_any_case(spark):
     assert with_columns(spark.range(1).withColumn("A", F.lit(1)), {"a": F.lit(2)}).columns == ["id", "a"]
+
+
+@pytest.mark.parametrize(("distance", "blocks"), [(4, 7), (7, 10), (2, 3)])
+def test_links_connect_like_all_pairs(spark, distance, blocks):
+    f = RNG.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
+    flips = np.array([sum(1 << int(b) for b in RNG.choice(64, 5, replace=False)) for _ in range(400)], np.uint64)
+    f = np.unique(np.concatenate([f, RNG.choice(f[:20], 400) ^ flips, f[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))]))
+    got = rows(simhash.links(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long"), distance, blocks))
+
+    def components(pairs):
+        at = {int(x): int(x) for x in f}
+        find = lambda x: x if at[x] == x else find(at[x])
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            at[b] = a
+        return {x: find(x) for x in at}
+
+    near = [(int(a), int(b)) for a in f for b in f[(np.bitwise_count(f ^ a) <= distance) & (f > a)]]
+    mask = (1 << 64) - 1
+    assert all(((r["a"] ^ r["b"]) & mask).bit_count() <= distance for r in got)
+    assert components([(r["a"] & mask, r["b"] & mask) for r in got]) == components(near)
+
+
+def test_second_fingerprints_add_links(spark):
+    base = [prose(150) for _ in range(40)]
+    edited = []
+    for t in base:
+        w = t.split()
+        for k in RNG.choice(150, 3, replace=False):
+            w[k] = "changed"
+        edited.append(" ".join(w))
+    docs = frame(spark, [(i, t, None, None) for i, t in enumerate(base + edited)])
+    groups = lambda **k: len({r["component_id"] for r in rows(simhash.near_duplicates(docs, shingle=5, distance=7, blocks=10, **k))})
+    one, both = groups(), groups(both=True)
+    assert 40 <= both < one <= 80

@@ -115,7 +115,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> Dat
 
     Pigeonhole: of blocks blocks at most distance can differ, so a near pair agrees on some blocks - distance of
     them. Each fingerprint goes to one bucket for each such choice of blocks, and buckets are checked bit by bit, one at a
-    time as a sorted partition streams by. With 7 blocks a bucket's key has about 27 bits, so chance meetings are rare until there are hundreds of millions of fingerprints.
+    time as a sorted partition streams by. Each is in order of fp, so that the same few fingerprints gather the links of a dense group in all its buckets. With 7 blocks a bucket's key has about 27 bits, so chance meetings are rare until there are hundreds of millions of fingerprints.
     """
     if blocks <= distance:
         raise ValueError("there must be more blocks than differing bits")
@@ -165,7 +165,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> Dat
         pairs = np.array(more, np.uint64).reshape(-1, 2)
         return pd.DataFrame({"a": np.r_[a, pairs[:, 0]].view(np.int64), "b": np.r_[b, pairs[:, 1]].view(np.int64)})
 
-    dealt = fps.select("fp").distinct().mapInPandas(deal, "fp long, key long").repartition("key").sortWithinPartitions("key")
+    dealt = fps.select("fp").distinct().mapInPandas(deal, "fp long, key long").repartition("key").sortWithinPartitions("key", "fp")
     return dealt.mapInPandas(run, "a long, b long")
 
 

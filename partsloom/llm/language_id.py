@@ -25,7 +25,7 @@ RIDGE = 1e-3
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Cells of the presence matrix of a batch.
-CELLS = 8_000_000
+CELLS = 2_000_000
 #: Codes of 1-, 2- and 3-grams are numbers below this.
 CODES = 256 + (1 << 16) + (1 << 24)
 

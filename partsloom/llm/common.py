@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
+#: One task takes the spanning stars of about so many edges, or of one shuffle partition where that has more.
+EDGES = 250_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -44,17 +49,45 @@ def with_columns(df: DataFrame, added: dict[str, Column]) -> DataFrame:
     return df.select(*[col(c) for c in df.columns if c.lower() not in taken], *[v.alias(k) for k, v in added.items()])
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of edges (a, b) that has a smaller one in its component, and the smallest there."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[i], root[j]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    rest = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[rest], nodes[root[rest]]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (a, b), longs; component is the smallest node reachable.
 
-    Alternating large-star and small-star steps: each step sends a node's neighbours to the smallest among
-    them, so no step makes more rows than it has edges, and path lengths halve. Each step is checkpointed; only a
-    count and a sum come to the driver.
+    First each task replaces its edges by the stars that connect the same nodes: a group that
+    many edges hold together keeps fewer edges than it has nodes in a task. Then alternating large-star and small-star
+    steps: each sends a node's neighbours to the smallest among them, so no step makes more rows than it has edges, and path
+    lengths halve. Each step is checkpointed; only a count and a sum come to the driver.
     """
     spark = edges.sparkSession
     shared_dir(spark)
-    cur = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    before = None
+
+    def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [(b["u"].to_numpy(np.int64), b["v"].to_numpy(np.int64)) for b in batches]
+        if held:
+            u, v = stars(*map(np.concatenate, zip(*held, strict=True)))
+            yield pd.DataFrame({"u": u, "v": v})
+
+    def state(of: DataFrame) -> tuple:
+        return tuple(of.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    every = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    cur = every.coalesce(-(-every.count() // EDGES) or 1).mapInPandas(contract, "u long, v long").distinct().checkpoint()
+    before = state(cur)
     while True:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -63,7 +96,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         cur = small.checkpoint()
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = state(cur)
         if now == before:
             break
         before = now

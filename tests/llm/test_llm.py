@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from partsloom.llm import decontaminate, impact_search, language_id, line_dedup, lm_scoring, mixing, sharding, simhash, substring_dedup, token_store
+from partsloom.llm import common, decontaminate, impact_search, language_id, line_dedup, lm_scoring, mixing, sharding, simhash, substring_dedup, token_store
 from partsloom.llm.common import connected_components, with_columns
 
 RNG = np.random.default_rng(11)
@@ -202,6 +202,22 @@ def test_links_within_keep_every_connection(n):
             assert int(b) in find[int(a)]
 
 
+@pytest.mark.parametrize("edges_a_task", [1, 40, 10_000])
+def test_components_of_many_edges(spark, monkeypatch, edges_a_task):
+    """A dense group, small ones, a path and repeated edges, contracted in one task or in many."""
+    monkeypatch.setattr(common, "EDGES", edges_a_task)
+    dense = [(int(a) - 20, int(b) - 20) for a, b in RNG.integers(0, 40, (300, 2))]
+    edges = dense + dense[:50] + [(100 + i, 101 + i) for i in range(0, 30, 3)] + [(200 + (7 * i) % 31, 200 + (7 * i + 7) % 31) for i in range(30)] + [(5000, 5000)]
+    least = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = rows(connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5)))
+    assert len(got) == len(least)
+    assert dict(map(tuple, got)) == least
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95), (7, 7)]
     got = dict(map(tuple, rows(connected_components(spark.createDataFrame(edges, "a long, b long")))))

@@ -22,8 +22,8 @@ from .simhash import LOWER
 
 #: Counts are quantised to powers of QUANTUM, rounded down; probes for each entry.
 QUANTUM, PROBES = 1.25, 4
-#: Bits for each entry; bounds on the filter's bits (64 MB).
-ENTRY_BITS, LEAST_BITS, MOST_BITS = 12, 1 << 20, 1 << 29
+#: Bits for each entry; least bits of the whole filter.
+ENTRY_BITS, LEAST_BITS = 12, 1 << 20
 #: Least count of a pair that is entered. A stray pair would have to pass all probes up to that count.
 LEAST_COUNT = 2
 #: Weight of the bigram where its context is known.
@@ -37,6 +37,11 @@ def level(count: np.ndarray) -> np.ndarray:
     return (np.log(count) / math.log(QUANTUM) + 1e-9).astype(np.int64) + 1
 
 
+def counted_as(q: np.ndarray) -> np.ndarray:
+    """The quantised count of a level; none at 0."""
+    return np.where(q > 0, QUANTUM ** (q - 1.0), 0.0)
+
+
 class Filter:
     """A Bloom filter in 2**cut parts, each for a range of keys, so that parts can be filled apart."""
 
@@ -57,8 +62,8 @@ class Filter:
                 out[self.bits(keys, j, i)] = 1
         return np.packbits(out, bitorder="little").tobytes()
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts; below the least count that was entered, none."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of counts; below that of the least count that was entered, 0."""
         q, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for j in range(1, LEVELS):
             for i in range(PROBES):
@@ -68,7 +73,11 @@ class Filter:
             if not len(alive):
                 break
             q[alive] = j
-        return np.where(q >= level(np.array([self.least]))[0], QUANTUM ** (q - 1.0), 0.0)
+        return np.where(q >= level(np.array([self.least]))[0], q, 0)
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised counts; below the least count that was entered, none."""
+        return counted_as(self.levels(keys))
 
 
 def in_training(doc_id: int | None) -> bool:
@@ -116,10 +125,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     from every row that in_training picks; a null id counts as an empty text there. A null or empty text is its end
     token alone. Repeated rows are learned from and scored as often as they come; an empty df gives an empty result.
 
-    The filter has ENTRY_BITS for each entry and MOST_BITS at most; if more pairs would not fit, the least count that is entered
-    rises until they do, which the counts of all pairs decide.
+    The filter has ENTRY_BITS for each entry and as many parts as keys have ranges: a part is filled where its range of pairs meets,
+    answers the batches there and is gone. So it grows with the input and no task holds more than one part.
     """
-    spark = docs.sparkSession
     packed = pack(docs, id_col, text_col)
     cut = ranges(packed)
 
@@ -132,8 +140,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in batches:
             for row in b.itertuples(index=False):
                 t = Tokens(row.ids, row.sizes, row.blob)
-                keys, n = np.unique(t.pairs()[t.learned], return_counts=True)
-                yield dealt(row.batch, keys, n.astype(np.uint32), cut)
+                keys, to = np.unique(t.pairs(), return_inverse=True)
+                yield dealt(row.batch, keys, np.bincount(to[t.learned], minlength=len(keys)).astype(np.uint32), cut)
 
     def count(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, dict]:
         _, to = np.unique(keys, return_inverse=True)
@@ -144,35 +152,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counted = kept(meet(packed.mapInPandas(words, DEALT), "u8", count, ", n_distinct long, n_all long"), "lm-words")
     v, n = counted.agg(F.coalesce(F.sum("n_distinct"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
 
-    def gather(g: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(g["keys"]), np.uint64)
-        order = np.argsort(keys)
-        keys, total = keys[order], np.frombuffer(b"".join(g["vals"]), np.uint32)[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        keys, total = keys[first], np.add.reduceat(total.astype(np.uint64), first)
-        keys, total = keys[total >= LEAST_COUNT], total[total >= LEAST_COUNT]
-        hist = np.bincount(level(total), minlength=LEVELS).astype("<i8")
-        return pd.DataFrame({"range": [g["range"].iloc[0]], "keys": [keys.tobytes()], "q": [level(total).astype(np.uint8).tobytes()], "hist": [hist.tolist()]})
-
-    found = kept(packed.mapInPandas(pairs, DEALT).groupBy("range").applyInPandas(gather, "range int, keys binary, q binary, hist array<bigint>"), "lm-pairs")
-    hist = np.zeros(LEVELS, np.int64)
-    for q, k in found.select(F.posexplode("hist").alias("q", "k")).groupBy("q").agg(F.sum("k")).collect():
-        hist[q] = k
-    entries = np.cumsum((hist * np.arange(LEVELS))[::-1])[::-1]
-    least = next(q for q in range(int(level(np.array([LEAST_COUNT]))[0]), LEVELS) if entries[q] * ENTRY_BITS <= MOST_BITS)
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, int(entries[least] * ENTRY_BITS - 1).bit_length()), 64 << cut))
-    plan = Filter(size, cut, math.ceil(QUANTUM ** (least - 1) - 1e-9))
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r, k, q in zip(b["range"], b["keys"], b["q"], strict=True):
-                k, q = np.frombuffer(k, np.uint64), np.frombuffer(q, np.uint8).astype(np.int64)
-                yield pd.DataFrame({"range": [r], "bits": [plan.part(k[q >= least], q[q >= least])]})
+    def probe(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, dict]:
+        """Fills the filter's part of these keys and looks all of them up."""
+        keys, to = np.unique(keys, return_inverse=True)
+        total = np.bincount(to, vals, len(keys)).astype(np.int64)
+        entered = total >= LEAST_COUNT
+        q = level(total[entered])
+        size = max(LEAST_BITS >> cut, 64, 1 << int(max(1, q.sum() * ENTRY_BITS) - 1).bit_length())
+        part = Filter(size, 0, LEAST_COUNT)
+        part.data = np.frombuffer(part.part(keys[entered], q), np.uint8)
+        return part.levels(keys).astype(np.uint8)[to], {}
 
-    data = np.zeros((1 << cut, (size >> cut) // 8), np.uint8)
-    for r in found.select("range", "keys", "q").mapInPandas(fill, "range int, bits binary").toLocalIterator():
-        data[r["range"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    sent = spark.sparkContext.broadcast(Filter(size, cut, plan.least, data.ravel()))
+    found = meet(packed.mapInPandas(pairs, DEALT), "u4", probe, "")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -184,14 +175,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 context = np.empty(len(token))
                 context[1:] = token[:-1]
                 context[t.begin] = c[0]  # as many texts began as ended
-                pair, which = np.unique(t.pairs(), return_inverse=True)
-                share = np.minimum(sent.value.counts(pair)[which] / np.maximum(context, 1), 1)
+                _, which = np.unique(t.pairs(), return_inverse=True)
+                share = np.minimum(counted_as(np.frombuffer(b"".join(row.levels), np.uint8))[which] / np.maximum(context, 1), 1)
                 p = np.where(context > 0, WEIGHT * share + (1 - WEIGHT) * base, base)
                 sums = lambda x: np.add.reduceat(x, t.begin)
                 yield pd.DataFrame({"doc_id": pd.array(row.ids, "Int64"), "held_out": ~t.train, "n_tokens": t.size, "n_known": sums((token > 0).astype(np.int64)), "train_tokens": n, "base_score": sums(np.log10(base)), "score": sums(np.log10(p))})
 
-    both = packed.join(returned(counted, "counts"), "batch")
-    return both.select("batch", "ids", "sizes", "blob", "counts").mapInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    both = packed.join(returned(counted, "counts"), "batch").join(returned(found, "levels"), "batch")
+    return both.select("batch", "ids", "sizes", "blob", "counts", "levels").mapInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -449,6 +449,26 @@ def test_scores_by_hand(spark):
     assert close >= 0.9 * len(tokens)
 
 
+def test_filter_follows_the_input(spark, monkeypatch):
+    """However many pairs there are, each that counts at least LEAST_COUNT is found: no bound on the filter takes pairs out."""
+    monkeypatch.setattr(lm_scoring, "MOST_BITS", 1 << 13, raising=False)
+    monkeypatch.setattr(lm_scoring, "LEAST_BITS", 1 << 10)
+    texts = [prose(60) for _ in range(150)] * 2
+    got = rows(lm_scoring.score_texts(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)])))
+    tokens = [[*t.encode().split(), "end"] for t in texts]
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 1]
+    c, pairs = Counter(w for i in train for w in tokens[i]), Counter(p for i in train for p in zip(["begin", *tokens[i]], tokens[i]))
+    n, v = sum(c.values()), len(c)
+    c["begin"] = len(train)
+    for r in got:
+        t, score = tokens[r["doc_id"]], 0
+        for h, w in zip(["begin", *t], t):
+            base, m = (c[w] + 0.5) / (n + 0.5 * (v + 1)), pairs[h, w]
+            share = 1.25 ** int(math.log(m) / math.log(1.25) + 1e-9) / c[h] if m >= 2 else 0
+            score += math.log10(0.1 * min(1, share) + 0.9 * base if c[h] else base)
+        assert r["score"] >= score - 1e-9
+
+
 def test_filter_counts():
     keys = np.unique(RNG.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
     n = RNG.integers(1, 3000, len(keys))

@@ -24,7 +24,7 @@ from .simhash import LOWER
 QUANTUM, PROBES = 1.25, 4
 #: Bits for each entry; least bits of the whole filter.
 ENTRY_BITS, LEAST_BITS = 12, 1 << 20
-#: Least count of a pair that is entered. A stray pair would have to pass all probes up to that count.
+#: Least count of a pair that score_texts enters if not told otherwise. A stray pair would have to pass all probes up to that count.
 LEAST_COUNT = 2
 #: Weight of the bigram where its context is known.
 WEIGHT = 0.1
@@ -117,7 +117,7 @@ class Tokens:
         return mix(mix(last) + GOLDEN * self.hash[self.code])
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_COUNT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; other columns are not read.
 
     base_score: log10 of the unigram estimates (c + 0.5) / (N + 0.5 * (V + 1)), summed. score: with a bigram's quantised
@@ -126,7 +126,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     token alone. Repeated rows are learned from and scored as often as they come; an empty df gives an empty result.
 
     The filter has ENTRY_BITS for each entry and as many parts as keys have ranges: a part is filled where its range of pairs meets,
-    answers the batches there and is gone. So it grows with the input and no task holds more than one part.
+    answers the batches there and is gone. So it grows with the input and no task holds more than one part. Pairs of a count below
+    least are not entered and score as unseen ones; with least 1 all pairs are.
     """
     packed = pack(docs, id_col, text_col)
     cut = ranges(packed)
@@ -156,10 +157,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         """Fills the filter's part of these keys and looks all of them up."""
         keys, to = np.unique(keys, return_inverse=True)
         total = np.bincount(to, vals, len(keys)).astype(np.int64)
-        entered = total >= LEAST_COUNT
+        entered = total >= least
         q = level(total[entered])
         size = max(LEAST_BITS >> cut, 64, 1 << int(max(1, q.sum() * ENTRY_BITS) - 1).bit_length())
-        part = Filter(size, 0, LEAST_COUNT)
+        part = Filter(size, 0, least)
         part.data = np.frombuffer(part.part(keys[entered], q), np.uint8)
         return part.levels(keys).astype(np.uint8)[to], {}
 
@@ -186,4 +187,4 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"))
+    return score_texts(table(spark, sf_dir, "documents"), least=1)

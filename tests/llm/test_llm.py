@@ -469,6 +469,19 @@ def test_filter_follows_the_input(spark, monkeypatch):
         assert r["score"] >= score - 1e-9
 
 
+def test_query_knows_pairs_seen_once(spark, tmp_path):
+    """Of two held-out texts of the same words, the one whose pairs were learned once scores higher."""
+    learned = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1]
+    out = [i for i in range(400) if i not in learned and zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    once = " ".join(WORDS)
+    frame(spark, [(learned[0], once, None, None), (out[0], once, None, None), (out[1], " ".join(reversed(WORDS)), None, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in rows(lm_scoring.op10_lm_scoring(spark, str(tmp_path)))}
+    seen, other = got[out[0]], got[out[1]]
+    assert seen["held_out"] and seen["base_score"] == pytest.approx(other["base_score"])
+    want = 301 * math.log10(0.1 + 0.9 * 1.5 / (301 + 0.5 * 302))
+    assert seen["score"] == pytest.approx(want) and other["score"] < seen["score"] - 100
+
+
 def test_filter_counts():
     keys = np.unique(RNG.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
     n = RNG.integers(1, 3000, len(keys))

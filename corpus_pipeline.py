@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partsloom.llm import decontaminate, language_id, mixing, sharding, simhash
+from partsloom.llm import decontaminate, language_id, minhash, mixing, sharding
 from partsloom.llm.common import kept, table, with_columns
 
 #: A prediction of less score is no language. Whatever has a word of a learned language scores more.
 LEAST_SCORE = 0.25
-#: Near copies: five-word shingles; a similarity of 0.8 differs in about 10 of 64 bits on average, 0.9 in about 7; either of two fingerprints links.
-SHINGLE, DISTANCE, BLOCKS = 5, 7, 10
+#: Near copies: Jaccard similarity of five-word shingles.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: that of the smallest id. Of repeated rows one stays; rows without an id can't be told apart and stay."""
-    label = simhash.near_duplicates(docs, shingle=SHINGLE, distance=DISTANCE, blocks=BLOCKS, both=True)
+    label = minhash.near_copies(docs, shingle=SHINGLE, least=SIMILARITY)
     first = label.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("first_id")).distinct()
     one = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     numbered = one.where("doc_id is not null").dropDuplicates(["doc_id"])

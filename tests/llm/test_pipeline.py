@@ -70,6 +70,19 @@ def test_stages_on_odd_rows(spark, planted, tmp_path):
         assert stage(spark, docs.limit(0), planted).count() == 0
 
 
+def test_near_copies_are_those_of_enough_similarity(spark, planted):
+    """Texts at a similarity of 0.808 go, those at 0.742 and short ones of one common shingle stay."""
+    words = [f"w{i}" for i in range(400)]
+    base = [list(RNG.choice(words, 240)) for _ in range(80)]
+    edit = lambda t, n: " ".join("changed" if k % 30 == 15 and k // 30 < n else w for k, w in enumerate(t))
+    texts = [" ".join(t) for t in base] + [edit(t, 5) for t in base[:40]] + [edit(t, 7) for t in base[40:]]
+    short = [" ".join(RNG.choice(words, 6)) for _ in range(40)]
+    texts += short + [t.rsplit(" ", 1)[0] + " changed" for t in short]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in enumerate(texts)], table(spark, planted, "documents").schema)
+    left = ids(cp.near_copies(spark, docs, planted))
+    assert [i for i in left if not 80 <= i < 120] == [*range(80), *range(120, 240)] and len([i for i in left if 80 <= i < 120]) <= 2
+
+
 def test_everything_is_registered():
     names = list(__spark_entry__.queries())
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names

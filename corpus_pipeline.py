@@ -12,20 +12,21 @@ from pyspark.sql import functions as F
 from partsloom.llm import decontaminate, language_id, minhash, mixing, sharding
 from partsloom.llm.common import kept, table, with_columns
 
-#: A prediction of less score is no language. Whatever has a word of a learned language scores more.
-LEAST_SCORE = 0.25
+#: A text is of no language if its 3-grams are less known, or its best language leads by less, than such a part of what all but a share LOW of the labelled texts reach.
+LOW, HELD, LEAD = 0.05, 0.35, 0.25
 #: Near copies: Jaccard similarity of five-word shingles.
 SHINGLE, SIMILARITY = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a language is recognised. Learns from the labelled rows of all documents outside the held-out fold."""
-    train = table(spark, sf_dir, "documents")
-    model = language_id.train(train.where(~language_id.held_out(F.col("doc_id"))), "doc_id", "text", "lang")
+    """Documents of which a language is recognised. Learns from the labelled rows of all documents outside the held-out fold, and what is too little on all of them."""
+    train = table(spark, sf_dir, "documents").where(~language_id.held_out(F.col("doc_id")))
+    model = language_id.train(train, "doc_id", "text", "lang")
     if not model.langs:  # nothing to learn from: nothing to reject on
         return docs
-    found = language_id.predict(docs, "text", model)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    held, lead = language_id.low(train.where("lang is not null"), "text", model, LOW)
+    found = language_id.predict(docs, "text", model, proof=True)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("held") >= HELD * held) & (F.col("lead") >= LEAD * lead)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,15 +67,29 @@ class Model:
         k = np.concatenate(out) if out else np.zeros((0, self.marks.shape[1]), np.float32)
         return np.c_[k, np.ones(len(k), k.dtype)]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def held(self, parts: list[np.ndarray]) -> float:
+        """The share of a text's 3-grams that a landmark holds; 1 without 3-grams."""
+        self.presence([])
+        return float((self._column[parts[2]] < len(self.grams)).mean()) if len(parts[2]) else 1.0
+
+    def predict(self, texts: list[str | None], proof: list[tuple[float, float]] | None = None) -> tuple[list[str], list[float]]:
+        """Languages and scores; proof, if given, gets for each text what predict() says of held and lead."""
         known = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)] if self.langs else []
         lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if proof is not None:
+            proof += [(0.0, 0.0)] * len(texts)
         size, begin = 0, 0
         for j, i in enumerate(known):  # long texts make small batches
             size += len(texts[i])
             if size >= CELLS // 4 or j + 1 == len(known):
                 now = known[begin : j + 1]
-                margins = self.kernels([codes(texts[k]) for k in now]).astype(np.float64) @ self.weights
+                parts = [codes(texts[k]) for k in now]
+                margins = self.kernels(parts).astype(np.float64) @ self.weights
+                if proof is not None:
+                    top = 2 - 2 / len(self.langs)
+                    lead = np.clip((margins.max(axis=1) - margins.mean(axis=1)) / top, 0, 1) if top else np.ones(len(now))
+                    for k, part, x in zip(now, parts, lead.tolist(), strict=True):
+                        proof[k] = (self.held(part), x)
                 for k, best, m in zip(now, margins.argmax(axis=1), margins.max(axis=1), strict=True):
                     lang[k], score[k] = self.langs[best], float(min(1.0, max(0.0, (m + 1) / 2)))
                 size, begin = 0, j + 1
@@ -127,27 +141,44 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
     return fit([(r["lang"], bytes(r["c"])) for r in sorted(rows, key=lambda r: (r["lang"], r["n"]))])
 
 
-def predict(docs: DataFrame, text_col: str, model: Model) -> DataFrame:
+def predict(docs: DataFrame, text_col: str, model: Model, proof: bool = False) -> DataFrame:
     """All columns of docs, then lang_pred (string) and score (double, 0 to 1); these replace columns so named.
 
+    proof: and held and lead (doubles, 0 to 1). held: the share of the text's 3-grams that a landmark holds. lead: by how much the
+    greatest margin is above the mean of all, where a text that is wholly of one language has 1 and one of none about 0, however
+    many languages there are; with one language always 1.
+
     A text that is null or has no letter gets UNKNOWN and 0, as do all if nothing was learned. No other column is looked
     at. The model that is broadcast is bounded by the landmarks.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    added = ["lang_pred", "score", *(["held", "lead"] if proof else [])]
+    rest = [c for c in docs.columns if c.lower() not in added]
     inner = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(rest)], col(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            lang, score = sent.value.predict(b.column("t").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+            shown: list[tuple[float, float]] | None = [] if proof else None
+            lang, score = sent.value.predict(b.column("t").to_pylist(), shown)
+            more = [pa.array([x[i] for x in shown], pa.float64()) for i in (0, 1)] if proof else []
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), *more], [*b.schema.names[:-1], *added])
 
-    schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)] + ["lang_pred string, score double"])
+    schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)] + ["lang_pred string"] + [f"{c} double" for c in added[1:]])
     out = inner.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], "lang_pred", "score")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], *added)
+
+
+def low(docs: DataFrame, text_col: str, model: Model, share: float) -> tuple[float, float]:
+    """The held and lead, in thousandths rounded down, that all but a share of the texts of docs with a letter reach; counted on every row."""
+    rows = predict(docs.select(col(text_col).alias("t")), "t", model, proof=True).where(F.col("lang_pred") != UNKNOWN)
+    bins = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("what"), F.floor(F.col(c) * 1000).alias("bin")) for i, c in enumerate(("held", "lead"))])).alias("x"))
+    count = np.zeros((2, 1001))
+    for r in bins.groupBy("x.what", "x.bin").count().collect():
+        count[r["what"], r["bin"]] = r["count"]
+    return tuple(float(np.searchsorted(np.cumsum(c), share * c.sum(), "right")) / 1000 if c.any() else 0.0 for c in count)
 
 
 def held_out(id_col: Column) -> Column:

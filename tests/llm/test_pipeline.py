@@ -70,6 +70,18 @@ def test_stages_on_odd_rows(spark, planted, tmp_path):
         assert stage(spark, docs.limit(0), planted).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_texts_of_no_learned_language_go(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    letters = lambda abc, low, high, n: " ".join("".join(RNG.choice(list(abc), int(RNG.integers(low, high)))) for _ in range(n))
+    odd = ["我们今天去公园散步天气很好大家都很高兴" * 8, "Сегодня мы пошли в парк и долго гуляли там вместе с друзьями. " * 6, "Σήμερα πήγαμε στο πάρκο και περπατήσαμε πολλή ώρα. " * 6]
+    odd += ["Tänään menimme puistoon ja kävelimme siellä pitkään ystävien kanssa, sää oli hyvä. " * 5, "Hôm nay chúng tôi đi công viên và đi dạo rất lâu với bạn bè. " * 5]
+    odd += [letters("abcdefghijklmnopqrstuvwxyz", 2, 10, 120), letters("0123456789abcdef", 32, 33, 20), letters("ABCDEFGHIJKLMabcdefghijklmnopqrstuvwxyz0123456789+/", 700, 701, 1)]
+    planted = spark.createDataFrame([(-1 - i, t, None, None, len(t)) for i, t in enumerate(odd)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = ids(cp.language(spark, docs.select(*planted.columns).unionByName(planted), "/root/testdata/sf0.001"))
+    assert kept[0] >= 0 and len(kept) >= 0.99 * docs.count()
+
+
 def test_near_copies_are_those_of_enough_similarity(spark, planted):
     """Texts at a similarity of 0.808 go, those at 0.742 and short ones of one common shingle stay."""
     words = [f"w{i}" for i in range(400)]

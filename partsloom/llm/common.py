@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -27,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset and Spark runs in one process, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file:///tmp/checkpoints/partsloom"
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -43,6 +47,12 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are done; else they stay until the driver's JVM happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_columns(df: DataFrame, added: dict[str, Column]) -> DataFrame:
     """All columns of df and then the added ones, which replace columns of the same name (in any case)."""
     taken = {k.lower() for k in added}
@@ -90,9 +100,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = state(cur)
     while True:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()  # a join of two scans, so that a hub can be split
+        large = both.join(low, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         cur = small.checkpoint()

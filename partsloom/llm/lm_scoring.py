@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept, table
-from .packed import DEALT, GOLDEN, dealt, meet, mix, pack, ranges, returned, unpack
+from .packed import DEALT, GOLDEN, dealt, doc_ids, meet, mix, pack, ranges, returned, unpack
 from .simhash import LOWER
 
 #: Counts are quantised to powers of QUANTUM, rounded down; probes for each entry.
@@ -87,7 +87,7 @@ def in_training(doc_id: int | None) -> bool:
 class Tokens:
     """The tokens of a batch: for each text its lower-cased words and one end."""
 
-    def __init__(self, ids: list[int | None], sizes: bytes, blob: bytes):
+    def __init__(self, ids: bytes, none: bytes, sizes: bytes, blob: bytes):
         text, size = unpack(sizes, blob)
         text, at = text.translate(LOWER), 0
         number: dict[bytes, int] = {}
@@ -101,7 +101,7 @@ class Tokens:
         self.size = np.fromiter(map(len, flat), np.int64, len(flat)).reshape(-1, 2).sum(axis=1)
         self.hash = np.array([int(END), *(xxhash.xxh64_intdigest(w) for w in number)], np.uint64)
         self.begin = np.cumsum(self.size) - self.size
-        self.train = np.array([in_training(i) for i in ids], bool)
+        self.train = np.array([in_training(None if no else i) for i, no in zip(np.frombuffer(ids, "<i8").tolist(), none, strict=True)], bool)
         self.learned = np.repeat(self.train, self.size)
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
@@ -135,12 +135,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
-                yield dealt(row.batch, *Tokens(row.ids, row.sizes, row.blob).words(), cut)
+                yield dealt(row.batch, *Tokens(row.ids, row.none, row.sizes, row.blob).words(), cut)
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
-                t = Tokens(row.ids, row.sizes, row.blob)
+                t = Tokens(row.ids, row.none, row.sizes, row.blob)
                 keys, to = np.unique(t.pairs(), return_inverse=True)
                 yield dealt(row.batch, keys, np.bincount(to[t.learned], minlength=len(keys)).astype(np.uint32), cut)
 
@@ -169,7 +169,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
-                t = Tokens(row.ids, row.sizes, row.blob)
+                t = Tokens(row.ids, row.none, row.sizes, row.blob)
                 keys, to = np.unique(t.hash, return_inverse=True)
                 c = np.frombuffer(b"".join(row.counts), np.uint64).astype(np.float64)[to]
                 token, base = c[t.code], (c[t.code] + 0.5) / (n + 0.5 * (v + 1))
@@ -180,10 +180,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 share = np.minimum(counted_as(np.frombuffer(b"".join(row.levels), np.uint8))[which] / np.maximum(context, 1), 1)
                 p = np.where(context > 0, WEIGHT * share + (1 - WEIGHT) * base, base)
                 sums = lambda x: np.add.reduceat(x, t.begin)
-                yield pd.DataFrame({"doc_id": pd.array(row.ids, "Int64"), "held_out": ~t.train, "n_tokens": t.size, "n_known": sums((token > 0).astype(np.int64)), "train_tokens": n, "base_score": sums(np.log10(base)), "score": sums(np.log10(p))})
+                yield pd.DataFrame({"doc_id": doc_ids(row.ids, row.none), "held_out": ~t.train, "n_tokens": t.size, "n_known": sums((token > 0).astype(np.int64)), "train_tokens": n, "base_score": sums(np.log10(base)), "score": sums(np.log10(p))})
 
     both = packed.join(returned(counted, "counts"), "batch").join(returned(found, "levels"), "batch")
-    return both.select("batch", "ids", "sizes", "blob", "counts", "levels").mapInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.select("batch", "ids", "none", "sizes", "blob", "counts", "levels").mapInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

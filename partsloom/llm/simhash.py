@@ -62,30 +62,30 @@ def fingerprint(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, second) for each row of docs, repeated rows too; fp is the fingerprint's 64 bits as a bigint, second that of the hashes mixed once more. A null text counts as an empty one: fingerprint 0."""
+    """(doc_id, fp) for each row of docs, repeated rows too; fp is the fingerprint's 64 bits as a bigint. A null text counts as an empty one: fingerprint 0."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done, hashes, sizes = [], [], []
+            done, hashes, sizes = [np.zeros(0, np.uint64)], [], []
 
             def flush():
-                h, n = np.array(hashes, np.uint64), np.array(sizes, np.int64)
-                done.append(np.c_[fingerprint(h, n), fingerprint(mix(h), n)])
+                done.append(fingerprint(np.array(hashes, np.uint64), np.array(sizes, np.int64)))
                 hashes.clear()
                 sizes.clear()
 
-            for t in b["t"]:
-                h = shingle_hashes(t, shingle)
+            for t in b.column("t"):
+                h = shingle_hashes(t.as_py(), shingle)
                 hashes += h
                 sizes.append(len(h))
                 if len(hashes) >= CHUNK:
                     flush()
             flush()
-            fps = np.concatenate(done).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps[:, 0], "second": fps[:, 1]})
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(done).view(np.int64))], ["doc_id", "fp"])
 
     src = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("t"))
-    return src.mapInPandas(run, T.StructType([T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("fp", T.LongType()), T.StructField("second", T.LongType())]))
+    return src.mapInArrow(run, T.StructType([T.StructField("doc_id", src.schema["doc_id"].dataType), T.StructField("fp", T.LongType())]))
 
 
 def links_within(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -169,42 +169,35 @@ def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> Dat
     return dealt.mapInPandas(run, "a long, b long")
 
 
-def _over_second(fps: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """Links (a, b) that the second fingerprints make: each that is near another or goes with several first ones is a node by the side of the first ones."""
-    node = lambda c: F.xxhash64(F.lit("second"), F.col(c))
-    pairs = fps.select("fp", "second").distinct()
-    near = kept(links(fps.select(F.col("second").alias("fp")), distance, blocks), "simhash-links")
-    shared = pairs.groupBy("second").agg(F.count("*").alias("n")).where("n > 1").select("second")
-    touched = near.select(F.col("a").alias("second")).union(near.select("b")).union(shared).distinct()
-    across = pairs.join(touched, "second").select(F.col("fp").alias("a"), node("second").alias("b"))
-    return across.union(near.select(node("a"), node("b")))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS, both: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs; other columns are not read.
 
     component_id is the smallest id among documents reachable over fingerprints at distance or less; ids that are
     null count only if all of a component are. Texts without words, null and empty ones have fingerprint 0 and link
     like any other. Repeated rows come back as often as they came. An empty df gives an empty result.
 
-    both: documents link over either of two fingerprints, of which the second differs independently, so that fewer pairs near
-    the limit are missed.
-
     Copies share a fingerprint and from there on only distinct fingerprints are dealt out, so thousands of copies cost
     one row; documents meet their fingerprint's component again in a join that Spark can split where one fingerprint is hot.
     """
     fps = kept(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     each = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     edges = kept(links(fps, distance, blocks), "simhash-links")
-    if both:
-        edges = edges.unionByName(_over_second(fps, distance, blocks))
-    comp = connected_components(edges)
-    named = each.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = kept(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "simhash-label")
+    label = kept(named(each, "fp", connected_components(edges)), "simhash-label")
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+def named(each: DataFrame, node: str, comp: DataFrame) -> DataFrame:
+    """(node, component, component_id): a node's component and its least id. each has (node, least): a node and its least id; comp the (node, component) of those that are linked at all.
+
+    The least ids of a component are found with partial sums before the shuffle; a component that a third of all nodes are in is split in the joins, which both read what is written down.
+    """
+    linked = kept(comp.join(each.withColumnRenamed(node, "node"), "node"), "simhash-linked")
+    least = kept(linked.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-least")
+    both = linked.select("node", "component").join(least, "component").select(F.col("node").alias(node), "component", "component_id")
+    alone = each.join(comp.select(F.col("node").alias(node)), node, "left_anti").select(node, F.col(node).alias("component"), F.col("least").alias("component_id"))
+    return alone.unionByName(both)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -6,14 +6,18 @@ columns of documents; a document that the mix takes twice then stands there twic
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partsloom.llm import decontaminate, language_id, minhash, mixing, sharding
-from partsloom.llm.common import kept, table, with_columns
+from partsloom.llm import decontaminate, language_id, mixing, sharding, similar
+from partsloom.llm.common import col, kept, table, with_columns
 
 #: A text is of no language if its 3-grams are less known, or its best language leads by less, than such a part of what all but a share LOW of the labelled texts reach.
 LOW, HELD, LEAD = 0.05, 0.35, 0.25
+#: Columns that stages look at.
+COLUMNS = ("doc_id", "text", "source")
 #: Near copies: Jaccard similarity of five-word shingles.
 SHINGLE, SIMILARITY = 5, 0.8
 
@@ -25,37 +29,49 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.langs:  # nothing to learn from: nothing to reject on
         return docs
     held, lead = language_id.low(train.where("lang is not null"), "text", model, LOW)
-    found = language_id.predict(docs, "text", model, proof=True)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("held") >= HELD * held) & (F.col("lead") >= LEAD * lead)).select(*docs.columns)
+    own, back = aside(docs)
+    found = language_id.predict(own, "text", model, proof=True)
+    return back(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("held") >= HELD * held) & (F.col("lead") >= LEAD * lead)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that of the smallest id. Of repeated rows one stays; rows without an id can't be told apart and stay."""
-    label = minhash.near_copies(docs, shingle=SHINGLE, least=SIMILARITY)
-    first = label.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("first_id")).distinct()
-    one = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    numbered = one.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return numbered.unionByName(one.where("doc_id is null"))
+    """One document of each component of near copies: that of the smallest id. Rows of one id and text are one document; rows of
+    one id and other texts are told apart by their texts. Without any id in a component, the row of the smallest text hash stays."""
+    label = kept(similar.near_copies(docs, shingle=SHINGLE, least=SIMILARITY), "near-copies")
+    first = label.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
+    key = lambda i, k: [F.coalesce(i, F.lit(0)).alias("_pl_id"), i.isNull().alias("_pl_none"), k.alias("_pl_key")]
+    first = kept(first.select(*key(F.col("x.doc_id"), F.col("x.key"))), "near-copies-first")
+    keyed = docs.select(*map(col, docs.columns), *key(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    by = ["_pl_id", "_pl_none", "_pl_key"]
+    return keyed.join(first, by, "left_semi").dropDuplicates(by).select(*map(col, docs.columns))  # one shuffle for both
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage that gives a benchmark item away; a document without an id goes by a hash of its text."""
-    keyed = with_columns(docs, {"_pl_key": F.coalesce(F.col("doc_id"), F.xxhash64("text"))})
+    """Documents without a passage that gives a benchmark item away; rows are known by id and text."""
+    keyed = with_columns(docs, {"_pl_key": F.xxhash64("doc_id", "text")})
     hit = kept(decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_pl_key"), "leaks")
-    return keyed.join(hit.select(F.col("doc_id").alias("_pl_key")).distinct(), "_pl_key", "left_anti").select(*docs.columns)
+    return keyed.join(hit.select(F.col("doc_id").alias("_pl_key")).distinct(), "_pl_key", "left_anti").select(*map(col, docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    counts = mixing.mix(docs, mixing.word_count(F.col("text")))
-    return counts.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))).alias("nth"), "copies").where("nth <= copies").select(*docs.columns)
+    own, back = aside(docs)
+    sized = kept(own.withColumn("_pl_size", mixing.word_count(F.col("text"))), "mix-sized")  # the texts' words are counted once
+    counts = mixing.mix(sized, F.col("_pl_size"))
+    return back(counts.where("copies > 0").withColumn("_pl_nth", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns and the shard that each document's id names; copies stay together."""
+    """All columns and the slot and shard that each document's id names; copies stay together. Columns slot and shard of the input, if any, make room for them."""
     return sharding.assign_shards(docs, ["doc_id"], [f"shard-{i}" for i in range(sharding.SHARDS)])
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but those of documents under other names, so that none clashes with an operator's own; and what gives the columns back as they were."""
+    name = {c: c if c in COLUMNS else f"_pl_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[col(c).alias(n) for c, n in name.items()]), lambda df: df.select(*[col(n).alias(c) for c, n in name.items()])
+
+
 STAGES = [("language", language), ("near_copies", near_copies), ("decontaminate", clean_of_benchmark), ("mix", mixed), ("shard", sharded)]
 
 

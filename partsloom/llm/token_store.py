@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -23,8 +25,8 @@ END_ID = 1
 FILE_IDS = 16_000_000
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 1_500_000
-#: Words looked up at a time.
-CHUNK = 200_000
+#: Bytes of text encoded at a time; runs of words encoded in one go.
+CHUNK, JOINED = 4_000_000, 200
 MAGIC = b"PLTOK1\0\0"
 #: One position is kept for so many documents.
 SAMPLE = 256
@@ -88,31 +90,58 @@ class EliasFano:
         return int(self.select(i, i + 1)[0])
 
 
-class WordEncoder:
-    """Encodes texts word by word and remembers the words' ids.
+# How a tokenizer file must prepare texts to be encoded word by word.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Words of small Latin-1 letters and of printable ASCII but capitals, apostrophes and what begins special tokens, and their runs, each of which the tokenizer above takes by itself.
+PLAIN, RUNS = re.compile(r"[!-&(-;=-@\[-~ß-öø-ÿ]+"), re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
-    That is the same as encoding whole texts for a tokenizer whose pieces never cross ASCII white space and whose
-    normalizer looks at nothing beyond it; tests hold it against whole texts.
+
+def suited(path: str) -> bool:
+    """Whether encoding a text is the same as encoding its words between ASCII white space, lower-cased, one after the other."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    model = d["model"]
+    same = d["normalizer"] == {"type": "Sequence", "normalizers": NORMALIZERS} and d["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+    plain = model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not (model["dropout"] or model["byte_fallback"] or model["ignore_merges"] or model["continuing_subword_prefix"])
+    return same and plain and not (d["truncation"] or d["padding"]) and all(x["content"].startswith("<|") and not (x["lstrip"] or x["rstrip"] or x["normalized"] or x["single_word"]) for x in d["added_tokens"])
+
+
+class Encoder:
+    """Encodes texts, each followed by the end id.
+
+    For a suited tokenizer a column of texts is lower-cased, split and reduced to its distinct words in Arrow; ids are looked up
+    for those, and remembered. New words of plain characters are cut into their runs, and new runs are encoded many at a
+    time without the steps that do nothing to them. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.by_words = suited(path)
+        if self.by_words:
+            self.runs = Tokenizer(self.tokenizer.model)
+            self.runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)  # ids that end a run
+            self.ends[[i for t, i in self.runs.get_vocab().items() if t.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
-        self.known = {b" ": 0}  # no word; stands for the end of a text
+        self.known: dict[str, int] = {" ": 0, "": 1}  # no words: the end of a text, and what splitting leaves at its edges
         self.offset, self.size, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
         self.size[0], self.flat[0], self.used = 1, END_ID, 1
 
-    def learn(self, words: list[bytes]) -> None:
+    def raw(self, texts: list[str]) -> list[list[int]]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids = [e.ids for e in encode([w.decode() for w in words], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, m = len(self.known), int(size.sum())
+        return [e.ids for e in encode(texts, add_special_tokens=False)]
+
+    def keep(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """Remembers words; ids are theirs, one word after the other."""
+        n, m = len(self.known), len(ids)
         if n + len(words) > len(self.size):
             self.offset, self.size = (np.resize(a, 2 * (n + len(words))) for a in (self.offset, self.size))
         if self.used + m > len(self.flat):
@@ -120,29 +149,65 @@ class WordEncoder:
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
         self.size[n : n + len(words)] = size
         self.offset[n : n + len(words)] = self.used + np.cumsum(size) - size
-        self.flat[self.used : self.used + m] = np.fromiter((x for y in ids for x in y), np.uint32, m)
+        self.flat[self.used : self.used + m] = ids
         self.used += m
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words, one after the other, and where texts end in them; the word b" " gives the end id."""
-        if len(self.known) > CACHE_WORDS:
-            self.reset()
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        miss = np.flatnonzero(at < 0).tolist()
-        if miss:
-            self.learn(list(dict.fromkeys(words[i] for i in miss)))
-            at[miss] = [self.known[words[i]] for i in miss]
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of remembered words, one after the other, and where each word ends in them."""
         size = self.size[at]
         end = np.cumsum(size)
-        return self.flat[np.repeat(self.offset[at] - end + size, size) + np.arange(end[-1] if len(end) else 0)], end[at == 0]
+        return self.flat[np.repeat(self.offset[at] - end + size, size) + np.arange(end[-1] if len(end) else 0)], end
+
+    def learn(self, words: list[str]) -> None:
+        """words are distinct and not known."""
+        cut = [RUNS.findall(w) if PLAIN.fullmatch(w) else [] for w in words]
+        new = list(dict.fromkeys(r for c in cut for r in c if r not in self.known))
+        encode = getattr(self.runs, "encode_batch_fast", self.runs.encode_batch)
+        got = [e.ids for e in encode([" ".join(new[i : i + JOINED]) for i in range(0, len(new), JOINED)], add_special_tokens=False)]
+        got = np.concatenate([np.zeros(0, np.int64), *(np.array(x, np.int64) for x in got)])
+        at = np.flatnonzero(self.ends[got]) + 1
+        if len(at) != len(new):
+            raise ValueError("the tokenizer does not end each run with an id of its own")
+        self.keep(new, got, np.diff(at, prepend=0))
+        several = [i for i, c in enumerate(cut) if len(c) > 1]
+        count = np.fromiter((len(cut[i]) for i in several), np.int64, len(several))
+        ids, end = self.ids(np.fromiter((self.known[r] for i in several for r in cut[i]), np.int64, int(count.sum())))
+        self.keep([words[i] for i in several], ids, np.diff(end[np.cumsum(count) - 1], prepend=0) if several else count)
+        whole = [w for w, c in zip(words, cut, strict=True) if not c]
+        ids = self.raw(whole)
+        self.keep(whole, np.fromiter((x for y in ids for x in y), np.int64), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """For an Arrow column of texts: all ids, one text after the other, and where each text ends in them."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not self.by_words:
+            ids = [[*x, END_ID] for x in self.raw(texts.to_pylist())]
+            return np.fromiter((x for y in ids for x in y), np.uint32), np.cumsum([len(x) for x in ids])
+        if len(self.known) > CACHE_WORDS:
+            self.reset()
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # the strings of special tokens stand as they are
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        own = words.dictionary.to_pylist()
+        code = np.fromiter(map(self.known.get, own, repeat(-1)), np.int64, len(own))
+        miss = np.flatnonzero(code < 0)
+        if len(miss):
+            new = [own[i] for i in miss.tolist()]
+            self.learn(new)
+            code[miss] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        ends = np.asarray(split.offsets)[1:] - np.asarray(split.offsets)[0]
+        ids, end = self.ids(np.insert(code[words.indices.to_numpy()], ends, 0))
+        return ids, end[ends + np.arange(len(ends))]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -170,6 +235,13 @@ def parse(b: bytes) -> tuple[np.ndarray, np.ndarray, EliasFano, np.ndarray]:
     return doc_ids, missing, ends, np.frombuffer(b, f"<u{width}", offset=at + took)
 
 
+def pc_size(texts) -> np.ndarray:
+    """Bytes of each text of an Arrow column."""
+    import pyarrow.compute as pc
+
+    return pc.binary_length(texts).to_numpy(zero_copy_only=False)
+
+
 def write_tokens(docs: DataFrame, id_col: str, text_col: str, folder: str, tokenizer: str) -> DataFrame:
     """Writes the ids of all texts in ascending order of id and returns the list of files: part, seq, path, n_docs, n_ids, start.
 
@@ -179,40 +251,34 @@ def write_tokens(docs: DataFrame, id_col: str, text_col: str, folder: str, token
     harm. start is the count of ids in all files before.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         enc, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         store, root = file_system(folder)
-        doc_ids, missing, ends, ids, total = [], [], [], [], 0
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def flush() -> pd.DataFrame:
-            nonlocal doc_ids, missing, ends, ids, total, seq
+        def flush():
+            nonlocal held, seq
             path = f"{part:06d}-{seq:05d}-{uuid.uuid4().hex}.ids"
+            doc_ids, missing, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
             with store.open_output_stream(f"{root}/{path}") as out:
-                out.write(file_bytes(np.array(doc_ids, np.int64), np.array(missing, bool), np.array(ends, np.int64), np.concatenate(ids), enc.width))
-            row = pd.DataFrame({"part": [part], "seq": [seq], "path": [path], "n_docs": [len(doc_ids)], "n_ids": [total]})
-            doc_ids, missing, ends, ids, total, seq = [], [], [], [], 0, seq + 1
+                out.write(file_bytes(doc_ids, missing, np.cumsum(sizes), ids, enc.width))
+            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [path], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]})
+            held, seq = [], seq + 1
             return row
 
-        def take() -> None:
-            nonlocal total, words
-            now, end = enc.encode(words)
-            ids.append(now.astype(f"<u{enc.width}"))
-            ends.extend((end + total).tolist())
-            total, words = total + len(now), []
-
-        words: list[bytes] = []
         for b in batches:
-            for i, none, t in zip(b["id"].fillna(0).astype("int64").tolist(), b["none"].tolist(), b["t"].tolist(), strict=True):
-                doc_ids.append(i)
-                missing.append(none)
-                words += t.encode("utf-8", "replace").split()
-                words.append(b" ")
-                if len(words) >= CHUNK:
-                    take()
-                    if total >= FILE_IDS:
-                        yield flush()
-        take()
-        if doc_ids:
+            size = pc_size(b.column("t"))
+            for p in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // CHUNK)) + 1):
+                if not len(p):
+                    continue
+                here = b.slice(int(p[0]), len(p))
+                ids, ends = enc.encode(here.column("t"))
+                held.append((here.column("id").to_numpy(), here.column("none").to_numpy(zero_copy_only=False), np.diff(ends, prepend=0), ids.astype(f"<u{enc.width}")))
+                if sum(len(x[3]) for x in held) >= FILE_IDS:
+                    yield flush()
+        if held:
             yield flush()
 
     spark = docs.sparkSession
@@ -220,7 +286,7 @@ def write_tokens(docs: DataFrame, id_col: str, text_col: str, folder: str, token
     store.create_dir(root, recursive=True)
     src = docs.select(col(id_col).cast("bigint").alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("t"))
     src = src.withColumn("h", F.xxhash64("t")).repartitionByRange(F.col("id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("id").asc_nulls_first(), "h", "t")
-    files = kept(src.select("id", F.col("id").isNull().alias("none"), "t").mapInPandas(run, "part int, seq int, path string, n_docs long, n_ids long"), "token-files")
+    files = kept(src.select(F.coalesce("id", F.lit(0).cast("bigint")).alias("id"), F.col("id").isNull().alias("none"), "t").mapInArrow(run, "part int, seq int, path string, n_docs long, n_ids long"), "token-files")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

@@ -281,15 +281,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def chosen(r, b: Batch) -> Iterator[pd.DataFrame]:
         at, begin = left(r, b)
         at, before, after = b.around(at, b.among(begin, length, joined(r.string)))
-        yield pd.DataFrame({"batch": [r.batch], "at": [at.astype("<i8").tobytes()], "before": [before.astype("<i8").tobytes()], "after": [after.astype("<i8").tobytes()]})
+        yield pd.DataFrame({"batch": [r.batch], "at": [np.diff(at, prepend=0).astype("<u4").tobytes()], "before": [before.astype("<u2").tobytes()], "after": [after.astype("<u2").tobytes()]})
 
     def again(r, b: Batch):
-        return b.sent(*(np.frombuffer(x if x is not None else b"", "<i8") for x in (r.at, r.before, r.after)))
+        at, before, after = (np.frombuffer(x if x is not None else b"", kind).astype(np.int64) for x, kind in ((r.at, "<u4"), (r.before, "<u2"), (r.after, "<u2")))
+        return b.sent(np.cumsum(at), before, after)
 
     def suffixes(r, b: Batch) -> Iterator[pd.DataFrame]:
         for i, (keys, rows, _, _, _) in enumerate(again(r, b)):
             full, cut = cuts(keys, bits)
-            yield pd.DataFrame({"range": full, "batch": r.batch, "piece": np.int32(i), "rows": [zstandard.compress(rows[x:y].tobytes(), 1) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]})
+            yield pd.DataFrame({"range": full, "batch": r.batch, "piece": np.int32(i), "rows": [zstandard.compress(rows[x:y].tobytes(), 3) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]})
 
     def sort(g: pd.DataFrame) -> pd.DataFrame:
         """A bucket: its suffixes sorted, and for each the strings it shares, as bits."""

@@ -1,7 +1,7 @@
 """Language identification by string kernels.
 
 The kernel of two texts is the number of distinct byte n-grams (n = 1, 2, 3 blended, A-Z lowered) that both hold, divided by
-the geometric mean of how many each holds. n-grams that no landmark holds are not counted at all. Nystroem landmarks turn
+the geometric mean of how many each holds. Nystroem landmarks turn
 it into features, on which one ridge regression a language is solved against the rest.
 """
 
@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, table
+from .common import col, kept, table
 from .simhash import LOWER
 
 #: Bounds on the labelled rows that the classifier is fitted on: rows and landmarks for each language.
 TRAIN_PER_LANG, LANDMARKS_PER_LANG = 400, 32
 RIDGE = 1e-3
+BINS = 4096
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Cells of the presence matrix of a batch.
@@ -36,6 +37,12 @@ def codes(text: str) -> list[np.ndarray]:
     return [a, two + 256, ((two[:-1] << 8) | a[2:]) + (256 + (1 << 16))]
 
 
+def distinct(c: np.ndarray) -> int:
+    """How many distinct codes there are."""
+    c = np.sort(c)
+    return int(np.count_nonzero(c[1:] != c[:-1])) + 1 if len(c) else 0
+
+
 class Model:
     """Landmarks as a presence matrix over their n-grams, and the weights of the kernels with them."""
 
@@ -50,7 +57,7 @@ class Model:
     def presence(self, texts: list[list[np.ndarray]]) -> np.ndarray:
         """A row for each text, a column for each n-gram that a landmark holds; the last column takes all others and is left out."""
         if self._column is None:
-            self._column = np.full(CODES, len(self.grams), np.int32)
+            self._column = np.full(CODES, len(self.grams), np.uint16 if len(self.grams) < 1 << 16 else np.int32)
             self._column[self.grams] = np.arange(len(self.grams))
         x = np.zeros((len(texts), len(self.grams) + 1), np.float32)
         for row, parts in zip(x, texts, strict=True):
@@ -62,8 +69,8 @@ class Model:
         """Kernels with every landmark, in batched matrix products, and a constant."""
         out, step = [], max(1, CELLS // (len(self.grams) + 1))
         for i in range(0, len(texts), step):
-            x = self.presence(texts[i : i + step])
-            out.append((x @ self.marks) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None])
+            own = np.array([max(1, sum(map(distinct, t))) for t in texts[i : i + step]], np.float32)
+            out.append((self.presence(texts[i : i + step]) @ self.marks) / np.sqrt(own)[:, None])
         k = np.concatenate(out) if out else np.zeros((0, self.marks.shape[1]), np.float32)
         return np.c_[k, np.ones(len(k), k.dtype)]
 
@@ -124,13 +131,17 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
     """Fits on TRAIN_PER_LANG different labelled rows of each language at most, those of least hash of id and text.
 
-    They are chosen by hash alone and their texts are fetched afterwards, through a broadcast of TRAIN_PER_LANG hashes a language. The
+    They are chosen by hash alone and their texts are fetched afterwards, through a broadcast of TRAIN_PER_LANG hashes a language. Hashes are first
+    counted in BINS bins, so that of a language with a third of all rows only those of the least bins are sorted. The
     driver receives their languages and distinct n-grams, of which a text has CODES at most.
     """
     src = docs.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("t"))
     src = src.where(F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}")).select("lang", F.xxhash64("id", "t").alias("h"), "t")
-    number = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = src.select("lang", "h").distinct().withColumn("n", number).where(F.col("n") <= TRAIN_PER_LANG)
+    h = kept(src.select("lang", "h").distinct().withColumn("bin", F.shiftrightunsigned("h", 65 - BINS.bit_length())), "language-hashes")
+    seen = F.sum("n").over(Window.partitionBy("lang").orderBy("bin")) - F.col("n")
+    bins = h.groupBy("lang", "bin").agg(F.count("*").alias("n")).withColumn("seen", seen).where(F.col("seen") < TRAIN_PER_LANG).select("lang", "bin")
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("bin", "h"))
+    chosen = h.join(F.broadcast(bins), ["lang", "bin"]).withColumn("n", number).where(F.col("n") <= TRAIN_PER_LANG).select("lang", "h", "n")
     least = src.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "n").agg(F.first("t").alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

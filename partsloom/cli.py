@@ -24,6 +24,13 @@ def binary_form(text: str) -> str:
     return "native" if n else "binary"
 
 
+def device(text: str) -> int:
+    n = int(text)
+    if n < 0:
+        raise argparse.ArgumentTypeError("must be 0 or more")
+    return n
+
+
 class Lenient(argparse.ArgumentParser):
     """Upper-case options are the lower-case ones."""
 
@@ -49,7 +56,7 @@ def parser() -> Lenient:
             c.add_argument("-i", type=positive, default=2000, dest="iterations", help="most iterations")
             c.add_argument("-j", type=positive, default=10, dest="period", help="iterations between tests")
             c.add_argument("-t", type=positive, default=40, dest="threshold", help="unchanged tests before the last")
-            c.add_argument("-z", type=int, default=0, help="ignored")
+            c.add_argument("-z", type=device, default=0, help="0 or more; ignored")
             c.add_argument("--seed", type=int)
     g = sub.add_parser("generate")
     g.add_argument("path")

@@ -36,11 +36,19 @@ class Matrix:
     def dense_rows(self) -> DataFrame:
         """(i, row array<double>) for every row, zeros filled in. A row is one task's value: columns must fit in memory, rows need not."""
         spark = self.cells.sparkSession
-        packed = self.cells.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("m"))
-        filled = F.transform(F.sequence(F.lit(0), F.lit(self.n_cols - 1)), lambda j: F.coalesce(F.element_at("m", j.cast("int")), F.lit(0.0)))
-        return spark.range(self.n_rows).withColumnRenamed("id", "i").join(packed, "i", "left").select("i", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), self.n_cols)).otherwise(filled).alias("row"))
-
-    def show(self, rows: int = 9, cols: int = 15) -> None:
-        """Prints the top left corner."""
+        packed = self.cells.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("p"))
+        zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+        before = lambda k: F.coalesce(F.get("p", k - 1)["j"], F.lit(-1))
+        each = F.transform("p", lambda x, k: F.concat(zeros(x["j"] - before(k) - 1), F.array(x["v"])))  # one pass over the stored cells, each with the zeros before it
+        filled = F.concat(F.flatten(each), zeros(F.lit(self.n_cols - 1) - F.element_at("p", -1)["j"]))
+        return spark.range(self.n_rows).withColumnRenamed("id", "i").join(packed, "i", "left").select("i", F.when(F.col("p").isNull(), zeros(F.lit(self.n_cols))).otherwise(filled).alias("row"))
+
+    def preview(self, rows: int = 9, cols: int = 15, vector: int = 225) -> DataFrame:
+        """(i, row) of the top left corner; of a single row or column its first vector cells."""
+        rows, cols = (vector, 1) if self.n_cols == 1 else (1, vector) if self.n_rows == 1 else (rows, cols)
         corner = self.cells.where((F.col("i") < rows) & (F.col("j") < cols))
-        Matrix(corner, min(rows, self.n_rows), min(cols, self.n_cols)).dense_rows().orderBy("i").show(rows, truncate=False)
+        return Matrix(corner, min(rows, self.n_rows), min(cols, self.n_cols)).dense_rows()
+
+    def show(self) -> None:
+        """Prints the preview."""
+        self.preview().orderBy("i").show(225, truncate=False)

@@ -23,9 +23,23 @@ def at_cells(v: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
     return v.join(packed(w, "i", "w", "w"), "i").join(packed(h, "j", "h", "h"), "j").select("i", "j", "v", dot("w", "h").alias("wh"), "w", "h")
 
 
-def matmul(w: DataFrame, h: DataFrame) -> DataFrame:
-    """W * H at all cells: (i, j, wh). A join on k alone would meet all rows in K tasks; partial sums keep the exchange at one row a cell and task."""
-    return w.join(h, "k").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("h")).alias("wh"))
+#: Columns of H that meet a row of W at a time.
+COLUMNS = 4096
+
+
+def matmul(w: DataFrame, h: DataFrame, columns: int = COLUMNS) -> DataFrame:
+    """W * H at all cells: (i, j, wh).
+
+    A row of W, as an array, meets blocks of H's columns, as arrays too, and gives a dot product a column; nothing is exchanged by k or by cell, and no
+    block is larger than columns * K numbers. Spark sends the blocks to all tasks if they are small, and deals rows out by block if not.
+    """
+    last = h.agg(F.max("j")).first()[0]
+    if last is None:
+        return w.limit(0).select("i", F.lit(0).alias("j"), F.col("w").alias("wh"))
+    blocks = packed(h, "j", "h", "h").withColumn("block", F.expr(f"j div {columns}")).groupBy("block").agg(F.collect_list(F.struct("j", "h")).alias("c"))
+    rows = packed(w, "i", "w", "w").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last // columns).cast("bigint"))))
+    products = F.transform("c", lambda c: F.struct(c["j"].alias("j"), dot(F.col("w"), c["h"]).alias("wh")))
+    return rows.join(blocks, "block").select("i", F.explode(products).alias("x")).select("i", "x.j", "x.wh")
 
 
 def divide(v: DataFrame, wh: DataFrame) -> DataFrame:

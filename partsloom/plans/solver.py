@@ -21,6 +21,7 @@ from ..functions.numeric import R_MIN
 from ..model import Matrix
 from ..operators.start import FACTOR, PRIME, new_seed
 from ..session import checkpoint_dir
+from ..sources.compose import delete
 from ..sources.validate import check_rank
 
 #: Cells of V up to which one task solves all, and cells of a block.
@@ -34,6 +35,8 @@ class Options:
     period: int = 10
     threshold: int = 40
     seed: int | None = None
+    #: Cells up to which one task solves all; the results are the same, to rounding, either way.
+    local_cells: int = LOCAL_CELLS
 
     def __post_init__(self):
         for what in ("iterations", "period", "threshold"):
@@ -64,7 +67,8 @@ def start_values(index: np.ndarray, k: int, matrix: int, seed: int) -> np.ndarra
 
 
 def ratios(v: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return v / (w @ h.T)
+    """V / (W H); where V is zero that is zero, even if W H has become so small that it is zero too, as in the updates on long tables."""
+    return np.where(v == 0, 0.0, v / (w @ h.T))
 
 
 def next_h(h: np.ndarray, num: np.ndarray, acc: np.ndarray) -> np.ndarray:
@@ -126,10 +130,10 @@ def solve_array(v: np.ndarray, o: Options, seed: int) -> tuple[np.ndarray, np.nd
     return w, h, len(watch.trace) * o.period if done else o.iterations, done, distance, watch.trace
 
 
-def factorize(m: Matrix, options: Options = Options(), local_cells: int = LOCAL_CELLS) -> Result:
+def factorize(m: Matrix, options: Options = Options(), local_cells: int | None = None) -> Result:
     check_rank(options.k, m)
     seed = new_seed() if options.seed is None else options.seed
-    return _in_one_task(m, options, seed) if m.n_rows * m.n_cols <= local_cells else _by_blocks(m, options, seed)
+    return _in_one_task(m, options, seed) if m.n_rows * m.n_cols <= (options.local_cells if local_cells is None else local_cells) else _by_blocks(m, options, seed)
 
 
 def _long(spark: SparkSession, factor: np.ndarray, key: str, value: str) -> DataFrame:
@@ -167,14 +171,20 @@ def _by_blocks(m: Matrix, o: Options, seed: int) -> Result:
     blocks = -(-n_rows // rows)
     parts = min(blocks, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
-    def dense(g: pd.DataFrame) -> pd.DataFrame:
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        """A block's stored cells, by place."""
         b = int(g["block"].iloc[0])
-        v = np.zeros((min(rows, n_rows - b * rows), cols))
-        v[g["i"] - b * rows, g["j"]] = g["v"]
-        return pd.DataFrame({"block": [b], "v": [v.tobytes()]})
+        at = (g["i"].to_numpy(np.int64) - b * rows) * cols + g["j"].to_numpy(np.int64)
+        return pd.DataFrame({"block": [b], "at": [at.astype("<i8").tobytes()], "v": [g["v"].to_numpy("<f8").tobytes()]})
 
-    v = m.cells.withColumn("block", F.expr(f"i div {rows}")).groupBy("block").applyInPandas(dense, "block bigint, v binary")
-    v = v.repartition(parts, "block").persist(StorageLevel.MEMORY_AND_DISK)
+    def dense(r) -> np.ndarray:
+        x = np.zeros((min(rows, n_rows - r.block * rows), cols))
+        x.ravel()[np.frombuffer(r.at, "<i8")] = np.frombuffer(r.v, "<f8")
+        return x
+
+    # one exchange deals the cells out, and joins by block need no other
+    v = m.cells.withColumn("block", F.expr(f"i div {rows}")).repartition(parts, "block").groupBy("block").applyInPandas(pack, "block bigint, at binary, v binary")
+    v = v.persist(StorageLevel.MEMORY_AND_DISK)
 
     def shares(left: DataFrame, h: np.ndarray | None, kind: str) -> DataFrame:
         """kind: start, W at its first values; step, W moved on with h; floor, W floored; end, the distance with h."""
@@ -184,7 +194,7 @@ def _by_blocks(m: Matrix, o: Options, seed: int) -> Result:
             num, acc, dots = 0.0, 0.0, np.zeros(2)
             for b in batches:
                 for r in b.itertuples(index=False):
-                    x = np.frombuffer(r.v).reshape(-1, cols)
+                    x = dense(r)
                     with np.errstate(all="ignore"):
                         if kind == "start":
                             w = start_values(r.block * rows + np.arange(len(x)), o.k, 0, seed)
@@ -219,6 +229,8 @@ def _by_blocks(m: Matrix, o: Options, seed: int) -> Result:
         shares(left, h, kind).write.parquet(path)
         d = spark.read.schema("block bigint, w binary, share binary").parquet(path)
         s = total(d)
+        if turn > 1:  # nothing reads the W before any more
+            delete(spark, f"{folder}/{turn - 1}")
         return d.where("block >= 0").select("block", "w"), s[: cols * o.k].reshape(cols, o.k), s[cols * o.k :]
 
     # The share that comes with a W is that of the next H: numerators with the H before, W's sums.

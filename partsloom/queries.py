@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.numeric import R_MIN
-from .model import Matrix
+from . import cli
+from .functions.numeric import NUMBERS, R_MIN
+from .model import Matrix, MatrixError
 from .operators import matrix as mx
 from .operators.start import FACTOR, PRIME, start_h, start_w
 from .plans.solver import Options, factorize
 from .plans.updates import iterate, update_h, update_w
 from .session import checkpoint_dir
 from .sources import files, tables, validate
+from .sources.binary import INTEGER
+from .sources.compose import compose
+from .sources.text import numbered_lines
 
 K, SEED = 2, 3
 
@@ -74,10 +79,12 @@ def validate_cells(spark, sf):
 
 
 def empty_rows_cols(spark, sf):
-    m = _months(spark, sf)
-    some = m.cells.where("(i + j) % 7 > 0 AND i % 11 > 0 AND j % 13 > 0")
-    rows = validate.empty_lines(some, "i", m.n_rows).select(F.lit("row").alias("what"), F.col("i").alias("idx"))
-    return rows.union(validate.empty_lines(some, "j", m.n_cols).select(F.lit("column"), F.col("j")))
+    """Parts that were never returned, and months in which nothing was: rows and columns of all parts by all months without a cell."""
+    x = spark.read.parquet(f"{sf}/lineitem.parquet")
+    every = tables.pivot_sum(x, F.col("l_partkey"), F.date_format("l_shipdate", "yyyy-MM"), F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0.0))
+    some = every.cells.where("v <> 0")
+    rows = validate.empty_lines(some, "i", every.n_rows).select(F.lit("row").alias("what"), F.col("i").alias("idx"))
+    return rows.union(validate.empty_lines(some, "j", every.n_cols).select(F.lit("column"), F.col("j")))
 
 
 def transpose(spark, sf):
@@ -205,11 +212,201 @@ def nmf_block(spark, sf):
 
 
 def text_roundtrip(spark, sf):
+    """One file, put together from four parts."""
+    m, path = _v(spark, sf)[0], _scratch(spark)
+    files.write_matrix(m, path, "text", n=4)
+    return files.read_matrix(spark, path, "text", numeric_labels=True).cells
+
+
+def text_folder_roundtrip(spark, sf):
+    """A folder of four part files, read as it was written."""
+    m, path = _v(spark, sf)[0], _scratch(spark)
+    files.write_matrix(m, path, "text", single=False, n=4)
+    return files.read_matrix(spark, path, "text", numeric_labels=True).cells
+
+
+def text_append(spark, sf):
+    """The same matrix without tags twice in one file."""
+    m, path = _v(spark, sf)[0], _scratch(spark)
+    for append in (False, True):
+        files.write_matrix(Matrix(m.cells, m.n_rows, m.n_cols), path, "text", append=append)
+    return files.read_matrix(spark, path, "text").cells
+
+
+def text_file_lines(spark, sf):
+    """The file's lines as they stand: corner and headers, then label and cells."""
+    m, path = _v(spark, sf)[0], _scratch(spark)
+    files.write_matrix(m, path, "text")
+    return numbered_lines(spark, path)
+
+
+def text_known_shape(spark, sf):
+    """Without the rules of validation, of a known shape, transposed."""
+    m, path = _v(spark, sf)[0], _scratch(spark)
+    files.write_matrix(m, path, "text")
+    return files.read_matrix(spark, path, "text", numeric_labels=True, check=False, shape=(m.n_rows, m.n_cols), transpose=True).cells
+
+
+def transpose_file(spark, sf):
+    m, path = _v(spark, sf)[0], _scratch(spark)
+    files.write_matrix(m, path, "binary")
+    files.transpose_file(spark, path, path + "-t", "binary")
+    return files.read_matrix(spark, path + "-t", "binary").cells
+
+
+def transposed_on_save(spark, sf):
+    m, path = _v(spark, sf)[0], _scratch(spark)
+    files.write_matrix(m, path, "text", transpose=True)
+    return files.read_matrix(spark, path, "text", numeric_headers=True).cells
+
+
+def binary_known_shape(spark, sf):
+    m, path = _v(spark, sf)[0], _scratch(spark)
+    files.write_matrix(m, path, "binary")
+    return files.read_matrix(spark, path, "binary", shape=(m.n_rows, m.n_cols), transpose=True).cells
+
+
+def integer_roundtrip(spark, sf):
+    m, path = _v(spark, sf)[0], _scratch(spark)
+    files.write_matrix(m, path, "binary", signature=INTEGER)
+    return files.read_matrix(spark, path, "binary", signature=INTEGER).cells
+
+
+def binary_tags(spark, sf):
+    m, path = _v(spark, sf)[0], _scratch(spark)
+    files.write_matrix(Matrix(m.cells, m.n_rows, m.n_cols, "counts", m.row_tags, m.col_tags), path, "binary")
+    return _tags_of(files.read_matrix(spark, path, "binary"))
+
+
+def _tags_of(m: Matrix) -> DataFrame:
+    spark = m.cells.sparkSession
+    name = spark.createDataFrame([("name", 0, m.name)], "what string, idx bigint, tag string")
+    return name.union(m.row_tags.select(F.lit("row"), "i", "label")).union(m.col_tags.select(F.lit("column"), F.col("j").cast("bigint"), "header"))
+
+
+def convert_text_binary_text(spark, sf):
+    m, path = _v(spark, sf)[0], _scratch(spark)
+    files.write_matrix(m, path, "text")
+    there = files.convert(spark, path, "text", "binary", numeric_labels=True)
+    back = files.convert(spark, there, "binary", "text")
+    return files.read_matrix(spark, back, "text", numeric_labels=True).cells
+
+
+def preview(spark, sf):
+    return _months(spark, sf).preview().select("i", F.posexplode("row").alias("j", "v"))
+
+
+def factor_files(spark, sf):
+    """What the command line writes beside its input after three iterations: W and H by their names."""
+    m, path = _v(spark, sf)[0], _scratch(spark)
+    files.write_matrix(m, path, "text")
+    cli.main(["factorize", path, "-R", "-k", str(K), "-i", "3", "-e", "0", "--seed", str(SEED)], spark)
+    w, h = (files.read_matrix(spark, f"{path}_{x}.dat", "binary") for x in "WH")
+    return _r(w.cells.select(F.lit("W").alias("factor"), "i", "j", "v").union(h.cells.select(F.lit("H"), "i", "j", "v")))
+
+
+def factor_file_tags(spark, sf):
     m, path = _v(spark, sf)[0], _scratch(spark)
     files.write_matrix(m, path, "text")
-    spark.read.text(path).coalesce(1).write.text(path + "-one")
-    one = spark.read.format("binaryFile").load(path + "-one").where("path like '%.txt'").first()["path"]
-    return files.read_matrix(spark, one, "text", numeric_labels=True).cells
+    cli.main(["factorize", path, "-r", "-K", str(K), "-I", "1", "--seed", str(SEED)], spark)
+    w = files.read_matrix(spark, f"{path}_W.txt", "text", numeric_labels=True)
+    h = files.read_matrix(spark, f"{path}_H.txt", "text")
+    return _tags_of(w).where("what <> 'name'").withColumn("factor", F.lit("W")).union(_tags_of(h).where("what <> 'name'").withColumn("factor", F.lit("H")))
+
+
+def block_distance(spark, sf):
+    """The relative distance after three iterations, found block by block."""
+    r = factorize(_v(spark, sf)[0], Options(K, 3, 10, 40, SEED), local_cells=0)
+    return _r(spark.createDataFrame([(r.distance,)], "distance double"))
+
+
+def _cases(spark: SparkSession, cases: dict[str, object], run: Callable) -> DataFrame:
+    """(name, outcome): what run gives for each case, or that it is an error."""
+    out = []
+    for name, case in cases.items():
+        try:
+            out.append((name, str(run(case))))
+        except (MatrixError, ValueError):
+            out.append((name, "error"))
+        except SystemExit as e:  # the command line's parser ends the process, with 0 for help
+            out.append((name, "error" if e.code else "help"))
+    return spark.createDataFrame(out, "name string, outcome string")
+
+
+def _text(spark: SparkSession, content: str, **options) -> Matrix:
+    path = _scratch(spark)
+    compose(path, [content.encode()], [])
+    return files.read_matrix(spark, path, "text", **options)
+
+
+def _shown(m: Matrix) -> str:
+    """A small matrix in one line: name, headers, labels, rows."""
+    tags = lambda d, k: "-" if d is None else ",".join(r[1] for r in d.orderBy(k).collect())
+    rows = " ".join(",".join("%g" % x for x in r["row"]) for r in m.dense_rows().orderBy("i").collect())
+    return f"{'-' if m.name is None else m.name}|{tags(m.col_tags, 'j')}|{tags(m.row_tags, 'i')}|{rows}"
+
+
+#: A file's content, the reader's options, and what is read.
+FORMS = {
+    "all tags": ("n\th1\th2\nr1\t1\t2\nr2\t3\t4\n", {}, "n|h1,h2|r1,r2|1,2 3,4"),
+    "headers": ("h1\th2\n1\t2\n3\t4\n", {}, "-|h1,h2|-|1,2 3,4"),
+    "name": ("my matrix\n1\t2\n3\t4\n", {}, "my matrix|-|-|1,2 3,4"),
+    "numbers": ("1\t2\n3\t4", {}, "-|-|-|1,2 3,4"),
+    "spaces": ("n h1 h2\nr1 1 2\nr2 3 4\n", {}, "n|h1,h2|r1,r2|1,2 3,4"),
+    "numeric labels": ("7\t1\t2\n8\t3\t4\n", {"numeric_labels": True}, "-|-|7,8|1,2 3,4"),
+    "numeric labels unsaid": ("7\t1\t2\n8\t3\t4\n", {}, "-|-|-|7,1,2 8,3,4"),
+    "numeric headers": ("5\t6\n1\t2\n3\t4\n", {"numeric_headers": True}, "-|5,6|-|1,2 3,4"),
+    "numeric headers unsaid": ("5\t6\n1\t2\n3\t4\n", {}, "-|-|-|5,6 1,2 3,4"),
+    "empty cells and tags": ("\th1\t\nr1\t\t2\n\t3\t4\n", {"numeric_labels": True}, "|h1,|r1,|0,2 3,4"),
+    "line ends": ("1\t2\r\n3\t4e1\r\n", {}, "-|-|-|1,2 3,40"),
+}
+#: Rows that the row parser accepts or not, after a good first one.
+ROWS = {"good": ("3\t4", "ok"), "exponent": ("3e0\t.4E+1", "ok"), "empty cell": ("\t4", "ok"), "blanks": (" 3 \t4", "ok"), "short": ("3", "error"), "long": ("3\t4\t5", "error"), "negative": ("-3\t4", "error"), "no number": ("x\t4", "error"), "comma": ("1,5\t4", "error"), "trailing": ("1d\t4", "error"), "nan": ("nan\t4", "error"), "infinite": ("inf\t4", "error"), "subnormal": ("1e-310\t4", "error"), "too great": ("1e999\t4", "error"), "zeros": ("0\t0", "error")}
+#: Endings of a file of two rows, and blank lines within.
+BLANKS = {"none": ("1\t2\n3\t4", "ok"), "one": ("1\t2\n3\t4\n\n", "ok"), "fifteen": ("1\t2\n3\t4\n" + "\n" * 15, "ok"), "sixteen": ("1\t2\n3\t4\n" + "\n" * 16, "error"), "between": ("1\t2\n\n3\t4\n", "error"), "first": ("\n1\t2\n3\t4\n", "error"), "empty file": ("", "error"), "blanks only": ("1\t2\n3\t4\n  \n", "ok")}
+#: Tokens that do or don't make a line a header.
+TOKENS = {"1": True, "-2.5": True, ".5e3": True, "": True, " ": True, "1 2  3": True, "+7.": True, "1e": False, "x": False, "1x": False, "1,5": False, "nan": False, "0x10": False, "1 b": False}
+SHAPES = {"2 x 2": ((2, 2), "ok"), "9 x 3": ((9, 3), "ok"), "1 x 5": ((1, 5), "error"), "5 x 1": ((5, 1), "error"), "0 x 0": ((0, 0), "error")}
+#: Arguments of the command line and what they say: path, rank, iterations, period, threshold, input and output form, numeric headers and labels.
+ARGUMENTS = {
+    "defaults": ("factorize f", "f 2 2000 10 40 text text False False"),
+    "all": ("factorize f -b 0 -e 7 -c -r -k 5 -i 9 -j 3 -t 2 -z 1", "f 5 9 3 2 binary native True True"),
+    "capitals": ("factorize f -B 3 -E 0 -C -R -K 5 -I 9 -J 3 -T 2 -Z 0", "f 5 9 3 2 native binary True True"),
+    "unknown": ("factorize f -q --verbose -k 3", "f 3 2000 10 40 text text False False"),
+    "no file": ("factorize -k 3", "error"), "no argument": ("factorize f -k", "error"), "no iterations": ("factorize f -i 0", "error"), "negative period": ("factorize f -j -1", "error"),
+    "no threshold": ("factorize f -t 0", "error"), "no number": ("factorize f -k two", "error"), "negative device": ("factorize f -z -1", "error"), "negative form": ("factorize f -b -1", "error"),
+    "rank one": ("factorize f -k 1", "error"), "help first": ("factorize -h -i 0", "help"),
+}
+
+
+def _arguments(text: str) -> str:
+    a = cli.parser().parse(text.split())
+    Options(a.k, a.iterations, a.period, a.threshold)
+    return f"{a.path} {a.k} {a.iterations} {a.period} {a.threshold} {a.source or 'text'} {a.target or 'text'} {a.numeric_headers} {a.numeric_labels}"
+
+
+def text_forms(spark, sf):
+    return _cases(spark, FORMS, lambda x: _shown(_text(spark, x[0], **x[1])))
+
+
+def row_parser(spark, sf):
+    return _cases(spark, ROWS, lambda x: _text(spark, f"1\t2\n{x[0]}\n5\t6\n") and "ok")
+
+
+def blank_lines(spark, sf):
+    return _cases(spark, BLANKS, lambda x: _text(spark, x[0]) and "ok")
+
+
+def numeric_tokens(spark, sf):
+    return spark.createDataFrame([(t,) for t in TOKENS], "token string").select("token", F.col("token").rlike(NUMBERS).alias("number"))
+
+
+def dimension_check(spark, sf):
+    return _cases(spark, SHAPES, lambda x: validate.check_shape(*x[0]) or "ok")
+
+
+def command_line(spark, sf):
+    return _cases(spark, ARGUMENTS, lambda x: _arguments(x[0]))
 
 
 def binary_roundtrip(spark, sf):
@@ -231,12 +428,14 @@ def generate_matrix(spark, sf):
 ALL = [
     matrix_scan_coo, matrix_shape, row_sums, col_sums, validate_cells, empty_rows_cols, transpose, combine_columns, dense_rows, column_tags, row_tags, factor_labels, init_w, init_h, matmul_wh,
     div_v_wh, sub_v_wh, mul_div, reduce_to_row, adjust, update_h_once, update_w_once, classification, connectivity_diff, dot_v_vwh, relative_distance, distance_gram, nmf_converge_trace,
-    nmf_factorize, nmf_block, text_roundtrip, binary_roundtrip, native_roundtrip, generate_matrix,
+    nmf_factorize, nmf_block, text_roundtrip, binary_roundtrip, native_roundtrip, generate_matrix, text_folder_roundtrip, text_append, text_file_lines, text_known_shape, transpose_file, transposed_on_save,
+    binary_known_shape, integer_roundtrip, binary_tags, convert_text_binary_text, preview, factor_files, factor_file_tags, block_distance, text_forms, row_parser, blank_lines, numeric_tokens, dimension_check, command_line,
 ]
 QUERIES = {f.__name__: f for f in ALL} | {"nmf_1_iter": _iters(1), "nmf_3_iters": _iters(3)}
 
 _EVENTS = "SELECT user_id AS r, event_type AS c, count(*)::DOUBLE AS v FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2"
 _MONTHS = "SELECT l_suppkey AS r, strftime(l_shipdate, '%Y-%m') AS c, sum(l_quantity) AS v FROM lineitem WHERE l_suppkey IS NOT NULL AND l_shipdate IS NOT NULL GROUP BY 1, 2"
+_RETURNS = "SELECT l_partkey AS r, strftime(l_shipdate, '%Y-%m') AS c, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS v FROM lineitem WHERE l_partkey IS NOT NULL AND l_shipdate IS NOT NULL GROUP BY 1, 2"
 _INDEX = """s AS ({}), ri AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS i FROM (SELECT DISTINCT r FROM s)),
 ci AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS j FROM (SELECT DISTINCT c FROM s)),
 V AS (SELECT i, j::INT AS j, v FROM s JOIN ri USING (r) JOIN ci USING (c))"""
@@ -275,6 +474,45 @@ def _chain(n: int, source: str = _EVENTS) -> list[str]:
     return out
 
 
+def _solver(source: str, k: int, most: int, period: int, threshold: int) -> str:
+    """A whole run as a recursion over one row that holds W and H as lists: z (iter, w, h, cls, inc, diff, done), one row an iteration."""
+    start = lambda index, matrix: f"list({_uniform(index, 'k', matrix)} ORDER BY k)"
+    floor = lambda f: f"list_transform({f}, lambda x: list_transform(x, lambda y: CASE WHEN test AND y < 2.2250738585072014e-308::DOUBLE THEN 2.2250738585072014e-308::DOUBLE ELSE y END)) AS {f}"
+    return f"""WITH RECURSIVE {_INDEX.format(source)},
+b AS (SELECT (SELECT list(r ORDER BY i) FROM (SELECT ri.i, list(coalesce(v, 0) ORDER BY ci.j) AS r FROM ri CROSS JOIN ci LEFT JOIN V ON V.i = ri.i AND V.j = ci.j GROUP BY ri.i)) AS v,
+  (SELECT list(w ORDER BY i) FROM (SELECT i, {start("i", 0)} AS w FROM ri, (SELECT unnest(range({k})) AS k) GROUP BY i)) AS w,
+  (SELECT list(h ORDER BY j) FROM (SELECT j, {start("j", 1)} AS h FROM ci, (SELECT unnest(range({k})) AS k) GROUP BY j)) AS h),
+z AS (
+  SELECT 0 AS iter, w, h, list_transform(h, lambda x: 1) AS cls, 0 AS inc, 0::BIGINT AS diff, false AS done FROM b
+  UNION ALL
+  SELECT iter + 1, w, h, CASE WHEN test THEN now ELSE cls END, CASE WHEN NOT test THEN inc WHEN d > 0 THEN 0 WHEN inc < {threshold} THEN inc + 1 ELSE inc END, d, test AND d = 0 AND inc >= {threshold}
+  FROM (
+    SELECT *, CASE WHEN test THEN (SELECT count(*) FROM range(1, len(now) + 1) p(x), range(1, len(now) + 1) q(y) WHERE x < y AND (now[x] = now[y]) <> (cls[x] = cls[y])) ELSE 0 END AS d
+    FROM (
+      SELECT iter, test, cls, inc, w, h, list_transform(h, lambda x: list_position(x, list_max(x))) AS now
+      FROM (
+        SELECT iter, cls, inc, test, {floor("w")}, {floor("h")}
+        FROM (
+          SELECT iter, cls, inc, (iter + 1) % {period} = 0 AS test, h,
+            list_transform(w, lambda x, i: list_transform(x, lambda y, k: y * list_sum(list_transform(h, lambda g, j: v[i][j] / list_inner_product(x, g) * g[k])) / list_sum(list_transform(h, lambda g: g[k])))) AS w
+          FROM (
+            SELECT z.iter, z.cls, z.inc, b.v, z.w,
+              list_transform(z.h, lambda g, j: list_transform(g, lambda y, k: y * list_sum(list_transform(z.w, lambda x, i: b.v[i][j] / list_inner_product(x, g) * x[k])) / list_sum(list_transform(z.w, lambda x: x[k])))) AS h
+            FROM z, b WHERE NOT z.done AND z.iter < {most}
+          )
+        )
+      )
+    )
+  )
+)
+"""
+
+
+def _values(cases: dict[str, tuple], what: int) -> str:
+    """The outcomes that the cases state."""
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{c[what]}')" for n, c in cases.items()) + ") t(name, outcome)"
+
+
 _CLS = "SELECT j, arg_max(k, h)::INT AS cls FROM {} GROUP BY j"
 SQL = {
     "matrix_scan_coo": _sql("SELECT i, j, v FROM V"),
@@ -282,7 +520,7 @@ SQL = {
     "row_sums": _sql("SELECT i, round(sum(v), 6) AS s FROM V GROUP BY i", _MONTHS),
     "col_sums": _sql("SELECT j, round(sum(v), 6) AS s FROM V GROUP BY j", _MONTHS),
     "validate_cells": "SELECT i, j, round(v, 6) AS v FROM (SELECT vec_id AS i, (generate_subscripts(embedding, 1) - 1)::INT AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) WHERE v < 0 OR (v > 0 AND v < 2.2250738585072014e-308::DOUBLE) OR NOT isfinite(v)",
-    "empty_rows_cols": _sql("SELECT 'row' AS what, i AS idx FROM ri WHERE i NOT IN (SELECT i FROM V WHERE (i + j) % 7 > 0 AND i % 11 > 0 AND j % 13 > 0) UNION ALL SELECT 'column', j FROM ci WHERE j NOT IN (SELECT j FROM V WHERE (i + j) % 7 > 0 AND i % 11 > 0 AND j % 13 > 0)", _MONTHS),
+    "empty_rows_cols": _sql("SELECT 'row' AS what, i AS idx FROM ri WHERE i NOT IN (SELECT i FROM V WHERE v <> 0) UNION ALL SELECT 'column', j FROM ci WHERE j NOT IN (SELECT j FROM V WHERE v <> 0)", _RETURNS),
     "transpose": _sql("SELECT j::BIGINT AS i, i::INT AS j, round(v, 6) AS v FROM V"),
     "combine_columns": _sql("SELECT i, j, v FROM V UNION ALL SELECT i, (j + (SELECT count(*) FROM ci))::INT, v * 2 FROM V"),
     "dense_rows": _sql("SELECT ri.i, ci.j::INT AS j, coalesce(v, 0) AS v FROM ri CROSS JOIN ci LEFT JOIN V ON V.i = ri.i AND V.j = ci.j", _MONTHS),
@@ -311,4 +549,21 @@ SQL = {
     "native_roundtrip": _sql("SELECT i, j, v FROM V"),
     "generate_matrix": f"SELECT i, j::INT AS j, round({_uniform('i', 'j', 2).replace(' + 2.2250738585072014e-308::DOUBLE', '')} * 2.5::DOUBLE, 6) AS v FROM (SELECT unnest(range(40)) AS i), (SELECT unnest(range(7)) AS j)",
 }
+_V = _sql("SELECT i, j, v FROM V")
+_TURNED = _sql("SELECT j::BIGINT AS i, i::INT AS j, v FROM V")
+SQL |= dict.fromkeys(["text_folder_roundtrip", "integer_roundtrip", "convert_text_binary_text"], _V) | dict.fromkeys(["text_known_shape", "transpose_file", "transposed_on_save", "binary_known_shape"], _TURNED)
+_TAGS = "SELECT 'row' AS what, i AS idx, r::VARCHAR AS tag FROM ri UNION ALL SELECT 'column', j::BIGINT, c FROM ci"
+SQL |= {
+    "text_append": _sql("SELECT i + n * (SELECT count(*) FROM ri) AS i, j, v FROM V, (SELECT unnest(range(2)) AS n)"),
+    "text_file_lines": _sql("SELECT 0::BIGINT AS line, chr(9) || (SELECT string_agg(c, chr(9) ORDER BY j) FROM ci) AS value UNION ALL SELECT i + 1, r || chr(9) || cells FROM (SELECT ri.i, r::VARCHAR AS r, string_agg(coalesce(v, 0)::BIGINT::VARCHAR, chr(9) ORDER BY ci.j) AS cells FROM ri CROSS JOIN ci LEFT JOIN V ON V.i = ri.i AND V.j = ci.j GROUP BY ri.i, r)"),
+    "binary_tags": _sql(f"SELECT 'name' AS what, 0::BIGINT AS idx, 'counts' AS tag UNION ALL {_TAGS}"),
+    "preview": _sql("SELECT ri.i, ci.j::INT AS j, coalesce(v, 0) AS v FROM ri CROSS JOIN ci LEFT JOIN V ON V.i = ri.i AND V.j = ci.j WHERE ri.i::DOUBLE < 9 AND ci.j::DOUBLE < 15", _MONTHS),
+    "factor_files": _sql("SELECT 'W' AS factor, i, k::INT AS j, round(w, 6) AS v FROM W3 UNION ALL SELECT 'H', k::BIGINT, j, round(h, 6) FROM H3", _EVENTS, *_chain(3)),
+    "factor_file_tags": _sql(f"SELECT 'W' AS factor, 'row' AS what, i AS idx, r::VARCHAR AS tag FROM ri UNION ALL SELECT 'W', 'column', k, 'Factor_' || k FROM (SELECT unnest(range({K})) AS k) UNION ALL SELECT 'H', 'row', k, 'Factor_' || k FROM (SELECT unnest(range({K})) AS k) UNION ALL SELECT 'H', 'column', j, c FROM ci"),
+    "block_distance": _sql("SELECT round(sqrt(sum((coalesce(v, 0) - x) * (coalesce(v, 0) - x))) / sqrt(sum(coalesce(v, 0) * coalesce(v, 0))), 6) AS distance FROM (SELECT i, j, sum(w * h) AS x FROM W3 JOIN H3 USING (k) GROUP BY i, j) LEFT JOIN V USING (i, j)", _EVENTS, *_chain(3)),
+    "text_forms": _values(FORMS, 2), "row_parser": _values(ROWS, 1), "blank_lines": _values(BLANKS, 1), "dimension_check": _values(SHAPES, 1), "command_line": _values(ARGUMENTS, 1),
+    "numeric_tokens": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {str(x).lower()})" for t, x in TOKENS.items()) + ") t(token, number)",
+    "nmf_converge_trace": _solver(_EVENTS, K, 2000, 10, 40) + "SELECT (iter // 10)::INT AS test, iter::INT AS iter, diff, inc::INT AS inc FROM z WHERE iter > 0 AND iter % 10 = 0",
+    "nmf_factorize": _solver(_MONTHS, 3, 200, 10, 40) + "SELECT (j - 1)::INT AS j, (k - 1)::INT AS k, round(h[j][k], 6) AS h FROM (SELECT h, unnest(range(1, len(h) + 1)) AS j FROM (SELECT * FROM z ORDER BY iter DESC LIMIT 1)), (SELECT unnest(range(1, 4)) AS k)",
+}
 SQL["distance_gram"] = SQL["relative_distance"]

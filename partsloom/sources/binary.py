@@ -6,6 +6,7 @@ row labels and column headers (TABs between) and the name. Native: rows, columns
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..model import Matrix, MatrixError
 from ..session import checkpointed
-from .validate import validate
+from .compose import compose, delete, file_system, scratch
+from .validate import check_shape, validate
 
 # Fixed values of the format: signatures of real and of integer matrices.
 REAL, INTEGER = 0xEDB10EA1, 0xEDB101DE
@@ -23,12 +25,6 @@ REAL, INTEGER = 0xEDB10EA1, 0xEDB101DE
 PIECE = 4_000_000
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def _tags(spark: SparkSession, tail: bytes, n: int, m: int) -> dict:
     lines = tail.decode().split("\n")
     lines = [x.rstrip("\r") for x in (lines[:-1] if lines and lines[-1] == "" else lines)]
@@ -53,7 +49,7 @@ def _tags(spark: SparkSession, tail: bytes, n: int, m: int) -> dict:
 
 def read_binary(spark: SparkSession, path: str, native: bool = False, real: str = "<f4", index: str = "<u4", check: bool = True, shape: tuple[int, int] | None = None, transpose: bool = False, signature: int = REAL) -> Matrix:
     """Only head and tags are read on the driver; the cells are decoded in pieces by tasks that seek to them."""
-    store, where = _filesystem(path)
+    store, where = file_system(path)
     real = np.dtype(real) if native else np.dtype("<i4" if signature == INTEGER else "<f8")
     index = np.dtype(index) if native else np.dtype("<u4")
     with store.open_input_file(where) as f:
@@ -69,8 +65,7 @@ def read_binary(spark: SparkSession, path: str, native: bool = False, real: str
         at += 2 * index.itemsize
         if shape and shape != (n, m):
             raise MatrixError(f"the matrix is {n} x {m}, not {shape[0]} x {shape[1]}")
-        if n < 2 or m < 2:
-            raise MatrixError(f"a matrix needs two rows and columns at least, not {n} x {m}")
+        check_shape(n, m)
         if size < at + n * m * real.itemsize:
             raise MatrixError("the file is cut short")
         f.seek(at + n * m * real.itemsize)
@@ -78,7 +73,7 @@ def read_binary(spark: SparkSession, path: str, native: bool = False, real: str
     rows = max(1, PIECE // m)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, where = _filesystem(path)
+        store, where = file_system(path)
         for b in batches:
             for first in b["id"] * rows:
                 k = min(rows, n - int(first))
@@ -96,16 +91,43 @@ def read_binary(spark: SparkSession, path: str, native: bool = False, real: str
 
 
 def write_binary(m: Matrix, path: str, native: bool = False, real: str = "<f4", index: str = "<u4", signature: int = REAL) -> None:
-    """One file in order of rows, streamed through the driver a row at a time, as the format is one sequence of bytes."""
-    store, where = _filesystem(path)
+    """One file in order of rows. Ranges of rows are written as pieces by tasks, and the file is put together from them; tags stream through the driver in order."""
+    spark = m.cells.sparkSession
     real = np.dtype(real) if native else np.dtype("<i4" if signature == INTEGER else "<f8")
     index = np.dtype(index) if native else np.dtype("<u4")
-    line = lambda d, key, tag, n: "\t".join((dict(map(tuple, d.select(key, tag).collect()))).get(i) or "" for i in range(n)) if d is not None else ""
-    with store.open_output_stream(where) as f:
-        if not native:
-            f.write(signature.to_bytes(4, "little"))
-        f.write(np.array([m.n_rows, m.n_cols], index).tobytes())
-        for r in checkpointed(m.dense_rows().orderBy("i")).toLocalIterator():
-            f.write(np.array(r["row"]).astype(real).tobytes())
+    folder = scratch(spark, "pieces")
+    store, where = file_system(folder)
+    store.create_dir(where, recursive=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, name = None, f"{uuid.uuid4().hex}.piece"  # each try of a task names its piece anew
+        store, where = file_system(folder)
+        with store.open_output_stream(f"{where}/{name}") as f:
+            for b in batches:
+                first = int(b["i"].iloc[0]) if first is None and len(b) else first
+                for row in b["row"]:
+                    f.write(np.asarray(row).astype(real).tobytes())
+        if first is not None:
+            yield pd.DataFrame({"first": [first], "name": [name]})
+
+    rows = m.dense_rows().repartitionByRange("i").sortWithinPartitions("i")
+    pieces = checkpointed(rows.mapInPandas(run, "first bigint, name string")).orderBy("first").collect()
+
+    def line(tags: DataFrame | None, key: str, tag: str, n: int) -> Iterator[bytes]:
+        if tags is not None:
+            at = 0
+            for r in tags.select(F.col(key).cast("bigint").alias("k"), tag).where((F.col("k") >= 0) & (F.col("k") < n)).orderBy("k").toLocalIterator():
+                yield b"\t" * (r["k"] - at) + (r[tag] or "").encode()
+                at = r["k"]
+            yield b"\t" * (n - 1 - at)
+
+    def tail() -> Iterator[bytes]:
         if m.tagged:
-            f.write("\n".join([line(m.row_tags, "i", "label", m.n_rows), line(m.col_tags, "j", "header", m.n_cols), m.name or ""]).encode() + b"\n")
+            yield from line(m.row_tags, "i", "label", m.n_rows)
+            yield b"\n"
+            yield from line(m.col_tags, "j", "header", m.n_cols)
+            yield f"\n{m.name or ''}\n".encode()
+
+    head = [] if native else [signature.to_bytes(4, "little")]
+    compose(path, [*head, np.array([m.n_rows, m.n_cols], index).tobytes()], (f"{folder}/{r['name']}" for r in pieces), tail())
+    delete(spark, folder)

@@ -29,7 +29,7 @@ def write_matrix(m: Matrix, path: str, fmt: str = "text", transpose: bool = Fals
         raise MatrixError(f"there is no format {fmt}")
     if transpose and fmt != "native":
         m = m.transpose()
-    write_text(m, path) if fmt == "text" else write_binary(m, path, native=fmt == "native", **options)
+    write_text(m, path, **options) if fmt == "text" else write_binary(m, path, native=fmt == "native", **options)
 
 
 def convert(spark: SparkSession, path: str, source: str, target: str, **options) -> str:

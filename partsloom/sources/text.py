@@ -10,21 +10,39 @@ from pyspark.sql.window import Window
 
 from ..functions.numeric import NUMBERS, format_g, is_valid, parse_cell
 from ..model import Matrix, MatrixError
+from ..session import checkpointed
+from .compose import compose, delete, scratch
 from .validate import validate
 
 MOST_BLANK = 15
 
 
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, at, id): lines of a file, or of the files in a folder, CR LF and LF endings alike, with the file and the place in it where the split begins."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    return raw.select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line bigint, value): lines of one file in order, CR LF and LF endings alike.
+    """(line bigint, value): lines in order; a folder's files follow each other by name.
 
-    Lines are numbered within the splits of the file, which are read apart, and the splits' counts (a row a split) are added up.
+    Lines are numbered within the splits of the files, which are read apart, and the splits' counts (a row a split) are added up.
     """
-    raw = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
-    counts = raw.groupBy("at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("at", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return raw.join(F.broadcast(offsets), "at").select((F.col("offset") + F.col("id") - F.col("first")).alias("line"), "value")
+    raw = lines_of(spark, path)
+    counts = raw.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("file", "at", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return raw.join(offsets, ["file", "at"]).select((F.col("offset") + F.col("id") - F.col("first")).alias("line"), "value")
+
+
+def first_lines(spark: SparkSession, path: str, n: int = 2) -> list[str]:
+    """The first n lines; reads no further."""
+    out: list[str] = []
+    for f in sorted(spark.read.text(path).inputFiles()):
+        out += [r["value"].rstrip("\r") for r in spark.read.option("lineSep", "\n").text(f).head(n - len(out))]
+        if len(out) == n:
+            break
+    return out
 
 
 def _number(token: str) -> bool:
@@ -68,32 +86,41 @@ def infer(first: str, second: str | None, numeric_headers: bool = False, numeric
 
 
 def read_text(spark: SparkSession, path: str, numeric_headers: bool = False, numeric_labels: bool = False, check: bool = True, shape: tuple[int, int] | None = None, transpose: bool = False) -> Matrix:
-    """An empty cell is 0 and an empty tag stays an empty one. Up to MOST_BLANK blank lines may end the file; a blank line before data is an error.
+    """A file or a folder of part files. An empty cell is 0 and an empty tag stays an empty one. Up to MOST_BLANK blank lines may end the file; a blank line before data is an error.
 
-    shape: rows and columns that the file must have. check=False leaves out the rules of validate().
+    shape: rows and columns that the file must have. check=False leaves out the rules of validate(). The lines are numbered and parsed
+    once and written down; their faults are found in one pass over that.
     """
-    head = [r["value"].rstrip("\r") for r in spark.read.option("lineSep", "\n").text(path).head(2)]
+    head = first_lines(spark, path)
     if not head or not head[0]:
         raise MatrixError("the file is empty")
     form = infer(head[0], head[1] if len(head) > 1 else None, numeric_headers, numeric_labels)
+    width = form["n_cols"] + form["labels"]
     lines = numbered_lines(spark, path).where(F.col("line") >= form["first"])
     tokens = lines.select((F.col("line") - form["first"]).alias("i"), (F.trim("value") == "").alias("blank"), F.split("value", re.escape(form["sep"]), -1).alias("t"))
-    width = form["n_cols"] + form["labels"]
-    data = tokens.where("not blank")
-    seen = tokens.agg(F.sum(F.col("blank").cast("int")).alias("blank"), F.min(F.when(F.col("blank"), F.col("i"))).alias("first_blank"), F.max(F.when(~F.col("blank"), F.col("i"))).alias("last"), F.min(F.when(~F.col("blank") & (F.size("t") != width), F.col("i"))).alias("odd")).first()
+    tokens = tokens.select("i", "blank", (F.size("t") != width).alias("odd"), F.get("t", F.lit(0)).alias("label"), F.slice("t", 1 + form["labels"], form["n_cols"]).alias("t"))
+    values = tokens.withColumn("v", F.transform("t", parse_cell))
+    bad = F.array_position(F.transform("v", lambda x: x.isNull() | (~is_valid(x) if check else F.lit(False))), True)
+    values = values.withColumn("bad", F.when(~F.col("blank") & ~F.col("odd"), bad).otherwise(0).cast("int"))
+    parsed = checkpointed(values.select("i", "blank", "odd", "label", "bad", F.get("t", F.col("bad") - 1).alias("token"), "v"))
+    least = lambda when, *what: F.min(F.when(when, F.struct("i", *what)))
+    seen = parsed.agg(
+        F.sum(F.col("blank").cast("int")).alias("blank"), F.min(F.when(F.col("blank"), F.col("i"))).alias("first_blank"), F.max(F.when(~F.col("blank"), F.col("i"))).alias("last"),
+        F.min(F.when(~F.col("blank") & F.col("odd"), F.col("i"))).alias("odd"), least(F.col("bad") > 0, "bad", "token").alias("bad"),
+    ).first()
     if seen["last"] is None:
         raise MatrixError("there is no line of data")
     if seen["blank"] and (seen["first_blank"] < seen["last"] or seen["blank"] > MOST_BLANK):
         raise MatrixError(f"row {seen['first_blank']} is blank")
     if seen["odd"] is not None:
         raise MatrixError(f"row {seen['odd']} does not have {width} entries")
-    cells = data.select("i", F.posexplode(F.slice("t", 1 + form["labels"], form["n_cols"])).alias("j", "token"))
-    cells = cells.select("i", F.col("j").cast("int").alias("j"), "token", parse_cell(F.col("token")).alias("v"))
-    if bad := cells.where(F.col("v").isNull() | (~is_valid(F.col("v")) if check else F.lit(False))).limit(1).collect():
-        raise MatrixError(f"row {bad[0]['i']}, column {bad[0]['j']}: {bad[0]['token']!r} is no number that a cell can hold")
-    labels = data.select("i", F.col("t")[0].alias("label")) if form["labels"] else None
+    if seen["bad"] is not None:
+        raise MatrixError(f"row {seen['bad']['i']}, column {seen['bad']['bad'] - 1}: {seen['bad']['token']!r} is no number that a cell can hold")
+    data = parsed.where("not blank")
+    cells = data.select("i", F.posexplode("v").alias("j", "v")).where("v <> 0").select("i", F.col("j").cast("int").alias("j"), "v")
+    labels = data.select("i", "label") if form["labels"] else None
     headers = spark.createDataFrame(list(enumerate(form["headers"])), "j int, header string") if form["headers"] else None
-    m = Matrix(cells.where("v <> 0").select("i", "j", "v"), int(seen["last"]) + 1, form["n_cols"], form["name"], labels, headers)
+    m = Matrix(cells, int(seen["last"]) + 1, form["n_cols"], form["name"], labels, headers)
     if shape and shape != (m.n_rows, m.n_cols):
         raise MatrixError(f"the matrix is {m.n_rows} x {m.n_cols}, not {shape[0]} x {shape[1]}")
     m = validate(m) if check else m
@@ -117,11 +144,18 @@ def header_line(m: Matrix) -> str | None:
     return "\t".join(corner + row)
 
 
-def write_text(m: Matrix, path: str) -> None:
-    """A folder of part files which, in order of their names, are the lines: rows are sorted by range, so the write is parallel."""
+def write_text(m: Matrix, path: str, single: bool = True, append: bool = False, n: int | None = None) -> None:
+    """The lines as one file, or, not single, as a folder of part files which are the lines in order of their names.
+
+    Rows are sorted by range and written in parallel either way; one file is then put together from the parts. append adds them to the end of a file. n: how many parts, if Spark is not to choose.
+    """
     spark = m.cells.sparkSession
-    body = text_lines(m)
     head = header_line(m)
-    if head is not None:
+    body = text_lines(m)
+    if head is not None and not single:
         body = body.unionByName(spark.createDataFrame([(-1, head)], "i bigint, value string"))
-    body.repartitionByRange("i").sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
+    parts = scratch(spark, "text") if single else path
+    (body.repartitionByRange(n, "i") if n else body.repartitionByRange("i")).sortWithinPartitions("i").select("value").write.mode("overwrite").text(parts)
+    if single:
+        compose(path, [f"{head}\n".encode()] if head is not None else [], sorted(spark.read.text(parts).inputFiles()), append=append)
+        delete(spark, parts)

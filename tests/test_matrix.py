@@ -15,7 +15,7 @@ from partsloom.operators import matrix as mx
 from partsloom.operators.start import start_h, start_w
 from partsloom.plans import solver
 from partsloom.plans.solver import Options, Watch, difference, factorize, solve_array, start_values
-from partsloom.plans.updates import iterate
+from partsloom.plans.updates import iterate, update_h
 from partsloom.queries import QUERIES, SQL
 from partsloom.sources import files
 from partsloom.sources.text import infer, read_text
@@ -155,9 +155,7 @@ def test_round_trip_and_transpose(spark, tmp_path, fmt):
     out = str(tmp_path / "out")
     files.write_matrix(matrix(spark, v, **tags), out, fmt, **options)
     if fmt == "text":
-        lines = [x for p in sorted(os.listdir(out)) if p.startswith("part") for x in open(f"{out}/{p}").read().splitlines()]
-        assert lines == ["n\tx\ty\tz", "a\t1.5\t0\t2", "\t0\t4\t1e-05"]
-        out = write(tmp_path, "\n".join(lines), "joined.txt")
+        assert open(out).read() == "n\tx\ty\tz\na\t1.5\t0\t2\n\t0\t4\t1e-05\n"
         options = {"numeric_labels": True}
     m = files.read_matrix(spark, out, fmt, **options)
     assert np.allclose(array(m.cells, v.shape, "ijv"), v) and m.name == "n"
@@ -166,6 +164,58 @@ def test_round_trip_and_transpose(spark, tmp_path, fmt):
     assert np.allclose(array(t.cells, v.T.shape, "ijv"), v.T) and [r["label"] for r in t.row_tags.orderBy("i").collect()] == ["x", "y", "z"]
 
 
+def test_folder_of_parts_is_read_in_order(spark, tmp_path):
+    v = RNG.integers(1, 99, (500, 3)).astype(float)
+    out = str(tmp_path / "parts")
+    files.write_matrix(matrix(spark, v), out, "text", single=False, n=5)
+    assert sum(p.startswith("part") for p in os.listdir(out)) == 5
+    assert (array(files.read_matrix(spark, out).cells, v.shape, "ijv") == v).all()
+
+
+def test_dense_rows_of_sparse_ones(spark):
+    v = np.where(RNG.random((30, 40)) < 0.1, RNG.random((30, 40)) + 1, 0)
+    v[7] = 0
+    v[8] = 1
+    got = {r["i"]: r["row"] for r in matrix(spark, v).dense_rows().collect()}
+    assert len(got) == 30 and all(got[i] == v[i].tolist() for i in range(30))
+
+
+def test_product_by_blocks_of_columns(spark):
+    w, h = start_w(spark, 9, 3, 1), start_h(spark, 11, 3, 1)
+    want = array(w, (9, 3), "ikw") @ array(h, (11, 3), "jkh").T
+    for columns in (1, 4, 100):
+        p = mx.matmul(w, h, columns)
+        assert np.allclose(array(p, (9, 11), "i j wh".split()), want) and p.count() == 99
+    assert mx.matmul(w, h.limit(0)).count() == 0
+
+
+def test_preview_of_a_vector(spark):
+    cells = spark.createDataFrame([(i, 0, float(i)) for i in range(1, 300)], "i bigint, j int, v double")
+    assert [r["row"] for r in Matrix(cells, 300, 1).preview().orderBy("i").collect()] == [[float(i)] for i in range(225)]
+    wide = cells.selectExpr("j as i", "cast(i as int) as j", "v").selectExpr("cast(i as bigint) as i", "j", "v")
+    assert Matrix(wide, 1, 300).preview().first()["row"] == [float(i) for i in range(225)]
+
+
+def test_zero_over_zero_is_zero_in_all_forms(spark):
+    """W H that has become zero: where V is zero too, the forms agree that the cell adds nothing."""
+    v = np.array([[1.0, 0], [0, 2]])
+    w, h = np.array([[1.0, 0], [1e-300, 1]]), np.array([[1.0, 0], [1e-300, 1e-320]])
+    with np.errstate(all="ignore"):
+        assert np.array_equal(solver.ratios(v, w, np.array([[1.0, 0], [0, 0]])), [[1.0, 0], [0, np.inf]])
+    frame = lambda a, names: spark.createDataFrame([(i, k, float(a[i, k])) for i in range(2) for k in range(2)], names)
+    got = update_h(matrix(spark, v).cells, frame(w, "i bigint, k int, w double"), frame(h, "j int, k int, h double"))
+    want = solver.next_h(h, solver.ratios(v, w, h).T @ w, w.sum(axis=0))
+    assert np.allclose(array(got, (2, 2), "jkh"), want)
+
+
+def test_no_w_is_left_but_the_last(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(solver, "delete", lambda s, p: made.append(p))
+    monkeypatch.setattr(solver, "BLOCK_CELLS", 21)
+    factorize(matrix(spark, RNG.random((20, 7)) + 0.1), Options(2, 5, 4, 40, 3, local_cells=0))
+    assert [p.rsplit("/", 1)[1] for p in made] == ["1", "2", "3", "4", "5"]
+
+
 def test_binary_errors(spark, tmp_path):
     p, out = tmp_path / "bad", str(tmp_path / "ok")
     files.write_matrix(matrix(spark, np.ones((2, 3))), out, "binary")

@@ -1,8 +1,8 @@
 """Exact top-k by inner product with an impact-ordered, score-at-a-time index.
 
-Rows are dealt into blocks. A block's index holds its postings by quantised impact, greatest first: segment after segment is
-added to all scores, and what the segments to come can add at most is known for every row. Once the k-th best lower bound is above the upper bounds of
-all but a few rows, that is the proof to stop; those few are scored exactly.
+Rows are dealt into blocks. A block's index has posting lists: for each component the rows that hold it, in segments by quantised
+impact, greatest first. All lists' segments of one impact are added to the scores, then those of the next, and what the segments to come can add at most is known for
+every row. Once the k-th best lower bound is above the upper bounds of all but a few rows, that is the proof to stop; those few are scored exactly.
 """
 
 from __future__ import annotations
@@ -18,51 +18,66 @@ from pyspark.sql.window import Window
 from .common import col, kept, table
 
 K, QUERY_STEP, SCALE = 5, 50, 256.0
-#: Rows of a block of candidates and of a block of queries.
-ROWS, QUERIES = 8192, 1024
-#: Segments: the greatest magnitudes of a block are halved so many times.
-SEGMENTS = 4
+#: Rows of a block of candidates and of a block of queries, and queries scored at a time.
+ROWS, QUERIES, STEP = 16_384, 1024, 128
+#: Impacts are quantised to so many levels: the greatest magnitude of a block, halved again and again.
+LEVELS = 4
+#: Whole numbers up to these are exact in doubles and in longs.
+DOUBLE, LONG = 2.0**53, 2.0**63
 
 
 def quantised(vector: Column, scale: float = SCALE) -> Column:
-    """Components as floor(scale * x), x as double; null for a vector that is null or empty or holds null or non-finite components."""
-    good = vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return F.when(good, F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(scale))))
+    """Components as floor(scale * x), x as double (a whole number, kept as double); null for a vector that is null or holds null or non-finite components. An empty vector stays one."""
+    good = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    whole = lambda x: x.cast("double") * F.lit(scale) - F.pmod(x.cast("double") * F.lit(scale), F.lit(1.0))  # noqa: E731  floor() gives longs, which end at 2^63
+    return F.when(good, F.transform(vector, whole))
 
 
-class Segments:
-    """One block of vectors, impact-ordered. Arithmetic is in doubles on whole numbers, exact below 2**53."""
+class Postings:
+    """The index of one block of vectors of whole numbers: posting lists by level of impact and component, greatest impacts first."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        size, top = np.abs(vectors), np.abs(vectors).max(initial=0)
-        edges = [top / 2**i for i in range(1, SEGMENTS)] + [-1.0]
-        self.parts, self.rest, above = [], [], np.inf
-        for e in edges:
-            self.parts.append(np.where((size > e) & (size <= above), vectors, 0))
-            left = np.where(size <= e, size, 0)
+        size = np.abs(vectors).astype(np.float64)
+        top = size.max(initial=0)
+        level = np.full(size.shape, LEVELS - 1, np.int8)
+        for e in range(LEVELS - 2, -1, -1):
+            level[size > top / 2 ** (e + 1)] = e
+        self.lists, self.rest = [], []
+        for e in range(LEVELS):
+            part = []
+            for d in range(vectors.shape[1]):
+                rows = np.flatnonzero((level[:, d] == e) & (size[:, d] > 0))
+                if len(rows):
+                    part.append((d, rows, vectors[rows, d][:, None]))
+            self.lists.append(part)
+            left = np.where(level > e, size, 0)
             self.rest.append((np.sqrt((left * left).sum(axis=1)), left.max(axis=1, initial=0)))
-            above = e
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of the query, number of the row, score) of the k best of the block for each query, and of all that tie with the k-th."""
-        score = np.zeros((len(queries), len(self.ids)))
-        own = self.ids[None, :] == query_ids[:, None]
-        norm, total = np.sqrt((queries * queries).sum(axis=1)), np.abs(queries).sum(axis=1)
+        score = np.zeros((len(self.ids), len(queries)), queries.dtype)
+        own = self.ids[:, None] == query_ids[None, :]
+        q = queries.astype(np.float64)
+        norm, total = np.sqrt((q * q).sum(axis=1)), np.abs(q).sum(axis=1)
         open_ = np.arange(len(queries))
         out = []
-        for part, (length, most) in zip(self.parts, self.rest, strict=True):
-            s = score[open_] = score[open_] + queries[open_] @ part.T
+        for part, (length, most) in zip(self.lists, self.rest, strict=True):
+            asked = queries[open_].T.copy()
+            s = score[:, open_]
+            for d, rows, impact in part:
+                s[rows] += impact * asked[d]
+            score[:, open_] = s
             # what is left adds at most the product of norms, or the greatest component times the query's sum
-            slack = np.minimum(norm[open_, None] * length[None, :] * (1 + 1e-12), total[open_, None] * most[None, :])
-            low = np.where(own[open_], -np.inf, s - slack)
-            proof = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] > k else np.full(len(open_), -np.inf)
-            alive = (s + slack >= proof[:, None]) & ~own[open_]
-            few = alive.sum(axis=1) <= max(4 * k, len(self.ids) // 64)
-            if part is self.parts[-1]:
+            slack = np.minimum(length[:, None] * norm[open_] * (1 + 1e-12), most[:, None] * total[open_])
+            low = np.where(own[:, open_], -np.inf, s - slack)
+            proof = np.partition(low, len(low) - k, axis=0)[len(low) - k] if len(low) > k else np.full(len(open_), -np.inf)
+            alive = (s + slack >= proof - np.abs(proof) * 1e-12) & ~own[:, open_]
+            few = alive.sum(axis=0) <= max(4 * k, len(self.ids) // 64)
+            if part is self.lists[-1]:
                 few[:] = True
             for i in np.flatnonzero(few):
-                rows = np.flatnonzero(alive[i])
+                rows = np.flatnonzero(alive[:, i])
                 exact = self.vectors[rows] @ queries[open_[i]]
                 if len(rows) > k:
                     best = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
@@ -76,46 +91,70 @@ class Segments:
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def _blocks(rows: DataFrame, per_block: int, name: str) -> DataFrame:
-    """rows (id, v) as blocks (name, ids, vs, wide): the vectors of one length, packed; dealt by hash of the row, so ties and repeated ids spread."""
+def narrowest(v: np.ndarray) -> np.ndarray:
+    """Whole numbers in the fewest bytes that hold them."""
+    most = np.abs(v).max(initial=0)
+    return v.astype("<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8")
+
+
+def _blocks(rows: DataFrame, per_block: int, wide: int) -> DataFrame:
+    """rows (id, v) as blocks (block, ids, vs, kind): vectors filled up with zeros to one length, packed; dealt by hash of the row, so ties and repeated ids spread."""
     n = max(1, -(-rows.count() // per_block))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(g["v"].to_numpy()).astype("<f8")
-        return pd.DataFrame({name: [int(g["b"].iloc[0])], "wide": [v.shape[1]], "ids": [g["id"].to_numpy("<i8").tobytes()], "vs": [v.tobytes()]})
+        v = np.zeros((len(g), wide))
+        for i, x in enumerate(g["v"]):
+            v[i, : len(x)] = x
+        v = narrowest(v)
+        return pd.DataFrame({"block": [int(g["b"].iloc[0])], "ids": [g["id"].to_numpy("<i8").tobytes()], "vs": [v.tobytes()], "kind": [v.dtype.str]})
 
-    at = rows.withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")).withColumn("wide", F.size("v"))
-    return kept(at.groupBy("b", "wide").applyInPandas(run, f"{name} int, wide int, ids binary, vs binary"), f"search-{name}")
+    at = rows.withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int"))
+    return kept(at.groupBy("b").applyInPandas(run, "block int, ids binary, vs binary, kind string"), "search-blocks")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) for each distinct query.
 
-    rows and queries are (id bigint, v array of whole numbers). A row is a candidate for each query of other id and
-    equal vector length; rows of a null id or vector take no part. Repeated rows of rows are candidates each, repeated queries are answered
+    rows and queries are (id bigint, v array of whole numbers). A row is a candidate for each query of other id; of vectors of
+    unequal length the shorter counts as filled up with zeros, so an empty one has score 0 with all. Rows of a null id or vector take no part. Repeated rows of rows are candidates each, repeated queries are answered
     once (of two vectors under one id, each is answered and the k best of both together are kept). Equal scores rank by smaller id. An empty table gives an empty result.
+    Scores are computed in doubles while these are exact for the greatest components there are, else in longs; where a score could leave a long, that is an error.
 
-    Each block of queries meets each block of rows, which is what the stated query set asks for, and sends on k rows a query.
+    Each block of rows meets each block of queries, which is what the stated query set asks for: the queries, the few, are sent
+    to the blocks of rows, stream past each one's index, which is built once, and send on k rows a query.
     """
+    spark = rows.sparkSession
     good = lambda d: d.where("id is not null and v is not null").select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    cand, ask = _blocks(kept(good(rows), "search-rows"), ROWS, "block"), _blocks(kept(good(queries).distinct(), "search-queries"), QUERIES, "asked")
-    asked = ask.select("asked", F.col("wide").alias("qw"), F.col("ids").alias("qids"), F.col("vs").alias("qvs"))
-    n = int(ask.agg(F.coalesce(F.max("asked"), F.lit(-1))).first()[0]) + 1
+    rows, queries = kept(good(rows), "search-rows"), kept(good(queries).distinct(), "search-queries")
+    most = lambda d: d.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(F.array_max(F.transform("v", F.abs))), F.lit(0.0))).first()
+    (wide, top), (wide_q, top_q) = most(rows), most(queries)
+    wide = max(1, wide, wide_q)
+    reach = wide * max(top, 1.0) * max(top_q, 1.0)
+    if reach >= LONG:
+        raise ValueError(f"scores of {wide} components up to {top:g} and {top_q:g} do not fit in 64 bits")
+    kind = np.float64 if reach < DOUBLE else np.int64
+    cand, asked = _blocks(rows, ROWS, wide), _blocks(queries, QUERIES, wide)
+    n = int(cand.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0]) + 1
     if not n:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    pairs = cand.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(asked, (F.col("to") == F.col("asked")) & (F.col("wide") == F.col("qw")))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("at"), F.col("block").alias("seq"), "ids", "vs", "kind")
+    every = cand.select(F.col("block").alias("at"), F.lit(-1).alias("seq"), "ids", "vs", "kind").unionByName(sent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, at = None, None
         for b in batches:
             for r in b.itertuples(index=False):
-                ids, qids = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.qids, "<i8")
-                index = Segments(ids, np.frombuffer(r.vs, "<f8").reshape(len(ids), -1))
-                qv = np.frombuffer(r.qvs, "<f8").reshape(len(qids), -1)
-                for i in range(0, len(qids), 128):
-                    q, row, s = index.search(qids[i : i + 128], qv[i : i + 128], k)
-                    yield pd.DataFrame({"query_id": qids[i : i + 128][q.astype(np.int64)], "vec_id": ids[row.astype(np.int64)], "score": s.astype(np.int64)})
-
-    found = pairs.select("ids", "vs", "qids", "qvs").repartition(max(1, n * cand.count())).mapInPandas(run, "query_id long, vec_id long, score long")
+                ids = np.frombuffer(r.ids, "<i8")
+                v = np.frombuffer(r.vs, r.kind).reshape(len(ids), -1).astype(kind)
+                if r.seq < 0:
+                    index, at = Postings(ids, v), r.at
+                elif r.at == at:  # a block that got no rows has no index
+                    for i in range(0, len(ids), STEP):
+                        q, row, s = index.search(ids[i : i + STEP], v[i : i + STEP], k)
+                        yield pd.DataFrame({"query_id": ids[i : i + STEP][q.astype(np.int64)], "vec_id": index.ids[row.astype(np.int64)], "score": s.astype(np.int64)})
+
+    dealt = every.repartition(n, "at").sortWithinPartitions("at", "seq")
+    found = dealt.mapInPandas(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -128,10 +167,11 @@ def op5_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE}::DOUBLE * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), f AS (SELECT vec_id, list_resize(v, (SELECT greatest(1, max(len(v))) FROM e), 0) AS v FROM e),
+s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM e q JOIN e c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % {QUERY_STEP} = 0
+  FROM f q JOIN f c ON c.vec_id <> q.vec_id WHERE q.vec_id % {QUERY_STEP} = 0
 )
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {K}

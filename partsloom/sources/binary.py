@@ -23,32 +23,101 @@ from .validate import check_shape, validate
 REAL, INTEGER = 0xEDB10EA1, 0xEDB101DE
 #: Cells of a piece of a file that one task decodes.
 PIECE = 4_000_000
+#: Bytes of the tags that one task reads.
+TAG_PIECE = 8_000_000
 
 
-def _tags(spark: SparkSession, tail: bytes, n: int, m: int) -> dict:
-    lines = tail.decode().split("\n")
-    lines = [x.rstrip("\r") for x in (lines[:-1] if lines and lines[-1] == "" else lines)]
+def _label_pieces(spark: SparkSession, path: str, at: int, size: int, piece: int) -> list:
+    """For each piece of the tail: where its first line ends are, and how many TABs and spaces are before the first."""
 
-    def tokens(line: str, want: int, what: str) -> list[str] | None:
-        if line == "":
-            return None
-        t = line.split("\t")
-        t = line.split(" ") if len(t) == 1 < want else t
-        if len(t) != want:
-            raise MatrixError(f"there are {len(t)} {what}, not {want}")
-        return t
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, where = file_system(path)
+        for b in batches:
+            for i in b["id"].tolist():
+                with store.open_input_file(where) as f:
+                    f.seek(at + i * piece)
+                    x = f.read(min(piece, size - at - i * piece))
+                ends, p = [], x.find(b"\n")
+                while p >= 0 and len(ends) < 4:
+                    ends.append(at + i * piece + p)
+                    p = x.find(b"\n", p + 1)
+                own = x[: ends[0] - at - i * piece] if ends else x
+                yield pd.DataFrame({"id": [i], "ends": [ends], "tabs": [own.count(b"\t")], "spaces": [own.count(b" ")]})
 
-    labels = tokens(lines[0], n, "row labels") if lines else None
-    headers = tokens(lines[1], m, "column headers") if len(lines) > 1 else None
-    return {
-        "row_tags": spark.createDataFrame(list(enumerate(labels)), "i bigint, label string") if labels else None,
-        "col_tags": spark.createDataFrame(list(enumerate(headers)), "j int, header string") if headers else None,
-        "name": (lines[2] or None) if len(lines) > 2 else None,
-    }
+    n = -(-(size - at) // piece)
+    return spark.range(0, n, 1, n).mapInPandas(run, "id bigint, ends array<bigint>, tabs bigint, spaces bigint").orderBy("id").collect()
+
+
+def _labels(spark: SparkSession, path: str, at: int, end: int, first: list[int], sep: bytes, piece: int) -> DataFrame:
+    """(i, label) from the line of row labels, by pieces; first has the number of separators before each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, where = file_system(path)
+        for b in batches:
+            for k, before in zip(b["k"].tolist(), b["first"].tolist(), strict=True):
+                start, stop = at + k * piece, min(end, at + (k + 1) * piece)
+                with store.open_input_file(where) as f:
+                    f.seek(max(at, start - 1))
+                    x = f.read(stop - max(at, start - 1))
+                    more = b""
+                    while f.tell() < end and sep not in more:  # the last label goes on in the next piece
+                        more += f.read(min(1 << 16, end - f.tell()))
+                if k:
+                    begin = x.startswith(sep)  # else the first label here began before and is that piece's
+                    x = x[1:]
+                tokens = (x + more.split(sep, 1)[0]).split(sep)
+                number = before
+                if k and not begin:
+                    tokens, number = tokens[1:], before + 1
+                if x.endswith(sep) and stop < end:
+                    tokens = tokens[:-1]  # it begins in the next piece
+                if tokens:
+                    yield pd.DataFrame({"i": np.arange(number, number + len(tokens)), "label": pd.Series([t.decode() for t in tokens], dtype=object)})
+
+    pieces = spark.createDataFrame(list(enumerate(first)), "k bigint, first bigint").repartition(len(first), "k")
+    return pieces.mapInPandas(run, "i bigint, label string")
+
+
+def _tags(spark: SparkSession, path: str, at: int, size: int, n: int, m: int, piece: int | None = None) -> dict:
+    """Row labels, one line, are counted and read by pieces in tasks; the lines of headers and of the name are read here."""
+    if size <= at:
+        return {}
+    piece = piece or TAG_PIECE
+    found = _label_pieces(spark, path, at, size, piece)
+    ends = [x for r in found for x in r["ends"]][:4]
+    lines = list(zip([at, *(x + 1 for x in ends)], [*ends, size], strict=True))  # from, to
+    store, where = file_system(path)
+
+    def read(i: int) -> str:
+        if i >= len(lines):
+            return ""
+        with store.open_input_file(where) as f:
+            f.seek(lines[i][0])
+            return f.read(lines[i][1] - lines[i][0]).decode().rstrip("\r")
+
+    labels = None
+    begin, end = lines[0]
+    with store.open_input_file(where) as f:
+        f.seek(max(begin, end - 1))
+        end -= end > begin and f.read(1) == b"\r"
+    if end > begin:
+        used = found[: -(-(end - begin) // piece)]
+        sep = "spaces" if n > 1 and not sum(r["tabs"] for r in used) else "tabs"
+        counts = [r[sep] for r in used]
+        if sum(counts) + 1 != n:
+            raise MatrixError(f"there are {sum(counts) + 1} row labels, not {n}")
+        labels = _labels(spark, path, begin, end, [sum(counts[:i]) for i in range(len(counts))], b"\t" if sep == "tabs" else b" ", piece)
+    headers = read(1)
+    if headers:
+        t = headers.split("\t")
+        headers = headers.split(" ") if len(t) == 1 < m else t
+        if len(headers) != m:
+            raise MatrixError(f"there are {len(headers)} column headers, not {m}")
+    return {"row_tags": labels, "col_tags": spark.createDataFrame(list(enumerate(headers)), "j int, header string") if headers else None, "name": read(2) or None}
 
 
 def read_binary(spark: SparkSession, path: str, native: bool = False, real: str = "<f4", index: str = "<u4", check: bool = True, shape: tuple[int, int] | None = None, transpose: bool = False, signature: int = REAL) -> Matrix:
-    """Only head and tags are read on the driver; the cells are decoded in pieces by tasks that seek to them."""
+    """Only the head, the column headers and the name are read on the driver; cells and row labels are decoded in pieces by tasks that seek to them."""
     store, where = file_system(path)
     real = np.dtype(real) if native else np.dtype("<i4" if signature == INTEGER else "<f8")
     index = np.dtype(index) if native else np.dtype("<u4")
@@ -68,8 +137,7 @@ def read_binary(spark: SparkSession, path: str, native: bool = False, real: str
         check_shape(n, m)
         if size < at + n * m * real.itemsize:
             raise MatrixError("the file is cut short")
-        f.seek(at + n * m * real.itemsize)
-        tags = _tags(spark, f.read(), n, m)
+    tags = _tags(spark, path, at + n * m * real.itemsize, size, n, m)
     rows = max(1, PIECE // m)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

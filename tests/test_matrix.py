@@ -17,7 +17,7 @@ from partsloom.plans import solver
 from partsloom.plans.solver import Options, Watch, difference, factorize, solve_array, start_values
 from partsloom.plans.updates import iterate, update_h
 from partsloom.queries import QUERIES, SQL
-from partsloom.sources import files
+from partsloom.sources import binary, files
 from partsloom.sources.text import infer, read_text
 
 RNG = np.random.default_rng(5)
@@ -216,6 +216,21 @@ def test_no_w_is_left_but_the_last(spark, monkeypatch):
     assert [p.rsplit("/", 1)[1] for p in made] == ["1", "2", "3", "4", "5"]
 
 
+@pytest.mark.parametrize(("labels", "sep"), [(["a", "bb", "", "ccc dd", "é", "", "zzzzzzzz"], "\t"), (["a", "b", "cc", "d", "eeeee", "f", "g"], " "), (["", "", "", "", "", "", ""], "\t")])
+def test_labels_are_read_in_pieces(spark, tmp_path, labels, sep):
+    p = tmp_path / "t.dat"
+    line = sep.join(labels)
+    for tail, headers, name in ((f"{line}\nx\ty\nthe name\n", ["x", "y"], "the name"), (f"{line}\r\n\r\n\r\n", None, None), (line, None, None), (f"{line}\nx y\n", ["x", "y"], None)):
+        p.write_bytes(b"head" + tail.encode())
+        for piece in (1, 3, 1000):
+            t = binary._tags(spark, str(p), 4, 4 + len(tail.encode()), 7, 2, piece)
+            assert [tuple(r) for r in t["row_tags"].orderBy("i").collect()] == list(enumerate(labels)), (tail, piece)
+            assert ([r["header"] for r in t["col_tags"].orderBy("j").collect()] if t["col_tags"] else None, t["name"]) == (headers, name)
+    for n in (6, 8):
+        with pytest.raises(MatrixError):
+            binary._tags(spark, str(p), 4, 4 + len(tail.encode()), n, 2, 3)
+
+
 def test_binary_errors(spark, tmp_path):
     p, out = tmp_path / "bad", str(tmp_path / "ok")
     files.write_matrix(matrix(spark, np.ones((2, 3))), out, "binary")

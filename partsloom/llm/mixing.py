@@ -130,5 +130,5 @@ def _multipliers(hist: DataFrame, state: DataFrame, share: float, cap: int) -> D
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
+    docs = kept(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words")), "mix-words")
     return mix(docs, F.col("words")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import col, kept, table, with_columns
 
-RATIO, MIN_PAGES = 0.1, 3
+#: Lines on one page alone repeat nothing; else a host of a few pages would lose all of its lines.
+RATIO, MIN_PAGES = 0.1, 2
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 TAG = r"<[^>]+>"

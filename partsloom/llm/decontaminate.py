@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +25,8 @@ SHINGLE = 5
 OVERLAP, PART_OVERLAP = 0.8, 0.5
 COMMON = 0.6
 BLOCK = 16
-#: Bytes of benchmark text that go into one index; more take several passes over the documents.
-INDEX_BYTES = 16_000_000
+#: Bytes of benchmark text that go into one index, which takes some 90 times as much memory in a worker; more take several passes over the documents.
+INDEX_BYTES = 2_000_000
 #: Words looked up at a time.
 CHUNK = 300_000
 
@@ -216,11 +215,13 @@ class Index:
         return [(d, k, s, q, a) for (d, k), (_, s, q, a) in best.items()]
 
 
-def indexes(items: DataFrame, id_col: str, text_col: str) -> list[Index]:
-    """An index for each INDEX_BYTES of items, dealt by hash of the text; most benchmarks need one."""
+def indexes(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
+    """An index for each INDEX_BYTES of items or so, dealt by hash of the text; most benchmarks need one. One is built at a time."""
     src = items.select(col(id_col).cast("bigint").alias("i"), col(text_col).cast("string").alias("t"))
     n = -(-int(src.agg(F.coalesce(F.sum(F.octet_length("t") + 100), F.lit(0))).first()[0]) // INDEX_BYTES)
-    return [Index(sorted(((r["i"], r["t"]) for r in src.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))) for k in range(n)]
+    for k in range(n):
+        rows = src.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()
+        yield Index(sorted(((r["i"], r["t"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -237,15 +238,18 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     for index in indexes(items, item_id, item_text):
         sent = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator, sent=sent) -> Iterator:
+            import pyarrow as pa
+
             for b in batches:
-                bytes_ = b["t"].str.len().fillna(0).to_numpy(np.int64).cumsum()
-                for _, part in b.groupby(bytes_ // (6 * CHUNK)):
-                    hits = sent.value.matches(part["t"].tolist())
-                    ids = part["doc_id"].iloc[[h[0] for h in hits]]
-                    yield pd.DataFrame({"doc_id": ids.to_numpy(), "item_id": pd.array([sent.value.ids[h[1]] for h in hits], "Int64")} | {c: [h[j] for h in hits] for j, c in ((2, "score"), (3, "question_overlap"), (4, "answer_overlap"))})
+                texts = b.column("t").to_pylist()
+                size = np.fromiter((len(t or "") for t in texts), np.int64, len(texts)).cumsum() // (6 * CHUNK)
+                for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size)) + 1):
+                    hits = sent.value.matches([texts[i] for i in part.tolist()])
+                    ids = b.column("doc_id").take(pa.array([int(part[h[0]]) for h in hits], pa.int64()))  # ids as they are; pandas would make floats of them beside a null
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([sent.value.ids[h[1]] for h in hits], pa.int64()), *(pa.array([float(h[j]) for h in hits], pa.float64()) for j in (2, 3, 4))], schema.names)
 
-        out = out.unionByName(src.where(F.length("t") > 0).mapInPandas(run, schema))
+        out = out.unionByName(src.where(F.length("t") > 0).mapInArrow(run, schema))
     return out
 
 

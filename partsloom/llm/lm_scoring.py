@@ -1,7 +1,7 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds word pairs with quantised counts: a pair of quantised count q is entered q times, as (pair, 1) to (pair, q), so
-its count is found by probing until a probe fails. A bigram's share of its context is interpolated with an exactly counted unigram base.
+The filter holds runs of two and of three tokens with quantised counts: a run of quantised count q is entered q times, as (run, 1) to (run, q), so
+its count is found by probing until a probe fails. A run's share of its context is interpolated with the share of the run shorter by one, down to an exactly counted unigram base.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import kept, release, table
 from .packed import DEALT, GOLDEN, dealt, doc_ids, meet, mix, pack, ranges, returned, unpack
 from .simhash import LOWER
 
@@ -24,10 +24,10 @@ from .simhash import LOWER
 QUANTUM, PROBES = 1.25, 4
 #: Bits for each entry; least bits of the whole filter.
 ENTRY_BITS, LEAST_BITS = 12, 1 << 20
-#: Least count of a pair that score_texts enters if not told otherwise. A stray pair would have to pass all probes up to that count.
-LEAST_COUNT = 2
-#: Weight of the bigram where its context is known.
-WEIGHT = 0.1
+#: Least count of a run that score_texts enters if not told otherwise: all are. A stray run has to pass all probes up to that count.
+LEAST_COUNT = 1
+#: Weights of the share of runs of two and of three tokens, where their contexts are known: the best, or nearly, on texts held out.
+WEIGHT, WEIGHT_3 = 0.4, 0.7
 LEVELS = 256
 END, BEGIN = np.uint64(1), np.uint64(2)
 
@@ -88,18 +88,21 @@ class Tokens:
     """The tokens of a batch: for each text its lower-cased words and one end."""
 
     def __init__(self, ids: bytes, none: bytes, sizes: bytes, blob: bytes):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         text, size = unpack(sizes, blob)
-        text, at = text.translate(LOWER), 0
-        number: dict[bytes, int] = {}
-        flat: list[np.ndarray] = []
-        for n in size.tolist():
-            words = text[at : at + n].split()
-            at += n
-            flat.append(np.fromiter((number.setdefault(w, len(number) + 1) for w in words), np.int64, len(words)))
-            flat.append(np.zeros(1, np.int64))
-        self.code = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-        self.size = np.fromiter(map(len, flat), np.int64, len(flat)).reshape(-1, 2).sum(axis=1)
-        self.hash = np.array([int(END), *(xxhash.xxh64_intdigest(w) for w in number)], np.uint64)
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        column = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(text.translate(LOWER)))
+        split = pc.ascii_split_whitespace(column)
+        words = split.flatten().dictionary_encode()
+        own = words.dictionary.to_pylist()
+        code, ends = words.indices.to_numpy().astype(np.int64) + 1, np.asarray(split.offsets)
+        if "" in own:  # what splitting leaves at a text's edges
+            good = code != own.index("") + 1
+            code, ends = code[good], np.concatenate([np.zeros(1, np.int64), np.cumsum(good)])[ends]
+        self.code, self.size = np.insert(code, ends[1:], 0), np.diff(ends) + 1
+        self.hash = np.array([int(END), *(xxhash.xxh64_intdigest(w) for w in own)], np.uint64)
         self.begin = np.cumsum(self.size) - self.size
         self.train = np.array([in_training(None if no else i) for i, no in zip(np.frombuffer(ids, "<i8").tolist(), none, strict=True)], bool)
         self.learned = np.repeat(self.train, self.size)
@@ -109,25 +112,31 @@ class Tokens:
         keys, to = np.unique(self.hash, return_inverse=True)
         return keys, np.bincount(to[self.code[self.learned]], minlength=len(keys)).astype(np.uint64)
 
-    def pairs(self) -> np.ndarray:
-        """A key for each token and the one before."""
-        last = np.empty(len(self.code), np.uint64)
+    def runs(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """A key for each run of that many tokens, the text's beginning counted as one, and at which token each ends."""
+        last, own = np.empty(len(self.code), np.uint64), GOLDEN * self.hash[self.code]
         last[1:] = self.hash[self.code[:-1]]
         last[self.begin] = BEGIN
-        return mix(mix(last) + GOLDEN * self.hash[self.code])
+        pairs, at = mix(mix(last) + own), np.arange(len(self.code))
+        if order == 2:
+            return pairs, at
+        at = np.delete(at, self.begin)
+        return mix(pairs[at - 1] + own[at]), at
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_COUNT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; other columns are not read.
 
     base_score: log10 of the unigram estimates (c + 0.5) / (N + 0.5 * (V + 1)), summed. score: with a bigram's quantised
-    count over its context's count at WEIGHT, where that context was learned, and the rest from the base. All counts come
+    count over its context's count at WEIGHT, where that context was learned, and the rest from the base; a trigram's count over its
+    bigram's, both quantised, at WEIGHT_3, where the bigram was learned, and the rest from that. All counts come
     from every row that in_training picks; a null id counts as an empty text there. A null or empty text is its end
-    token alone. Repeated rows are learned from and scored as often as they come; an empty df gives an empty result.
+    token alone. Repeated rows are learned from and scored as often as they come; an empty df gives an empty result. A text is
+    never cut: its task needs some twenty times its size.
 
     The filter has ENTRY_BITS for each entry and as many parts as keys have ranges: a part is filled where its range of pairs meets,
-    answers the batches there and is gone. So it grows with the input and no task holds more than one part. Pairs of a count below
-    least are not entered and score as unseen ones; with least 1 all pairs are.
+    answers the batches there and is gone. So it grows with the input and no task holds more than one part. Runs of a count below
+    least are not entered and score as unseen ones; with least 1 all are. Runs of two and of three are sent one after the other.
     """
     packed = pack(docs, id_col, text_col)
     cut = ranges(packed)
@@ -137,12 +146,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for row in b.itertuples(index=False):
                 yield dealt(row.batch, *Tokens(row.ids, row.none, row.sizes, row.blob).words(), cut)
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.itertuples(index=False):
-                t = Tokens(row.ids, row.none, row.sizes, row.blob)
-                keys, to = np.unique(t.pairs(), return_inverse=True)
-                yield dealt(row.batch, keys, np.bincount(to[t.learned], minlength=len(keys)).astype(np.uint32), cut)
+    def runs(order: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for row in b.itertuples(index=False):
+                    t = Tokens(row.ids, row.none, row.sizes, row.blob)
+                    own, at = t.runs(order)
+                    keys, to = np.unique(own, return_inverse=True)
+                    yield dealt(row.batch, keys, np.bincount(to[t.learned[at]], minlength=len(keys)).astype(np.uint32), cut)
+
+        return run
 
     def count(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, dict]:
         _, to = np.unique(keys, return_inverse=True)
@@ -164,7 +177,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         part.data = np.frombuffer(part.part(keys[entered], q), np.uint8)
         return part.levels(keys).astype(np.uint8)[to], {}
 
-    found = meet(packed.mapInPandas(pairs, DEALT), "u4", probe, "")
+    def found(order: int) -> DataFrame:
+        out = kept(meet(packed.mapInPandas(runs(order), DEALT), "u4", probe, ""), f"lm-runs-{order}")
+        release(docs.sparkSession)
+        return out
+
+    two, three = found(2), found(3)
+
+    def seen(t: Tokens, order: int, levels) -> tuple[np.ndarray, np.ndarray]:
+        """The quantised count of each run, and at which token it ends."""
+        own, at = t.runs(order)
+        counts = counted_as(np.frombuffer(b"".join(levels if levels is not None else []), np.uint8))
+        return counts[np.unique(own, return_inverse=True)[1]], at
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -176,15 +200,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 context = np.empty(len(token))
                 context[1:] = token[:-1]
                 context[t.begin] = c[0]  # as many texts began as ended
-                _, which = np.unique(t.pairs(), return_inverse=True)
-                share = np.minimum(counted_as(np.frombuffer(b"".join(row.levels), np.uint8))[which] / np.maximum(context, 1), 1)
-                p = np.where(context > 0, WEIGHT * share + (1 - WEIGHT) * base, base)
+                pair, _ = seen(t, 2, row.two)
+                p = np.where(context > 0, WEIGHT * np.minimum(pair / np.maximum(context, 1), 1) + (1 - WEIGHT) * base, base)
+                run, at = seen(t, 3, row.three)
+                before = pair[at - 1]
+                p[at] = np.where(before > 0, WEIGHT_3 * np.minimum(run / np.maximum(before, 1), 1) + (1 - WEIGHT_3) * p[at], p[at])
                 sums = lambda x: np.add.reduceat(x, t.begin)
                 yield pd.DataFrame({"doc_id": doc_ids(row.ids, row.none), "held_out": ~t.train, "n_tokens": t.size, "n_known": sums((token > 0).astype(np.int64)), "train_tokens": n, "base_score": sums(np.log10(base)), "score": sums(np.log10(p))})
 
-    both = packed.join(returned(counted, "counts"), "batch").join(returned(found, "levels"), "batch")
-    return both.select("batch", "ids", "none", "sizes", "blob", "counts", "levels").mapInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    every = packed.join(returned(counted, "counts"), "batch").join(returned(two, "two"), "batch").join(returned(three, "three"), "batch", "left")
+    return every.select("batch", "ids", "none", "sizes", "blob", "counts", "two", "three").mapInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"), least=1)
+    return score_texts(table(spark, sf_dir, "documents"))

@@ -25,6 +25,8 @@ RIDGE = 1e-3
 BINS = 4096
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
+#: A word between blanks that is of letters, with marks at its ends or within.
+WORDLIKE = regex.compile(r"[\p{P}\p{M}]*(?:\p{L}[\p{L}\p{M}'’.,;:!?)\"-]*)")
 #: Cells of the presence matrix of a batch.
 CELLS = 2_000_000
 #: Codes of 1-, 2- and 3-grams are numbers below this.
@@ -79,7 +81,11 @@ class Model:
         self.presence([])
         return float((self._column[parts[2]] < len(self.grams)).mean()) if len(parts[2]) else 1.0
 
-    def predict(self, texts: list[str | None], proof: list[tuple[float, float]] | None = None) -> tuple[list[str], list[float]]:
+    def lead(self, margins: np.ndarray) -> np.ndarray:
+        top = 2 - 2 / len(self.langs)
+        return np.clip((margins.max(axis=1) - margins.mean(axis=1)) / top, 0, 1) if top else np.ones(len(margins))
+
+    def predict(self, texts: list[str | None], proof: list[tuple[float, float]] | None = None, least: tuple[float, float] | None = None) -> tuple[list[str], list[float]]:
         """Languages and scores; proof, if given, gets for each text what predict() says of held and lead."""
         known = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)] if self.langs else []
         lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -93,15 +99,20 @@ class Model:
                 parts = [codes(texts[k]) for k in now]
                 margins = self.kernels(parts).astype(np.float64) @ self.weights
                 if proof is not None:
-                    top = 2 - 2 / len(self.langs)
-                    lead = np.clip((margins.max(axis=1) - margins.mean(axis=1)) / top, 0, 1) if top else np.ones(len(now))
-                    for k, part, x in zip(now, parts, lead.tolist(), strict=True):
+                    for k, part, x in zip(now, parts, self.lead(margins).tolist(), strict=True):
                         proof[k] = (self.held(part), x)
+                        if least and (proof[k][0] < least[0] or x < least[1]):
+                            proof[k] = max(proof[k], self.words(texts[k]), key=lambda y: (y[0] >= least[0]) & (y[1] >= least[1]))
                 for k, best, m in zip(now, margins.argmax(axis=1), margins.max(axis=1), strict=True):
                     lang[k], score[k] = self.langs[best], float(min(1.0, max(0.0, (m + 1) / 2)))
                 size, begin = 0, j + 1
         return lang, score
 
+    def words(self, text: str) -> tuple[float, float]:
+        """held and lead of a text's words alone, without what holds figures or signs."""
+        part = codes(" ".join(w for w in text.split() if WORDLIKE.fullmatch(w)))
+        return (self.held(part), float(self.lead(self.kernels([part]).astype(np.float64) @ self.weights)[0])) if len(part[0]) else (0.0, 0.0)
+
 
 def fit(rows: list[tuple[str, bytes]]) -> Model:
     """rows: language and the sorted distinct codes of a text, in the order in which landmarks are taken."""
@@ -152,12 +163,13 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
     return fit([(r["lang"], bytes(r["c"])) for r in sorted(rows, key=lambda r: (r["lang"], r["n"]))])
 
 
-def predict(docs: DataFrame, text_col: str, model: Model, proof: bool = False) -> DataFrame:
+def predict(docs: DataFrame, text_col: str, model: Model, proof: bool = False, least: tuple[float, float] | None = None) -> DataFrame:
     """All columns of docs, then lang_pred (string) and score (double, 0 to 1); these replace columns so named.
 
     proof: and held and lead (doubles, 0 to 1). held: the share of the text's 3-grams that a landmark holds. lead: by how much the
     greatest margin is above the mean of all, where a text that is wholly of one language has 1 and one of none about 0, however
-    many languages there are; with one language always 1.
+    many languages there are; with one language always 1. least: a text that does not reach these figures has those of its words of
+    letters alone, if they do: numbers, addresses and the like are of no language, but do not take a text's language away.
 
     A text that is null or has no letter gets UNKNOWN and 0, as do all if nothing was learned. No other column is looked
     at. The model that is broadcast is bounded by the landmarks.
@@ -173,7 +185,7 @@ def predict(docs: DataFrame, text_col: str, model: Model, proof: bool = False) -
 
         for b in batches:
             shown: list[tuple[float, float]] | None = [] if proof else None
-            lang, score = sent.value.predict(b.column("t").to_pylist(), shown)
+            lang, score = sent.value.predict(b.column("t").to_pylist(), shown, least)
             more = [pa.array([x[i] for x in shown], pa.float64()) for i in (0, 1)] if proof else []
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), *more], [*b.schema.names[:-1], *added])
 

@@ -33,7 +33,7 @@ ROUNDS = (16, 48)
 
 def long_fingerprint(hashes: np.ndarray, sizes: np.ndarray, words: int = WORDS) -> np.ndarray:
     """A fingerprint of words 64-bit words for each run of sizes[i] hashes, each word from the hashes mixed anew."""
-    return np.stack([fingerprint(mix(hashes + np.uint64(i) * GOLDEN), sizes) for i in range(words)], axis=1)
+    return np.stack([fingerprint(mix(hashes + np.uint64(i * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF)), sizes) for i in range(words)], axis=1)
 
 
 def keyed(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:

@@ -248,7 +248,7 @@ def write_tokens(docs: DataFrame, id_col: str, text_col: str, folder: str, token
     Documents are dealt out by range of (id, hash of the text), so equal or null ids (first) may take several parts, and their
     order is by hash and text. Each part is encoded as it streams by and cut into files of about FILE_IDS ids. Each try of
     a task names its files anew and only those of the tries that succeeded are listed, so lost executors do no
-    harm. start is the count of ids in all files before.
+    harm. start is the count of ids in all files before. A text is never cut: its task needs some twenty times its size.
     """
 
     def run(batches: Iterator) -> Iterator:

@@ -30,8 +30,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs
     held, lead = language_id.low(train.where("lang is not null"), "text", model, LOW)
     own, back = aside(docs)
-    found = language_id.predict(own, "text", model, proof=True)
-    return back(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("held") >= HELD * held) & (F.col("lead") >= LEAD * lead)))
+    least = (HELD * held, LEAD * lead)
+    found = language_id.predict(own, "text", model, proof=True, least=least)
+    return back(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("held") >= least[0]) & (F.col("lead") >= least[1])))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

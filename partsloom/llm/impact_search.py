@@ -18,12 +18,16 @@ from pyspark.sql.window import Window
 from .common import col, kept, table
 
 K, QUERY_STEP, SCALE = 5, 50, 256.0
-#: Rows of a block of candidates and of a block of queries, and queries scored at a time.
-ROWS, QUERIES, STEP = 16_384, 1024, 128
+#: Least and most rows of a block of candidates, rows of a block of queries, and queries scored at a time.
+ROWS, MOST_ROWS, QUERIES, STEP = 8192, 65_536, 1024, 128
+#: Rows of an index; a block holds several, each small enough for its scores to stay in a processor's cache.
+INDEX_ROWS = 512
+#: A query's rows are scored exactly once no more than this part of an index can be among its best.
+FEW = 8
 #: Impacts are quantised to so many levels: the greatest magnitude of a block, halved again and again.
 LEVELS = 4
-#: Whole numbers up to these are exact in doubles and in longs.
-DOUBLE, LONG = 2.0**53, 2.0**63
+#: Scores below these are exact in floats, doubles and longs.
+FLOAT, DOUBLE, LONG = 2.0**24, 2.0**53, 2.0**63
 
 
 def quantised(vector: Column, scale: float = SCALE) -> Column:
@@ -34,7 +38,7 @@ def quantised(vector: Column, scale: float = SCALE) -> Column:
 
 
 class Postings:
-    """The index of one block of vectors of whole numbers: posting lists by level of impact and component, greatest impacts first."""
+    """The index of some vectors of whole numbers: posting lists by level of impact and component, greatest impacts first."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
@@ -49,48 +53,77 @@ class Postings:
             for d in range(vectors.shape[1]):
                 rows = np.flatnonzero((level[:, d] == e) & (size[:, d] > 0))
                 if len(rows):
-                    part.append((d, rows, vectors[rows, d][:, None]))
+                    part.append((d, rows, vectors[rows, d][:, None].copy()))
             self.lists.append(part)
             left = np.where(level > e, size, 0)
             self.rest.append((np.sqrt((left * left).sum(axis=1)), left.max(axis=1, initial=0)))
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of the query, number of the row, score) of the k best of the block for each query, and of all that tie with the k-th."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, id, score) of the k best of the index for each query; rows that cannot reach the query's floor need not be among them."""
+        kind = queries.dtype if queries.dtype.kind == "f" else np.float64
+        over = 1 + 16 * np.finfo(kind).eps  # bounds are rounded up
         score = np.zeros((len(self.ids), len(queries)), queries.dtype)
-        own = self.ids[:, None] == query_ids[None, :]
         q = queries.astype(np.float64)
-        norm, total = np.sqrt((q * q).sum(axis=1)), np.abs(q).sum(axis=1)
+        norm, total = np.sqrt((q * q).sum(axis=1)) * over, np.abs(q).sum(axis=1) * over
+        norm, total = norm.astype(kind), total.astype(kind)
         open_ = np.arange(len(queries))
         out = []
         for part, (length, most) in zip(self.lists, self.rest, strict=True):
             asked = queries[open_].T.copy()
-            s = score[:, open_]
             for d, rows, impact in part:
-                s[rows] += impact * asked[d]
-            score[:, open_] = s
+                score[rows] += impact * asked[d]
             # what is left adds at most the product of norms, or the greatest component times the query's sum
-            slack = np.minimum(length[:, None] * norm[open_] * (1 + 1e-12), most[:, None] * total[open_])
-            low = np.where(own[:, open_], -np.inf, s - slack)
-            proof = np.partition(low, len(low) - k, axis=0)[len(low) - k] if len(low) > k else np.full(len(open_), -np.inf)
-            alive = (s + slack >= proof - np.abs(proof) * 1e-12) & ~own[:, open_]
-            few = alive.sum(axis=0) <= max(4 * k, len(self.ids) // 64)
+            slack = np.minimum(length.astype(kind)[:, None] * norm[open_] * kind_one(over, kind), most.astype(kind)[:, None] * total[open_] * kind_one(over, kind))
+            least = floor[open_].astype(kind)
+            if not np.isfinite(least).all() and len(self.ids) > k:
+                low = np.where(self.ids[:, None] == query_ids[open_][None, :], -np.inf, score - slack).astype(kind)
+                least = np.maximum(least, np.partition(low, len(low) - k, axis=0)[len(low) - k])
+            alive = score + slack >= np.where(np.isfinite(least), least - np.abs(least) * kind_one(over - 1, kind), least)
+            few = alive.sum(axis=0) <= len(self.ids) // FEW
             if part is self.lists[-1]:
                 few[:] = True
             for i in np.flatnonzero(few):
                 rows = np.flatnonzero(alive[:, i])
+                rows = rows[self.ids[rows] != query_ids[open_[i]]]
                 exact = self.vectors[rows] @ queries[open_[i]]
                 if len(rows) > k:
                     best = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
                     rows, exact = rows[best], exact[best]
                     order = np.lexsort((self.ids[rows], -exact))[:k]
                     rows, exact = rows[order], exact[order]
-                out.append((np.full(len(rows), open_[i]), rows, exact))
-            open_ = open_[~few]
+                out.append((np.full(len(rows), open_[i]), self.ids[rows], exact))
+            open_, score = open_[~few], score[:, ~few]
             if not len(open_):
                 break
         return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
+def kind_one(x: float, kind) -> np.floating:
+    """x as a scalar of that kind, so that it doesn't widen arrays."""
+    return np.dtype(kind).type(x)
+
+
+class Block:
+    """The indexes of a block of vectors. Each is searched with the scores that the ones before have proved."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.parts = [Postings(ids[i : i + INDEX_ROWS], vectors[i : i + INDEX_ROWS]) for i in range(0, len(ids), INDEX_ROWS)]
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, id, score) of the k best of the block for each query."""
+        floor = np.full(len(queries), -np.inf)
+        q, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, queries.dtype)
+        for part in self.parts:
+            more = part.search(query_ids, queries, k, floor)
+            q, ids, score = (np.concatenate([a, b.astype(a.dtype)]) for a, b in zip((q, ids, score), more, strict=True))
+            order = np.lexsort((ids, -score, q))
+            q, ids, score = q[order], ids[order], score[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            floor[q[rank == k - 1]] = score[rank == k - 1]
+            q, ids, score = q[rank < k], ids[rank < k], score[rank < k]
+        return q, ids, score
+
+
 def narrowest(v: np.ndarray) -> np.ndarray:
     """Whole numbers in the fewest bytes that hold them."""
     most = np.abs(v).max(initial=0)
@@ -118,7 +151,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     rows and queries are (id bigint, v array of whole numbers). A row is a candidate for each query of other id; of vectors of
     unequal length the shorter counts as filled up with zeros, so an empty one has score 0 with all. Rows of a null id or vector take no part. Repeated rows of rows are candidates each, repeated queries are answered
     once (of two vectors under one id, each is answered and the k best of both together are kept). Equal scores rank by smaller id. An empty table gives an empty result.
-    Scores are computed in doubles while these are exact for the greatest components there are, else in longs; where a score could leave a long, that is an error.
+    Scores are computed in floats or doubles while these are exact for the greatest components there are, else in longs; where a score could leave a long, that is an error.
 
     Each block of rows meets each block of queries, which is what the stated query set asks for: the queries, the few, are sent
     to the blocks of rows, stream past each one's index, which is built once, and send on k rows a query.
@@ -132,8 +165,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     reach = wide * max(top, 1.0) * max(top_q, 1.0)
     if reach >= LONG:
         raise ValueError(f"scores of {wide} components up to {top:g} and {top_q:g} do not fit in 64 bits")
-    kind = np.float64 if reach < DOUBLE else np.int64
-    cand, asked = _blocks(rows, ROWS, wide), _blocks(queries, QUERIES, wide)
+    kind = np.float32 if reach < FLOAT else np.float64 if reach < DOUBLE else np.int64
+    per_block = min(MOST_ROWS, max(ROWS, -(-rows.count() // (2 * spark.sparkContext.defaultParallelism))))  # large blocks mean few copies of the queries, small ones many tasks
+    cand, asked = _blocks(rows, per_block, wide), _blocks(queries, QUERIES, wide)
     n = int(cand.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0]) + 1
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -147,13 +181,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 ids = np.frombuffer(r.ids, "<i8")
                 v = np.frombuffer(r.vs, r.kind).reshape(len(ids), -1).astype(kind)
                 if r.seq < 0:
-                    index, at = Postings(ids, v), r.at
+                    index, at = Block(ids, v), r.at
                 elif r.at == at:  # a block that got no rows has no index
                     for i in range(0, len(ids), STEP):
-                        q, row, s = index.search(ids[i : i + STEP], v[i : i + STEP], k)
-                        yield pd.DataFrame({"query_id": ids[i : i + STEP][q.astype(np.int64)], "vec_id": index.ids[row.astype(np.int64)], "score": s.astype(np.int64)})
+                        q, found, s = index.search(ids[i : i + STEP], v[i : i + STEP], k)
+                        yield pd.DataFrame({"query_id": ids[i : i + STEP][q], "vec_id": found, "score": s.astype(np.int64)})
 
-    dealt = every.repartition(n, "at").sortWithinPartitions("at", "seq")
+    dealt = every.repartitionByRange(n, "at").sortWithinPartitions("at", "seq")
     found = dealt.mapInPandas(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -14,7 +14,9 @@ from .common import col, kept, table, with_columns
 #: Lines on one page alone repeat nothing; else a host of a few pages would lose all of its lines.
 RATIO, MIN_PAGES = 0.1, 2
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
-HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+#: What goes without a trace: scripts, styles, comments, and tags that stand within a line.
+HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|</?(?:a|abbr|b|code|em|font|i|mark|q|s|small|span|strong|sub|sup|u)(?:\s[^>]*)?>"
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " ", "&amp;": "&"}
 TAG = r"<[^>]+>"
 
 
@@ -24,8 +26,11 @@ def host_of(url: Column) -> Column:
 
 
 def visible_lines(html: Column) -> Column:
-    """HTML as lines: scripts, styles and comments go and every tag ends a line."""
-    return F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), TAG, "\n")
+    """HTML as lines: scripts, styles, comments and tags within a line go, every other tag ends a line, and the commonest entities are read."""
+    out = F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), TAG, "\n")
+    for entity, sign in ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(sign))
+    return out
 
 
 def drop_boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -61,10 +66,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(pages, host_of(F.col("url")), visible_lines(F.col("html"))).select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
+def _read(x: str) -> str:
+    for entity, sign in ENTITIES.items():
+        x = f"replace({x}, '{entity}', '{sign}')"
+    return x
+
+
 SQL = f"""
 WITH p AS (
   SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host,
-         list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '{HIDDEN}', '', 'g'), '{TAG}', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls
+         list_filter(list_transform(string_split({_read(f"regexp_replace(regexp_replace(html, '{HIDDEN}', '', 'g'), '{TAG}', chr(10), 'g')")}, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls
   FROM pages
 ), n AS (SELECT host, count(*) AS n_pages FROM p WHERE host IS NOT NULL GROUP BY host),
 l AS (SELECT host, unnest(list_distinct(ls)) AS x FROM p WHERE host IS NOT NULL),

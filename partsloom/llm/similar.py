@@ -27,6 +27,8 @@ WORDS, BLOCK_BITS = 16, 16
 DISTANCE = 31
 #: Buckets of more rows are not searched for a first near pair.
 LARGE = 1000
+#: Larger groups are compared in parts of so many, each with one and the same member.
+PART = 300
 #: Blocks are taken in rounds; what the first ones have joined isn't compared again in the others.
 ROUNDS = (16, 48)
 
@@ -169,13 +171,12 @@ def groups_of(key: np.ndarray, one: np.ndarray, two: np.ndarray, label: np.ndarr
                 yield own
 
 
-def links(nodes: DataFrame, texts: DataFrame, label: DataFrame | None, blocks: range, shingle: int = SHINGLE, least: float = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
-    """(a, b) links among nodes (node, key, fp) that connect what the pairs at least or more connect, as far as one of the blocks joins them; texts has (key, t).
+def groups(nodes: DataFrame, label: DataFrame | None, blocks: range, distance: int = DISTANCE) -> DataFrame:
+    """(group, node, label, whole): nodes (node, key, fp) that are in one bucket of the blocks and held together by near pairs there; label: (node, component) of what is connected already.
 
-    label: (node, component) of what is connected already. Nodes of one bucket that are near in Hamming distance are a group; buckets of the same nodes make one group, so
-    near copies meet once and not in most of their blocks. Texts are sent to groups only and cut into shingles there once more, as they take less room than sets.
+    Buckets of the same nodes make one group, so near copies meet once and not in most of their blocks. A large group comes in parts, each with its first node; whole then names it, else it is 0.
     """
-    per_word, most = 64 // BLOCK_BITS, (1 << BLOCK_BITS) - 1
+    per_word, most, part = 64 // BLOCK_BITS, (1 << BLOCK_BITS) - 1, PART
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -188,13 +189,41 @@ def links(nodes: DataFrame, texts: DataFrame, label: DataFrame | None, blocks: r
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in runs(batches, "key"):
             key, node, name, one, two = (b[c].to_numpy(np.int64) for c in ("key", "node", "label", "one", "two"))
-            rows, group = [], []
+            rows, group, whole = [], [], []
             for own in groups_of(key, one.view(np.uint64), two.view(np.uint64), name, distance):
-                rows.append(own)
-                group.append(np.full(len(own), mix(mix(node[own].view(np.uint64)).sum(keepdims=True) + np.uint64(len(own)))[0]))
+                id_ = mix(mix(node[own].view(np.uint64)).sum(keepdims=True) + np.uint64(len(own)))
+                large = len(own) > part
+                for i in range(0, len(own), part if large else len(own)):
+                    at = own[i : i + part] if large else own
+                    at = np.r_[own[0], at] if i else at
+                    rows.append(at)
+                    group.append(np.full(len(at), mix(id_ + np.uint64(i))[0]))
+                    whole.append(np.full(len(at), id_[0] if large else 0, np.uint64))
             if rows:
                 at = np.concatenate(rows)
-                yield pd.DataFrame({"group": np.concatenate(group).view(np.int64), "node": node[at], "label": name[at]})
+                yield pd.DataFrame({"group": np.concatenate(group).view(np.int64), "node": node[at], "label": name[at], "whole": np.concatenate(whole).view(np.int64)})
+
+    full = nodes.where(F.length("fp") > 0).select("node", "fp")
+    full = full.withColumn("label", F.col("node")) if label is None else full.join(label, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("label"))
+    buckets = full.mapInPandas(deal, "key long, node long, label long, one long, two long").repartition("key").sortWithinPartitions("key", "node")
+    return kept(buckets.mapInPandas(gather, "group long, node long, label long, whole long").distinct(), "simhash-groups")
+
+
+def again(large: DataFrame, label: DataFrame) -> DataFrame:
+    """(group, node, label) for large groups (whole, node) that their first nodes have not joined up: each node that is in another component than the first meets all nodes, which are dealt into parts. Empty if there is none."""
+    held = large.join(label, "node", "left").select("whole", "node", F.coalesce("component", "node").alias("label"))
+    held = kept(held.join(held.groupBy("whole").agg(F.min_by("label", "node").alias("main"), F.ceil(F.count("*") / PART).alias("parts")), "whole"), "simhash-large")
+    out = held.where("label <> main")
+    every = held.join(out.select("whole").distinct(), "whole").select("whole", "node", "label", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    every = every.union(out.select("whole", "node", "label", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))))
+    return every.select(F.xxhash64("whole", "part").alias("group"), "node", "label").distinct()
+
+
+def links(groups: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """(a, b) links among the nodes of each group that connect what the pairs at least or more connect; texts has (key, t).
+
+    Texts are sent to groups only and cut into shingles there once more, as they take less room than sets.
+    """
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in runs(batches, "group"):
@@ -204,11 +233,6 @@ def links(nodes: DataFrame, texts: DataFrame, label: DataFrame | None, blocks: r
             pairs = np.array(at, np.int64).reshape(-1, 2)
             yield pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
-    full = nodes.where(F.length("fp") > 0).select("node", "fp")
-    full = full.withColumn("label", F.col("node")) if label is None else full.join(label, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("label"))
-    buckets = full.mapInPandas(deal, "key long, node long, label long, one long, two long").repartition("key").sortWithinPartitions("key", "node")
-    groups = kept(buckets.mapInPandas(gather, "group long, node long, label long").distinct(), "simhash-groups")
-    release(nodes.sparkSession)
     both = texts.dropDuplicates(["key"]).join(groups.join(nodes.select("node", "key"), "node"), "key").select("group", "node", "label", "t")
     return both.repartition("group").sortWithinPartitions("group").mapInPandas(check, "a long, b long")
 
@@ -222,11 +246,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     sets = kept(sketches(docs, id_col, text_col, shingle), "simhash-sketches")
     nodes = kept(sets.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "simhash-nodes")
-    texts, label, found, first = keyed(docs, text_col), None, None, 0
-    for n in ROUNDS:
-        new = kept(links(nodes, texts, label, range(first, first + n), shingle, least), "simhash-links")
+    texts, label, found, large, first = keyed(docs, text_col), None, None, None, 0
+
+    def join_up(some: DataFrame) -> None:
+        nonlocal found, label
+        new = kept(links(some, nodes, texts, shingle, least), "simhash-links")
         release(docs.sparkSession)
         found = new if found is None else found.unionByName(new)
-        label, first = kept(connected_components(found), "simhash-components"), first + n
+        label = kept(connected_components(found), "simhash-components")
+
+    for n in ROUNDS:
+        some = groups(nodes, label, range(first, first + n))
+        release(docs.sparkSession)
+        more = some.where("whole <> 0").select("whole", "node").distinct()
+        large, first = more if large is None else large.union(more), first + n
+        join_up(some.select("group", "node", "label"))
+    rest = kept(again(large.distinct(), label), "simhash-again")
+    if rest.limit(1).count():
+        join_up(rest)
     ids = kept(named(nodes.select("node", "least"), "node", label), "simhash-label")
     return sets.select("doc_id", "key", "node").join(ids, "node").select("doc_id", "key", "node", "component", "component_id")

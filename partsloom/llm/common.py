@@ -51,9 +51,8 @@ def kept(df: DataFrame, what: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of jobs that are done; else they stay until the driver's JVM happens to collect its garbage. The last job's plan is let go a little after its end."""
     gc.collect()
-    for _ in range(2):
-        time.sleep(0.2)
-        spark.sparkContext._jvm.System.gc()
+    time.sleep(0.2)
+    spark.sparkContext._jvm.System.gc()
 
 
 def with_columns(df: DataFrame, added: dict[str, Column]) -> DataFrame:
@@ -99,9 +98,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return tuple(of.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     every = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    cur = every.coalesce(-(-every.count() // EDGES) or 1).mapInPandas(contract, "u long, v long").distinct().checkpoint()
-    before = state(cur)
-    while True:
+    tasks = -(-every.count() // EDGES) or 1
+    cur = every.coalesce(tasks).mapInPandas(contract, "u long, v long").distinct().checkpoint()
+    before = state(cur) if tasks > 1 else None
+    while tasks > 1:  # the stars of one task are the components
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()  # a join of two scans, so that a hub can be split
         large = both.join(low, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()

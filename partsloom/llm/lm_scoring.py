@@ -29,6 +29,8 @@ LEAST_COUNT = 1
 #: Weights of the share of runs of two and of three tokens, where their contexts are known: the best, or nearly, on texts held out.
 WEIGHT, WEIGHT_3 = 0.4, 0.7
 LEVELS = 256
+#: Bytes of text in a batch; smaller ones need less memory and send more.
+BATCH_BYTES = 4_000_000
 END, BEGIN = np.uint64(1), np.uint64(2)
 
 
@@ -138,7 +140,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     answers the batches there and is gone. So it grows with the input and no task holds more than one part. Runs of a count below
     least are not entered and score as unseen ones; with least 1 all are. Runs of two and of three are sent one after the other.
     """
-    packed = pack(docs, id_col, text_col)
+    packed = pack(docs, id_col, text_col, BATCH_BYTES)
     cut = ranges(packed)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -62,8 +62,9 @@ def drop_boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return drop_boilerplate(pages, host_of(F.col("url")), visible_lines(F.col("html"))).select("page_id", "host", "n_lines", "n_dropped", "text")
+    pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), visible_lines(F.col("html")).alias("text"))
+    pages = kept(pages, "page-lines")  # the HTML is read once
+    return drop_boilerplate(pages, F.col("host"), F.col("text")).select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
 def _read(x: str) -> str:

@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = kept(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     each = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     edges = kept(links(fps, distance, blocks), "simhash-links")
-    label = kept(named(each, "fp", connected_components(edges)), "simhash-label")
+    label = kept(named(each, "fp", kept(connected_components(edges), "simhash-components")), "simhash-label")
     return fps.join(label, "fp").select("doc_id", "fp", "component_id")
 
 

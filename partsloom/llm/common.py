@@ -51,8 +51,9 @@ def kept(df: DataFrame, what: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of jobs that are done; else they stay until the driver's JVM happens to collect its garbage. The last job's plan is let go a little after its end."""
     gc.collect()
-    time.sleep(0.2)
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
 
 
 def with_columns(df: DataFrame, added: dict[str, Column]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, impact_search, language_id, line_dedup, lm_scoring, mixing, sharding, simhash, substring_dedup, token_store, warc
+from . import decontaminate, impact_search, language_id, line_dedup, lm_scoring, mixing, release, sharding, simhash, substring_dedup, token_store, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op11_release": release.op11_release,
     "op12_warc": warc.op12_warc,
 }
 SQL = {
     "op1_sharding": sharding.SQL,
     "op5_impact_search": impact_search.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op11_release": release.SQL,
     "op12_warc": warc.SQL,
 }

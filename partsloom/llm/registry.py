@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, impact_search, language_id, line_dedup, lm_scoring, mixing, release, sharding, simhash, substring_dedup, token_store, warc
+from . import decontaminate, impact_search, language_id, line_dedup, lm_scoring, mixing, release, sharding, simhash, spelling, substring_dedup, token_store, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     "op11_release": release.op11_release,
     "op12_warc": warc.op12_warc,
+    "op13_spelling": spelling.op13_spelling,
 }
 SQL = {
     "op1_sharding": sharding.SQL,

@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .plans.solver import Options, factorize
+from .plans.solver import LOCAL_CELLS, MEMORY, Options, factorize
 from .sources.files import EXTENSION, convert, factor_matrices, generate, read_matrix, write_matrix
 
 
@@ -58,6 +58,10 @@ def parser() -> Lenient:
             c.add_argument("-t", type=positive, default=40, dest="threshold", help="unchanged tests before the last")
             c.add_argument("-z", type=device, default=0, help="0 or more; ignored")
             c.add_argument("--seed", type=int)
+            c.add_argument("--local-cells", type=int, default=LOCAL_CELLS, help="matrices of more cells than this are solved by tiles, 0: all")
+            c.add_argument("--memory", type=positive, default=MEMORY, help="bytes that a task may take for a tile")
+            c.add_argument("--state", help="a shared folder: the run is written there at each test, and goes on from there")
+            c.add_argument("--times", action="store_true", help="calls, tiles, cells and seconds by step, of a run by tiles")
     g = sub.add_parser("generate")
     g.add_argument("path")
     g.add_argument("rows", type=positive)
@@ -80,11 +84,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(convert(spark, a.path, a.source, a.target, **options))
         return 0
     m = read_matrix(spark, a.path, a.source, **options)
-    r = factorize(m, Options(a.k, a.iterations, a.period, a.threshold, a.seed))
+    r = factorize(m, Options(a.k, a.iterations, a.period, a.threshold, a.seed, a.local_cells, a.memory), folder=a.state)
     w, h = factor_matrices(m, r.w, r.h, a.k)
     write_matrix(w, f"{a.path}_W{EXTENSION[a.target]}", a.target)
     write_matrix(h.transpose() if a.target == "native" else h, f"{a.path}_H{EXTENSION[a.target]}", a.target)
     print(f"iterations: {r.iterations}, {'settled' if r.converged else 'not settled'}, relative distance: {r.distance:g}")
+    if a.times:
+        for name, (calls, tiles, cells, seconds) in r.steps.items():
+            print(f"{name}: {calls} calls, {tiles} tiles, {cells} cells, {seconds:.1f} s")
     return 0
 
 

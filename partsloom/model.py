@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Columns are numbered by 32-bit integers.
+MOST_COLUMNS = 2**31 - 1
+
+
 class MatrixError(ValueError):
     """The input is no matrix that can be factorized."""
 
@@ -28,6 +32,9 @@ class Matrix:
         return self.name is not None or self.row_tags is not None or self.col_tags is not None
 
     def transpose(self) -> Matrix:
+        """Rows become columns, of which there can be MOST_COLUMNS."""
+        if self.n_rows > MOST_COLUMNS:
+            raise MatrixError(f"{self.n_rows} rows are too many to become columns: their numbers are of 32 bits")
         cells = self.cells.select(F.col("j").cast("bigint").alias("i"), F.col("i").cast("int").alias("j"), "v")
         rows = self.col_tags and self.col_tags.select(F.col("j").cast("bigint").alias("i"), F.col("header").alias("label"))
         cols = self.row_tags and self.row_tags.select(F.col("i").cast("int").alias("j"), F.col("label").alias("header"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_sums
 from ..functions.numeric import floored, ieee_divide
 
 
@@ -23,23 +24,26 @@ def at_cells(v: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
     return v.join(packed(w, "i", "w", "w"), "i").join(packed(h, "j", "h", "h"), "j").select("i", "j", "v", dot("w", "h").alias("wh"), "w", "h")
 
 
-#: Columns of H that meet a row of W at a time.
-COLUMNS = 4096
+#: Columns of H that meet a row of W at a time, and copies of such a block.
+COLUMNS, SALTS = 4096, 64
 
 
 def matmul(w: DataFrame, h: DataFrame, columns: int = COLUMNS) -> DataFrame:
     """W * H at all cells: (i, j, wh).
 
     A row of W, as an array, meets blocks of H's columns, as arrays too, and gives a dot product a column; nothing is exchanged by k or by cell, and no
-    block is larger than columns * K numbers. Spark sends the blocks to all tasks if they are small, and deals rows out by block if not.
+    block is larger than columns * K numbers. Blocks that Spark finds small are sent to all tasks; else each is copied SALTS times, and rows are dealt
+    out by block and salt, so one block of columns takes many tasks.
     """
     last = h.agg(F.max("j")).first()[0]
     if last is None:
         return w.limit(0).select("i", F.lit(0).alias("j"), F.col("w").alias("wh"))
     blocks = packed(h, "j", "h", "h").withColumn("block", F.expr(f"j div {columns}")).groupBy("block").agg(F.collect_list(F.struct("j", "h")).alias("c"))
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = packed(w, "i", "w", "w").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last // columns).cast("bigint"))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int"))
     products = F.transform("c", lambda c: F.struct(c["j"].alias("j"), dot(F.col("w"), c["h"]).alias("wh")))
-    return rows.join(blocks, "block").select("i", F.explode(products).alias("x")).select("i", "x.j", "x.wh")
+    return rows.join(blocks, ["block", "salt"]).select("i", F.explode(products).alias("x")).select("i", "x.j", "x.wh")
 
 
 def divide(v: DataFrame, wh: DataFrame) -> DataFrame:
@@ -53,8 +57,10 @@ def subtract(v: DataFrame, wh: DataFrame) -> DataFrame:
     return wh.join(v, ["i", "j"], "left").select("i", "j", (F.coalesce("v", F.lit(0.0)) - F.col("wh")).alias("d"))
 
 
-def reduce_to_row(factor: DataFrame, value: str) -> DataFrame:
-    """(k, acc): sums of a factor over its long side."""
+def reduce_to_row(factor: DataFrame, value: str, exact: bool = False) -> DataFrame:
+    """(k, acc): sums of a factor over its long side; exact: the same to the last bit on any partitions."""
+    if exact:
+        return exact_sums(factor, ["k"], {"acc": value})
     return factor.groupBy("k").agg(F.sum(value).alias("acc"))
 
 
@@ -83,9 +89,11 @@ def connectivity_difference(now: DataFrame, last: DataFrame) -> DataFrame:
     return a.withColumnRenamed("p", "pa").join(b.withColumnRenamed("p", "pb")).join(pairs(both)).select((F.col("pa") + F.col("pb") - 2 * F.col("p")).cast("bigint").alias("diff"))
 
 
-def dot_v_vwh(v: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
-    """(dot_v, dot_vwh): sums of squares of V and of V - W H, over all cells."""
+def dot_v_vwh(v: DataFrame, w: DataFrame, h: DataFrame, exact: bool = False) -> DataFrame:
+    """(dot_v, dot_vwh): sums of squares of V and of V - W H, over all cells; exact: of the squares as doubles, the same to the last bit on any partitions."""
     d = matmul(w, h).join(v, ["i", "j"], "left").select(F.coalesce("v", F.lit(0.0)).alias("v"), "wh")
+    if exact:
+        return exact_sums(d.select((F.col("v") * F.col("v")).alias("a"), ((F.col("v") - F.col("wh")) * (F.col("v") - F.col("wh"))).alias("b")), [], {"dot_v": "a", "dot_vwh": "b"})
     return d.agg(F.sum(F.col("v") * F.col("v")).alias("dot_v"), F.sum((F.col("v") - F.col("wh")) * (F.col("v") - F.col("wh"))).alias("dot_vwh"))
 
 
@@ -96,6 +104,18 @@ def dot_gram(v: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
     return at_cells(v, w, h).agg(F.sum(F.col("v") * F.col("v")).alias("dot_v"), F.sum(F.col("v") * F.col("wh")).alias("c")).join(whole).select("dot_v", (F.col("dot_v") - 2 * F.col("c") + F.col("g")).alias("dot_vwh"))
 
 
+#: A squared distance below this part of V's squares is not trusted to differences of sums.
+NEAR = 1e-10
+
+
+def dots(v: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:
+    """dot_v and dot_vwh by the stored cells alone, and over all cells only where V is met so closely that the first has no digits left. One row comes to the driver."""
+    x = dot_gram(v, w, h).first()
+    if not x["dot_vwh"] > NEAR * x["dot_v"]:
+        return dot_v_vwh(v, w, h)
+    return v.sparkSession.createDataFrame([tuple(x)], "dot_v double, dot_vwh double")
+
+
 def relative_distance(dots: DataFrame) -> DataFrame:
     return dots.select((F.sqrt("dot_vwh") / F.sqrt("dot_v")).alias("distance"))
 

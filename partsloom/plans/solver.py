@@ -1,31 +1,34 @@
-"""The factorization: updates by blocks of rows until the columns' clustering stays the same.
+"""The factorization: updates until the columns' clustering stays the same.
 
-A round takes one pass over V: a block of rows brings its part of W up to date with the H it is given and
-at once gives its share of the numerators of the next H. H (K x columns) stays on the driver; V and W stay spread by block. A
-matrix of few cells is solved in one task instead, as a job a round would cost more than the round.
+V is dealt out as tiles once and stays where it is. A half-step sends blocks of both factors to the tiles, adds their numerators up by block in a fixed order, and writes the
+new factor, in blocks, to the shared folder; tests count classes block by block. Neither V nor a factor is ever whole in a task or on the driver. A
+matrix of few cells can be solved in one task instead, as a job a step would cost more than the step; the results are the same, to rounding.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import R_MIN
-from ..model import Matrix
+from ..model import Matrix, MatrixError
+from ..operators import matrix as mx
 from ..operators.start import FACTOR, PRIME, new_seed
 from ..session import checkpoint_dir
-from ..sources.compose import delete
+from ..sources.compose import delete, exists
 from ..sources.validate import check_rank
+from .tiles import CELL_BYTES, Tiling, in_order, matrix_of, met, partial, plan, spread, total
 
-#: Cells of V up to which one task solves all, and cells of a block.
-LOCAL_CELLS, BLOCK_CELLS = 4_000_000, 1_000_000
+#: Cells of V up to which one task solves all, and bytes that a task may take for a tile and its factors' blocks.
+LOCAL_CELLS, MEMORY = 4_000_000, 256_000_000
 
 
 @dataclass(frozen=True)
@@ -37,6 +40,8 @@ class Options:
     seed: int | None = None
     #: Cells up to which one task solves all; the results are the same, to rounding, either way.
     local_cells: int = LOCAL_CELLS
+    #: Bytes of a task beyond that; tiles are planned for it.
+    memory: int = MEMORY
 
     def __post_init__(self):
         for what in ("iterations", "period", "threshold"):
@@ -48,7 +53,8 @@ class Options:
 
 @dataclass(frozen=True)
 class Result:
-    """w (i, k, w), h (j, k, h), the number of iterations, whether the clustering settled, the relative distance, and the tests: (test, iter, diff, inc)."""
+    """w (i, k, w), h (j, k, h), the number of iterations, whether the clustering settled, the relative distance, the tests: (test, iter, diff, inc),
+    and, of a run by tiles, what was done: {step: [calls, tiles, stored cells, seconds]} for the steps spread, start, H, W, floor, test and distance."""
 
     w: DataFrame
     h: DataFrame
@@ -56,6 +62,7 @@ class Result:
     converged: bool
     distance: float
     trace: list[tuple[int, int, int, int]]
+    steps: dict[str, list] = field(default_factory=dict)
 
 
 def start_values(index: np.ndarray, k: int, matrix: int, seed: int) -> np.ndarray:
@@ -98,8 +105,12 @@ class Watch:
 
     def settled(self, h: np.ndarray) -> bool:
         cls = h.argmax(axis=1)
-        diff, done = difference(cls, self.last, self.options.k), False
-        self.last = cls
+        diff, self.last = difference(cls, self.last, self.options.k), cls
+        return self.counted(diff)
+
+    def counted(self, diff: int) -> bool:
+        """A test at which diff pairs had joined or parted."""
+        done = False
         if diff:
             self.inc = 0
         elif self.inc < self.options.threshold:
@@ -130,10 +141,12 @@ def solve_array(v: np.ndarray, o: Options, seed: int) -> tuple[np.ndarray, np.nd
     return w, h, len(watch.trace) * o.period if done else o.iterations, done, distance, watch.trace
 
 
-def factorize(m: Matrix, options: Options = Options(), local_cells: int | None = None) -> Result:
+def factorize(m: Matrix, options: Options = Options(), local_cells: int | None = None, folder: str | None = None, on_test: Callable[[tuple[int, int, int, int]], None] | None = None) -> Result:
+    """folder: where a run by tiles writes its state after each test; if it holds one, of the same matrix and options, the run goes on from there. on_test is told each line of the trace."""
     check_rank(options.k, m)
+    alone = m.n_rows * m.n_cols <= (options.local_cells if local_cells is None else local_cells)
     seed = new_seed() if options.seed is None else options.seed
-    return _in_one_task(m, options, seed) if m.n_rows * m.n_cols <= (options.local_cells if local_cells is None else local_cells) else _by_blocks(m, options, seed)
+    return _in_one_task(m, options, seed) if alone and not folder else _by_tiles(m, options, seed, folder, on_test)
 
 
 def _long(spark: SparkSession, factor: np.ndarray, key: str, value: str) -> DataFrame:
@@ -159,100 +172,237 @@ def _in_one_task(m: Matrix, o: Options, seed: int) -> Result:
     return Result(_long(spark, w, "i", "w"), _long(spark, h, "j", "h"), r["n"], r["done"], r["distance"], trace)
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark)}/factors-{uuid.uuid4().hex}"
+def cross(now: np.ndarray, last: np.ndarray, k: int) -> np.ndarray:
+    """How many columns are of each pair of classes, now and at the test before."""
+    return np.bincount(now * k + last, minlength=k * k).reshape(k, k)
+
+
+def crossed_difference(n: np.ndarray) -> int:
+    """difference(), from the counts of cross()."""
+    pairs = lambda x: sum(int(y) * (int(y) - 1) // 2 for y in x.ravel())
+    return pairs(n.sum(axis=0)) + pairs(n.sum(axis=1)) - 2 * pairs(n)
+
+
+@dataclass
+class State:
+    """What a run needs to go on: which tables of the folder hold the factors after so many iterations, and the tests so far."""
+
+    shape: list[int]
+    options: dict
+    seed: int
+    tile: list[int]
+    iteration: int
+    w: int
+    h: int
+    inc: int
+    done: bool
+    trace: list[list[int]]
+    steps: dict[str, list]
+
+
+class Run:
+    """A factorization by tiles. Factors are tables of blocks: (rb, w, acc) and (cb, h, acc, cls), with acc the block's sums by factor and cls the classes at the last test."""
+
+    W, H = "rb long, w binary, acc array<double>", "cb long, h binary, acc array<double>, cls binary"
+
+    def __init__(self, m: Matrix, o: Options, seed: int, folder: str | None):
+        self.spark, self.m, self.o, self.kept = m.cells.sparkSession, m, o, folder is not None
+        self.folder = folder or f"{checkpoint_dir(self.spark)}/factors-{uuid.uuid4().hex}"
+        self.steps: dict[str, list] = {}
+        self.turn, self.watch, self.iteration, self.done = 0, Watch(0, o), 0, False
+        old = self._load()
+        if old:
+            if old.shape != [m.n_rows, m.n_cols] or old.options != self._options() or (o.seed is not None and seed != old.seed):
+                raise MatrixError(f"{self.folder} holds the state of another run")
+            self.tiling, self.seed = Tiling(m.n_rows, m.n_cols, *old.tile), old.seed
+        else:
+            cells = m.cells.count()
+            self.tiling, self.seed = plan(m.n_rows, m.n_cols, cells, o.k, o.memory), seed
+        with self._step("spread"):
+            self.tiles = spread(m.cells, self.tiling, max(1, o.memory // (2 * CELL_BYTES)))
+        if old:
+            self.turn, self.iteration, self.done, self.steps = max(old.w, old.h), old.iteration, old.done, old.steps
+            self.watch.inc, self.watch.trace = old.inc, [tuple(x) for x in old.trace]
+            self.w_at, self.h_at = old.w, old.h
+        else:
+            with self._step("start"):
+                self.w_at, self.h_at = self._start(0), self._start(1)
+
+    def _options(self) -> dict:
+        return {k: v for k, v in asdict(self.o).items() if k not in ("seed", "local_cells")}
+
+    # tables of the folder
 
+    def _save(self, df: DataFrame) -> int:
+        self.turn += 1
+        df.write.mode("overwrite").parquet(f"{self.folder}/{self.turn}")
+        return self.turn
 
-def _by_blocks(m: Matrix, o: Options, seed: int) -> Result:
-    """V stays persisted by block. A round writes W, a small part of V's size, to the shared folder and joins it with V by block,
-    where V need not move again. Shares of H's numerators are added up in groups of partitions before they come to the driver."""
-    spark, rows, cols, folder = m.cells.sparkSession, max(1, BLOCK_CELLS // m.n_cols), m.n_cols, _folder(m.cells.sparkSession)
-    n_rows = m.n_rows
-    blocks = -(-n_rows // rows)
-    parts = min(blocks, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    def _read(self, at: int, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{at}")
 
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        """A block's stored cells, by place."""
-        b = int(g["block"].iloc[0])
-        at = (g["i"].to_numpy(np.int64) - b * rows) * cols + g["j"].to_numpy(np.int64)
-        return pd.DataFrame({"block": [b], "at": [at.astype("<i8").tobytes()], "v": [g["v"].to_numpy("<f8").tobytes()]})
+    @property
+    def w(self) -> DataFrame:
+        return self._read(self.w_at, self.W)
 
-    def dense(r) -> np.ndarray:
-        x = np.zeros((min(rows, n_rows - r.block * rows), cols))
-        x.ravel()[np.frombuffer(r.at, "<i8")] = np.frombuffer(r.v, "<f8")
-        return x
+    @property
+    def h(self) -> DataFrame:
+        return self._read(self.h_at, self.H)
 
-    # one exchange deals the cells out, and joins by block need no other
-    v = m.cells.withColumn("block", F.expr(f"i div {rows}")).repartition(parts, "block").groupBy("block").applyInPandas(pack, "block bigint, at binary, v binary")
-    v = v.persist(StorageLevel.MEMORY_AND_DISK)
+    def _drop(self, *turns: int) -> None:
+        for t in turns:
+            delete(self.spark, f"{self.folder}/{t}")
 
-    def shares(left: DataFrame, h: np.ndarray | None, kind: str) -> DataFrame:
-        """kind: start, W at its first values; step, W moved on with h; floor, W floored; end, the distance with h."""
-        sent = spark.sparkContext.broadcast(h)
+    def _load(self) -> State | None:
+        path = f"{self.folder}/state"
+        if not self.kept or not exists(self.spark, path):
+            return None
+        return State(**json.loads(max(self.spark.read.text(path).collect(), key=lambda r: json.loads(r["value"])["iteration"])["value"]))
+
+    def store(self) -> None:
+        """The state is added under its own name before the one before is deleted, so there is always a whole one."""
+        if self.kept:
+            s = State([self.m.n_rows, self.m.n_cols], self._options(), self.seed, [self.tiling.rows, self.tiling.cols], self.iteration, self.w_at, self.h_at, self.watch.inc, self.done, [list(x) for x in self.watch.trace], self.steps)
+            self.spark.createDataFrame([(json.dumps(asdict(s)),)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/state")
+
+    # steps
+
+    def _step(self, name: str):
+        return Step(self.steps, name)
+
+    def _start(self, which: int) -> int:
+        t, k, seed = self.tiling, self.o.k, self.seed
+        size, count, of = (t.rows, t.row_blocks, t.rows_of) if which == 0 else (t.cols, t.col_blocks, t.cols_of)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            num, acc, dots = 0.0, 0.0, np.zeros(2)
             for b in batches:
-                for r in b.itertuples(index=False):
-                    x = dense(r)
-                    with np.errstate(all="ignore"):
-                        if kind == "start":
-                            w = start_values(r.block * rows + np.arange(len(x)), o.k, 0, seed)
-                        else:
-                            w = np.frombuffer(r.w).reshape(-1, o.k)
-                        if kind == "end":
-                            dots += ((x - w @ sent.value.T) ** 2).sum(), (x * x).sum()
-                            continue
-                        if kind in ("step", "floor"):
-                            w = next_w(x, w, sent.value[0])
-                        w = floored(w) if kind == "floor" else w
-                        num, acc = num + ratios(x, w, sent.value[1]).T @ w, acc + w.sum(axis=0)
-                    yield pd.DataFrame({"block": [r.block], "w": [w.tobytes()], "share": [None]})
-            out = dots if kind == "end" else np.concatenate([np.ravel(num), np.ravel(acc)]) if np.ndim(num) else np.zeros(0)
-            if len(out):
-                yield pd.DataFrame({"block": [-1], "w": [None], "share": [out.tobytes()]})
-
-        return left.mapInPandas(run, "block bigint, w binary, share binary")
-
-    def total(d: DataFrame) -> np.ndarray:
-        """The shares' sum, in groups first."""
-        add = lambda g: pd.DataFrame({"share": [sum(np.frombuffer(x) for x in g["share"]).tobytes()]})
-        some = d.where("share is not null").select("share", F.pmod(F.xxhash64("share"), F.lit(32)).alias("g")).groupBy("g").applyInPandas(add, "share binary")
-        return sum(np.frombuffer(bytes(r["share"])) for r in some.collect())
-
-    turn = 0
-
-    def go(left: DataFrame, h, kind: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-        nonlocal turn
-        turn += 1
-        path = f"{folder}/{turn}"
-        shares(left, h, kind).write.parquet(path)
-        d = spark.read.schema("block bigint, w binary, share binary").parquet(path)
-        s = total(d)
-        if turn > 1:  # nothing reads the W before any more
-            delete(spark, f"{folder}/{turn - 1}")
-        return d.where("block >= 0").select("block", "w"), s[: cols * o.k].reshape(cols, o.k), s[cols * o.k :]
-
-    # The share that comes with a W is that of the next H: numerators with the H before, W's sums.
-    with np.errstate(all="ignore"):
-        h = start_values(np.arange(cols), o.k, 1, seed)
-        w, num, acc = go(v, (None, h), "start")
-        watch, done = Watch(cols, o), False
-        for n in range(1, o.iterations + 1):
-            test = n % o.period == 0
-            g = next_h(h, num, acc)
-            h = floored(g) if test else g
-            w, num, acc = go(v.join(w, "block"), (g, h), "floor" if test else "step")
-            if test and (done := watch.settled(h)):
-                break
-        dots = total(shares(v.join(w, "block"), h, "end"))
-    v.unpersist()
+                for block in b["id"].tolist():
+                    x = start_values(block * size + np.arange(of(block)), k, which, seed)
+                    row = {"rb": [block], "w": [x.tobytes()], "acc": [x.sum(axis=0)]} if which == 0 else {"cb": [block], "h": [x.tobytes()], "acc": [x.sum(axis=0)], "cls": [np.zeros(len(x), "<i4").tobytes()]}
+                    yield pd.DataFrame(row)
+
+        return self._save(self.spark.range(count).mapInPandas(run, self.H if which else self.W))
+
+    def update(self, side: str, floor: bool = False) -> None:
+        """One half-step: the factor of that side from the numerators at the tiles and the other factor's sums."""
+        t, k = self.tiles, self.o.k
+        seen = Observation()
+        with self._step(side.upper()) as step:
+            parts = partial(met(t, self.w, self.h), k, side).observe(seen, F.count("*").alias("tiles"), F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"))
+            own, key, most, other, other_key, n = (self.h, "cb", t.most_h, self.w, "rb", t.tiling.row_blocks) if side == "h" else (self.w, "rb", t.most_w, self.h, "cb", t.tiling.col_blocks)
+            acc = total(other, other_key, "acc", n)
+            both = own.join(in_order(parts, most).select(F.col("block").alias(key), "x"), key, "left").join(F.broadcast(acc))
+
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    for r in b.itertuples(index=False):
+                        x = np.frombuffer(getattr(r, side)).reshape(-1, k)
+                        num = np.zeros_like(x) if r.x is None else np.frombuffer(r.x).reshape(-1, k)
+                        with np.errstate(all="ignore"):
+                            x = x * num / np.asarray(r.total)
+                        x = floored(x) if floor else x
+                        yield pd.DataFrame({key: [getattr(r, key)], side: [x.tobytes()], "acc": [x.sum(axis=0)], **({"cls": [r.cls]} if side == "h" else {})})
+
+            at, old = self._save(both.mapInPandas(run, self.H if side == "h" else self.W)), self.h_at if side == "h" else self.w_at
+            got = seen.get
+            step.done(got["tiles"], got["cells"])
+        if side == "h":
+            self.h_at = at
+        else:
+            self.w_at = at
+        self._retire(old)
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                x = np.frombuffer(r.w).reshape(-1, o.k)
-                yield pd.DataFrame({"i": r.block * rows + np.repeat(np.arange(len(x)), o.k), "k": np.tile(np.arange(o.k, dtype=np.int32), len(x)), "w": x.ravel()})
+    def _retire(self, old: int) -> None:
+        """Tables that the last stored state names stay until there is a newer state."""
+        if self.kept:
+            self.old = [*getattr(self, "old", []), old]
+        else:
+            self._drop(old)
+
+    def test(self) -> bool:
+        """Floors H, classes its columns and counts what has changed since the test before; only K * K counts come to the driver."""
+        k = self.o.k
 
-    count = len(watch.trace) * o.period if done else o.iterations
-    return Result(w.mapInPandas(unpack, "i bigint, k int, w double"), _long(spark, h, "j", "h"), count, done, float(np.sqrt(dots[0]) / np.sqrt(dots[1])), watch.trace)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for r in b.itertuples(index=False):
+                    x = floored(np.frombuffer(r.h).reshape(-1, k))
+                    now = x.argmax(axis=1)
+                    yield pd.DataFrame({"cb": [r.cb], "h": [x.tobytes()], "acc": [x.sum(axis=0)], "cls": [now.astype("<i4").tobytes()], "n": [cross(now, np.frombuffer(r.cls, "<i4").astype(np.int64), k).ravel()]})
+
+        with self._step("test"):
+            path, old = self._save(self.h.mapInPandas(run, f"{self.H}, n array<long>")), self.h_at
+            counts = self._read(path, f"{self.H}, n array<long>").select(F.posexplode("n").alias("p", "n")).groupBy("p").agg(F.sum("n").alias("n"))
+            n = np.zeros(k * k, np.int64)
+            for r in counts.collect():
+                n[r["p"]] = r["n"]
+            self.h_at = path
+        self._retire(old)
+        return self.watch.counted(crossed_difference(n.reshape(k, k)))
+
+    def distance(self) -> float:
+        """From sums at the stored cells and K * K Gram matrices; if V is met so closely that their difference has no digits left, from all cells."""
+        k = self.o.k
+
+        def gram(blocks: DataFrame, key: str, value: str, n: int) -> np.ndarray:
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    for at, x in zip(b[key], b[value], strict=True):
+                        a = np.frombuffer(x).reshape(-1, k)
+                        yield pd.DataFrame({key: [at], "g": [(a.T @ a).ravel()]})
+
+            return np.array(total(blocks.select(key, value).mapInPandas(run, f"{key} long, g array<double>"), key, "g", n).first()[0]).reshape(k, k)
+
+        seen = Observation()
+        with self._step("distance") as step:
+            parts = partial(met(self.tiles, self.w, self.h), k, "d").observe(seen, F.count("*").alias("tiles"), F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"))
+            unpacked = in_order(parts, self.tiles.most_h).mapInPandas(lambda bs: (pd.DataFrame({"cb": b["block"], "a": [np.frombuffer(x) for x in b["x"]]}) for b in bs), "cb long, a array<double>")
+            dot_v, stored, products = total(unpacked, "cb", "a", self.tiling.col_blocks).first()[0]
+            step.done(seen.get["tiles"], seen.get["cells"])
+            every = float((gram(self.w, "rb", "w", self.tiling.row_blocks) * gram(self.h, "cb", "h", self.tiling.col_blocks)).sum())
+            square = stored + max(0.0, every - products)  # and the cells of V that are zero
+            if not square > mx.NEAR * dot_v:
+                square = mx.dot_v_vwh(self.m.cells, *self.factors()).first()["dot_vwh"]
+        return float(np.sqrt(square) / np.sqrt(dot_v))
+
+    def factors(self) -> tuple[DataFrame, DataFrame]:
+        return matrix_of(self.w, self.o.k, "rb", "w", "i", self.tiling.rows), matrix_of(self.h, self.o.k, "cb", "h", "j", self.tiling.cols)
+
+
+class Step:
+    """Counts a step's calls, tiles, stored cells and seconds."""
+
+    def __init__(self, steps: dict[str, list], name: str):
+        self.row = steps.setdefault(name, [0, 0, 0, 0.0])
+
+    def __enter__(self) -> Step:
+        self.began = time.monotonic()
+        return self
+
+    def done(self, tiles: int, cells: int) -> None:
+        self.row[1] += tiles
+        self.row[2] += cells
+
+    def __exit__(self, *_) -> None:
+        self.row[0] += 1
+        self.row[3] += time.monotonic() - self.began
+
+
+def _by_tiles(m: Matrix, o: Options, seed: int, folder: str | None = None, on_test: Callable | None = None) -> Result:
+    run = Run(m, o, seed, folder)
+    while run.iteration < o.iterations and not run.done:
+        n = run.iteration + 1
+        test = n % o.period == 0
+        run.update("h")
+        run.update("w", floor=test)
+        if test:
+            run.done = run.test()
+        run.iteration = n
+        if test:
+            run.store()
+            run._drop(*getattr(run, "old", []))
+            run.old = []
+            if on_test:
+                on_test(run.watch.trace[-1])
+    w, h = run.factors()
+    return Result(w, h, run.iteration, run.done, run.distance(), run.watch.trace, run.steps)

@@ -4,23 +4,22 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cli
-from .functions.numeric import NUMBERS, R_MIN
-from .model import Matrix, MatrixError
+from .functions.numeric import NUMBERS, R_MIN, ieee_divide
+from .model import Matrix
 from .operators import matrix as mx
 from .operators.start import FACTOR, PRIME, start_h, start_w
-from .plans.solver import Options, factorize
+from .plans.solver import Options, Result, factorize
 from .plans.updates import iterate, update_h, update_w
 from .session import checkpoint_dir
 from .sources import files, tables, validate
 from .sources.binary import INTEGER
-from .sources.compose import compose
-from .sources.text import numbered_lines
+from .sources.compose import exists
+from .sources.text import faults, numbered_lines, parsed
 
 K, SEED = 2, 3
 
@@ -109,7 +108,8 @@ def row_tags(spark, sf):
 
 
 def factor_labels(spark, sf):
-    return mx.factor_labels(spark, 4)
+    """Names of as many factors as there are kinds of events."""
+    return mx.factor_labels(spark, _v(spark, sf)[0].n_cols)
 
 
 def init_w(spark, sf):
@@ -145,8 +145,21 @@ def reduce_to_row(spark, sf):
 
 
 def adjust(spark, sf):
-    odd = spark.createDataFrame([(0, float("nan")), (1, 0.0), (2, -1.0), (3, R_MIN), (4, 1.0), (5, float("inf"))], "i bigint, w double")
-    return mx.adjust(odd, "w").select("i", (F.col("w") == R_MIN).alias("at_floor"), (F.col("w") == float("inf")).alias("infinite"))
+    """All cells of the vectors, of which every fourth is divided by zero (infinite, or no number where it is zero), and others are made zero by zero or too small to be normal."""
+    x, j = F.col("v"), F.col("j") % 4
+    odd = F.when(j == 1, ieee_divide(x, F.lit(0.0))).when(j == 2, ieee_divide(x * 0, F.lit(0.0))).when(j == 3, x * 1e-308 * 0.01).otherwise(x)
+    w = mx.adjust(_signed(spark, sf).select("i", "j", odd.alias("w")), "w")
+    return w.select("i", "j", (F.col("w") == R_MIN).alias("at_floor"), (F.col("w") == float("inf")).alias("infinite"), F.when(F.col("w").between(1e-6, 1e6), F.round("w", 6)).alias("w"))
+
+
+def exact_sums(spark, sf):
+    """Sums of each column of the vectors, signs and all, exact on any partitions."""
+    return _r(mx.reduce_to_row(_signed(spark, sf).select("i", F.col("j").alias("k"), "v"), "v", exact=True))
+
+
+def exact_distance(spark, sf):
+    m, w, h = _v(spark, sf)
+    return _r(mx.relative_distance(mx.dot_v_vwh(m.cells, w, h, exact=True)))
 
 
 def update_h_once(spark, sf):
@@ -192,6 +205,12 @@ def relative_distance(spark, sf):
     return _r(mx.relative_distance(mx.dot_v_vwh(m.cells, w, h)))
 
 
+def distance_chosen(spark, sf):
+    """By the stored cells, or by all of them where V is met too closely for that."""
+    m, w, h = _v(spark, sf)
+    return _r(mx.relative_distance(mx.dots(m.cells, w, h)))
+
+
 def distance_gram(spark, sf):
     m, w, h = _v(spark, sf)
     return _r(mx.relative_distance(mx.dot_gram(m.cells, w, h)))
@@ -211,6 +230,56 @@ def nmf_block(spark, sf):
     return _r(factorize(_v(spark, sf)[0], Options(K, 3, 10, 40, SEED), local_cells=0).h)
 
 
+#: Bytes of a task that make several tiles both ways of the smallest matrix.
+SMALL = 20_000
+
+
+def _by_tiles(m: Matrix, *options, **more) -> Result:
+    return factorize(m, Options(*options, local_cells=0, memory=SMALL), **more)
+
+
+def nmf_tiles(spark, sf):
+    """Three iterations on eight by two tiles or more."""
+    r = _by_tiles(_v(spark, sf)[0], K, 3, 10, 40, SEED)
+    return _r(r.h.select(F.lit("H").alias("factor"), F.col("j").cast("bigint").alias("at"), "k", F.col("h").alias("x")).union(r.w.select(F.lit("W"), "i", "k", "w")))
+
+
+def nmf_sparse(spark, sf):
+    """Three iterations of parts by status at their stored cells."""
+    r = factorize(tables.parts_by_status(spark, sf), Options(K, 3, 10, 40, SEED, local_cells=0, memory=2_000_000))
+    return _r(r.h)
+
+
+def nmf_settled(spark, sf):
+    """A whole run by tiles until the clustering has settled."""
+    r = _by_tiles(_v(spark, sf)[0], K, 200, 2, 2, SEED)
+    return spark.createDataFrame(r.trace, "test int, iter int, diff bigint, inc int")
+
+
+def nmf_resumed(spark, sf):
+    """The same run, broken off after its third test, and taken up from what it had written down."""
+
+    class Broken(Exception):
+        pass
+
+    def broken(test):
+        if test[0] == 3:
+            raise Broken
+
+    m, folder = _v(spark, sf)[0], f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+    try:
+        _by_tiles(m, K, 200, 2, 2, SEED, folder=folder, on_test=broken)
+    except Broken:
+        pass
+    return spark.createDataFrame(_by_tiles(m, K, 200, 2, 2, SEED, folder=folder).trace, "test int, iter int, diff bigint, inc int")
+
+
+def nmf_steps(spark, sf):
+    """What a run of three iterations with a test after the second does: calls, and stored cells that went through."""
+    steps = _by_tiles(_v(spark, sf)[0], K, 3, 2, 40, SEED).steps
+    return spark.createDataFrame([(name, calls, cells) for name, (calls, _, cells, _) in steps.items()], "step string, calls int, cells bigint")
+
+
 def text_roundtrip(spark, sf):
     """One file, put together from four parts."""
     m, path = _v(spark, sf)[0], _scratch(spark)
@@ -320,93 +389,76 @@ def block_distance(spark, sf):
     return _r(spark.createDataFrame([(r.distance,)], "distance double"))
 
 
-def _cases(spark: SparkSession, cases: dict[str, object], run: Callable) -> DataFrame:
-    """(name, outcome): what run gives for each case, or that it is an error."""
-    out = []
-    for name, case in cases.items():
-        try:
-            out.append((name, str(run(case))))
-        except (MatrixError, ValueError):
-            out.append((name, "error"))
-        except SystemExit as e:  # the command line's parser ends the process, with 0 for help
-            out.append((name, "error" if e.code else "help"))
-    return spark.createDataFrame(out, "name string, outcome string")
-
-
-def _text(spark: SparkSession, content: str, **options) -> Matrix:
-    path = _scratch(spark)
-    compose(path, [content.encode()], [])
-    return files.read_matrix(spark, path, "text", **options)
-
-
-def _shown(m: Matrix) -> str:
-    """A small matrix in one line: name, headers, labels, rows."""
-    tags = lambda d, k: "-" if d is None else ",".join(r[1] for r in d.orderBy(k).collect())
-    rows = " ".join(",".join("%g" % x for x in r["row"]) for r in m.dense_rows().orderBy("i").collect())
-    return f"{'-' if m.name is None else m.name}|{tags(m.col_tags, 'j')}|{tags(m.row_tags, 'i')}|{rows}"
-
-
-#: A file's content, the reader's options, and what is read.
-FORMS = {
-    "all tags": ("n\th1\th2\nr1\t1\t2\nr2\t3\t4\n", {}, "n|h1,h2|r1,r2|1,2 3,4"),
-    "headers": ("h1\th2\n1\t2\n3\t4\n", {}, "-|h1,h2|-|1,2 3,4"),
-    "name": ("my matrix\n1\t2\n3\t4\n", {}, "my matrix|-|-|1,2 3,4"),
-    "numbers": ("1\t2\n3\t4", {}, "-|-|-|1,2 3,4"),
-    "spaces": ("n h1 h2\nr1 1 2\nr2 3 4\n", {}, "n|h1,h2|r1,r2|1,2 3,4"),
-    "numeric labels": ("7\t1\t2\n8\t3\t4\n", {"numeric_labels": True}, "-|-|7,8|1,2 3,4"),
-    "numeric labels unsaid": ("7\t1\t2\n8\t3\t4\n", {}, "-|-|-|7,1,2 8,3,4"),
-    "numeric headers": ("5\t6\n1\t2\n3\t4\n", {"numeric_headers": True}, "-|5,6|-|1,2 3,4"),
-    "numeric headers unsaid": ("5\t6\n1\t2\n3\t4\n", {}, "-|-|-|5,6 1,2 3,4"),
-    "empty cells and tags": ("\th1\t\nr1\t\t2\n\t3\t4\n", {"numeric_labels": True}, "|h1,|r1,|0,2 3,4"),
-    "line ends": ("1\t2\r\n3\t4e1\r\n", {}, "-|-|-|1,2 3,40"),
-}
-#: Rows that the row parser accepts or not, after a good first one.
-ROWS = {"good": ("3\t4", "ok"), "exponent": ("3e0\t.4E+1", "ok"), "empty cell": ("\t4", "ok"), "blanks": (" 3 \t4", "ok"), "short": ("3", "error"), "long": ("3\t4\t5", "error"), "negative": ("-3\t4", "error"), "no number": ("x\t4", "error"), "comma": ("1,5\t4", "error"), "trailing": ("1d\t4", "error"), "nan": ("nan\t4", "error"), "infinite": ("inf\t4", "error"), "subnormal": ("1e-310\t4", "error"), "too great": ("1e999\t4", "error"), "zeros": ("0\t0", "error")}
-#: Endings of a file of two rows, and blank lines within.
-BLANKS = {"none": ("1\t2\n3\t4", "ok"), "one": ("1\t2\n3\t4\n\n", "ok"), "fifteen": ("1\t2\n3\t4\n" + "\n" * 15, "ok"), "sixteen": ("1\t2\n3\t4\n" + "\n" * 16, "error"), "between": ("1\t2\n\n3\t4\n", "error"), "first": ("\n1\t2\n3\t4\n", "error"), "empty file": ("", "error"), "blanks only": ("1\t2\n3\t4\n  \n", "ok")}
-#: Tokens that do or don't make a line a header.
-TOKENS = {"1": True, "-2.5": True, ".5e3": True, "": True, " ": True, "1 2  3": True, "+7.": True, "1e": False, "x": False, "1x": False, "1,5": False, "nan": False, "0x10": False, "1 b": False}
-SHAPES = {"2 x 2": ((2, 2), "ok"), "9 x 3": ((9, 3), "ok"), "1 x 5": ((1, 5), "error"), "5 x 1": ((5, 1), "error"), "0 x 0": ((0, 0), "error")}
-#: Arguments of the command line and what they say: path, rank, iterations, period, threshold, input and output form, numeric headers and labels.
-ARGUMENTS = {
-    "defaults": ("factorize f", "f 2 2000 10 40 text text False False"),
-    "all": ("factorize f -b 0 -e 7 -c -r -k 5 -i 9 -j 3 -t 2 -z 1", "f 5 9 3 2 binary native True True"),
-    "capitals": ("factorize f -B 3 -E 0 -C -R -K 5 -I 9 -J 3 -T 2 -Z 0", "f 5 9 3 2 native binary True True"),
-    "unknown": ("factorize f -q --verbose -k 3", "f 3 2000 10 40 text text False False"),
-    "no file": ("factorize -k 3", "error"), "no argument": ("factorize f -k", "error"), "no iterations": ("factorize f -i 0", "error"), "negative period": ("factorize f -j -1", "error"),
-    "no threshold": ("factorize f -t 0", "error"), "no number": ("factorize f -k two", "error"), "negative device": ("factorize f -z -1", "error"), "negative form": ("factorize f -b -1", "error"),
-    "rank one": ("factorize f -k 1", "error"), "help first": ("factorize -h -i 0", "help"),
-}
-
-
-def _arguments(text: str) -> str:
-    a = cli.parser().parse(text.split())
-    Options(a.k, a.iterations, a.period, a.threshold)
-    return f"{a.path} {a.k} {a.iterations} {a.period} {a.threshold} {a.source or 'text'} {a.target or 'text'} {a.numeric_headers} {a.numeric_labels}"
-
-
 def text_forms(spark, sf):
-    return _cases(spark, FORMS, lambda x: _shown(_text(spark, x[0], **x[1])))
+    """The matrix written and read with all tags, with a name, headers or labels alone, and with none: the tags that are read."""
+    m, out = _v(spark, sf)[0], None
+    forms = {"all": ("counts", m.row_tags, m.col_tags), "name": ("counts", None, None), "headers": (None, None, m.col_tags), "labels": (None, m.row_tags, None), "none": (None, None, None)}
+    for form, tags in forms.items():
+        path = _scratch(spark)
+        files.write_matrix(Matrix(m.cells, m.n_rows, m.n_cols, *tags), path, "text")
+        got = files.read_matrix(spark, path, "text", numeric_labels=tags[1] is not None)
+        what = spark.createDataFrame([("name", 0, got.name)], "what string, idx bigint, tag string").where("tag is not null")
+        if got.row_tags is not None:
+            what = what.union(got.row_tags.select(F.lit("row"), "i", "label"))
+        if got.col_tags is not None:
+            what = what.union(got.col_tags.select(F.lit("column"), F.col("j").cast("bigint"), "header"))
+        sums = got.cells.agg(F.sum(F.col("v") * (F.col("i") + 1) * (F.col("j") + 1)).cast("bigint").cast("string").alias("tag"))
+        what = what.union(sums.select(F.lit("cells"), F.lit(0).cast("bigint"), "tag")).select(F.lit(form).alias("form"), "what", "idx", "tag")
+        out = what if out is None else out.union(what)
+    return out
 
 
 def row_parser(spark, sf):
-    return _cases(spark, ROWS, lambda x: _text(spark, f"1\t2\n{x[0]}\n5\t6\n") and "ok")
+    """A line of a label and three cells of each row of lineitem; many have an entry too few, or one that no cell can hold: what is found wrong, and where."""
+    text = lambda c: F.col(c).cast("string")
+    third = F.when(F.col("l_returnflag") == "N", text("l_discount")).when(F.col("l_returnflag") == "A", F.concat(text("l_tax"), F.col("l_linestatus")))
+    last = F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") == 2, "1e999").when(F.col("l_linenumber") == 3, "nan").otherwise(F.concat(F.lit(" -.5e"), text("l_linenumber")))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", F.concat_ws("\t", text("l_partkey"), text("l_quantity"), third, last).alias("value"))
+    rows = parsed(lines, "\t", True, 3)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "label", F.when(F.col("odd"), "odd").when(F.col("bad") > 0, "bad").otherwise("good").alias("outcome"), "bad", F.when(~F.col("odd") & (F.col("bad") == 0), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6)).alias("total"))
 
 
 def blank_lines(spark, sf):
-    return _cases(spark, BLANKS, lambda x: _text(spark, x[0]) and "ok")
+    """Every order as a file: a line for each row of lineitem, blank for some, and further blank lines behind large ones: which files may stand so."""
+    x = spark.read.parquet(f"{sf}/lineitem.parquet")
+    more = F.greatest(F.lit(0), F.col("l_quantity").cast("int") - 30)
+    lines = x.select("l_orderkey", (F.col("l_linenumber") * 100).cast("bigint").alias("i"), F.when(F.col("l_discount") < 0.02, "  ").otherwise("1\t2").alias("first"), F.explode(F.sequence(F.lit(0), more)).alias("n"))
+    lines = lines.select("l_orderkey", (F.col("i") + F.col("n")).alias("i"), F.when(F.col("n") == 0, F.col("first")).otherwise("").alias("value"))
+    return faults(parsed(lines, "\t", False, 2), "l_orderkey").select("l_orderkey", (F.col("last").isNotNull() & F.col("blank").isNull()).alias("good"), F.col("blank").alias("first_blank"))
 
 
 def numeric_tokens(spark, sf):
-    return spark.createDataFrame([(t,) for t in TOKENS], "token string").select("token", F.col("token").rlike(NUMBERS).alias("number"))
+    """Words of all documents, and times as they were noted: which of them are numbers, or several."""
+    words = spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(F.split("text", "[\\n ]")).alias("token"))
+    raw = spark.read.parquet(f"{sf}/stamps.parquet").select("raw")
+    pieces = raw.select(F.explode(F.split("raw", "[-/:T+.]")).alias("token"))
+    spaced = raw.select(F.regexp_replace("raw", "[-/:T]", " "))
+    tokens = words.union(raw).union(pieces).union(spaced).where("token is not null").distinct()
+    return tokens.select("token", F.col("token").rlike(NUMBERS).alias("number"))
 
 
 def dimension_check(spark, sf):
-    return _cases(spark, SHAPES, lambda x: validate.check_shape(*x[0]) or "ok")
+    """Users by kinds of events of each day: which days give a matrix."""
+    e = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.to_date("ts").alias("day"), F.hour("ts").alias("hour")).agg(F.countDistinct("user_id").alias("n_rows"), F.countDistinct("event_type").alias("n_cols"))
+    return e.select(F.col("day").cast("string").alias("day"), "hour", "n_rows", "n_cols", validate.fits(F.col("n_rows"), F.col("n_cols")).alias("fits"))
 
 
 def command_line(spark, sf):
-    return _cases(spark, ARGUMENTS, lambda x: _arguments(x[0]))
+    """H as the command line leaves it: portable input, a test every second iteration and few to settle; native input by capital letters and an option that there is not; no file at all when help is asked for first."""
+    m, path = _v(spark, sf)[0], _scratch(spark)
+    files.write_matrix(m, path + "-p", "binary")
+    files.write_matrix(m, path + "-n", "native")
+    common = ["-K", str(K), "--seed", str(SEED), "-e", "0"]
+    cli.main(["factorize", path + "-p", "-b", "0", "-i", "60", "-j", "2", "-t", "3", "-z", "1", *common], spark)
+    cli.main(["factorize", path + "-n", "-B", "2", "-I", "3", "-J", "10", "-T", "40", "-Z", "0", "-q", "--local-cells", "0", *common], spark)
+    out = [(x, files.read_matrix(spark, f"{path}-{x}_H.dat", "binary").cells) for x in "pn"]
+    files.write_matrix(m, path + "-h", "binary")
+    try:
+        cli.main(["factorize", "-h", path + "-h", "-i", "0"], spark)
+    except SystemExit as e:  # the parser ends the process, with 0 for help
+        seen = [("h", e.code or 0, exists(spark, f"{path}-h_H.dat"))]
+    rows = out[0][1].select(F.lit("p").alias("run"), "i", "j", "v").union(out[1][1].select(F.lit("n"), "i", "j", "v"))
+    return _r(rows.union(spark.createDataFrame(seen, "run string, code int, file boolean").select("run", F.col("code").cast("bigint"), F.col("file").cast("int"), F.lit(0.0))))
 
 
 def binary_roundtrip(spark, sf):
@@ -422,7 +474,9 @@ def native_roundtrip(spark, sf):
 
 
 def generate_matrix(spark, sf):
-    return _r(files.generate(spark, 40, 7, 2.5, SEED).cells)
+    """As many rows and columns as there are suppliers and nations."""
+    n, m = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("supplier", "nation"))
+    return _r(files.generate(spark, n, m, 2.5, SEED).cells)
 
 
 ALL = [
@@ -430,6 +484,7 @@ ALL = [
     div_v_wh, sub_v_wh, mul_div, reduce_to_row, adjust, update_h_once, update_w_once, classification, connectivity_diff, dot_v_vwh, relative_distance, distance_gram, nmf_converge_trace,
     nmf_factorize, nmf_block, text_roundtrip, binary_roundtrip, native_roundtrip, generate_matrix, text_folder_roundtrip, text_append, text_file_lines, text_known_shape, transpose_file, transposed_on_save,
     binary_known_shape, integer_roundtrip, binary_tags, convert_text_binary_text, preview, factor_files, factor_file_tags, block_distance, text_forms, row_parser, blank_lines, numeric_tokens, dimension_check, command_line,
+    nmf_tiles, nmf_sparse, nmf_settled, nmf_resumed, nmf_steps, exact_sums, exact_distance, distance_chosen,
 ]
 QUERIES = {f.__name__: f for f in ALL} | {"nmf_1_iter": _iters(1), "nmf_3_iters": _iters(3)}
 
@@ -508,11 +563,6 @@ z AS (
 """
 
 
-def _values(cases: dict[str, tuple], what: int) -> str:
-    """The outcomes that the cases state."""
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{c[what]}')" for n, c in cases.items()) + ") t(name, outcome)"
-
-
 _CLS = "SELECT j, arg_max(k, h)::INT AS cls FROM {} GROUP BY j"
 SQL = {
     "matrix_scan_coo": _sql("SELECT i, j, v FROM V"),
@@ -526,7 +576,7 @@ SQL = {
     "dense_rows": _sql("SELECT ri.i, ci.j::INT AS j, coalesce(v, 0) AS v FROM ri CROSS JOIN ci LEFT JOIN V ON V.i = ri.i AND V.j = ci.j", _MONTHS),
     "column_tags": _sql("SELECT j::INT AS j, c AS header FROM ci", _MONTHS),
     "row_tags": _sql("SELECT i, r::VARCHAR AS label FROM ri"),
-    "factor_labels": "SELECT k::INT AS k, 'Factor_' || k AS label FROM (SELECT unnest(range(4)) AS k)",
+    "factor_labels": "SELECT k::INT AS k, 'Factor_' || k AS label FROM (SELECT unnest(range((SELECT count(DISTINCT event_type) FROM events))) AS k)",
     "init_w": _sql("SELECT i, k, round(w, 6) AS w FROM W0", _EVENTS, _STARTS),
     "init_h": _sql("SELECT j, k, round(h, 6) AS h FROM H0", _EVENTS, _STARTS),
     "matmul_wh": _sql("SELECT i, j, round(wh, 6) AS wh FROM WH", _EVENTS, _STARTS),
@@ -534,7 +584,6 @@ SQL = {
     "sub_v_wh": _sql("SELECT i, j, round(coalesce(v, 0) - wh, 6) AS d FROM WH LEFT JOIN V USING (i, j)", _EVENTS, _STARTS),
     "mul_div": _sql("SELECT j, k, round(h * (h * 3) / acc, 6) AS h FROM H0 JOIN (SELECT k, sum(w) AS acc FROM W0 GROUP BY k) USING (k)", _EVENTS, _STARTS),
     "reduce_to_row": _sql("SELECT k, round(sum(w), 6) AS acc FROM W0 GROUP BY k", _EVENTS, _STARTS),
-    "adjust": "SELECT i, w = 2.2250738585072014e-308::DOUBLE AS at_floor, w = 'inf'::DOUBLE AS infinite FROM (SELECT i, CASE WHEN isnan(w) OR w < 2.2250738585072014e-308::DOUBLE THEN 2.2250738585072014e-308::DOUBLE ELSE w END AS w FROM (VALUES (0::BIGINT, 'nan'::DOUBLE), (1, 0), (2, -1), (3, 2.2250738585072014e-308::DOUBLE), (4, 1), (5, 'inf'::DOUBLE)) t(i, w))",
     "update_h_once": _sql("SELECT j, k, round(h, 6) AS h FROM H1", _EVENTS, _STARTS, _h_step(1, "W0", "H0")),
     "update_w_once": _sql("SELECT i, k, round(w, 6) AS w FROM W1", _EVENTS, _STARTS, _w_step(1, "W0", "H0")),
     "nmf_1_iter": _sql("SELECT j, k, round(h, 6) AS h FROM H1", _EVENTS, *_chain(1)),
@@ -547,7 +596,6 @@ SQL = {
     "text_roundtrip": _sql("SELECT i, j, v FROM V"),
     "binary_roundtrip": _sql("SELECT i, j, v FROM V"),
     "native_roundtrip": _sql("SELECT i, j, v FROM V"),
-    "generate_matrix": f"SELECT i, j::INT AS j, round({_uniform('i', 'j', 2).replace(' + 2.2250738585072014e-308::DOUBLE', '')} * 2.5::DOUBLE, 6) AS v FROM (SELECT unnest(range(40)) AS i), (SELECT unnest(range(7)) AS j)",
 }
 _V = _sql("SELECT i, j, v FROM V")
 _TURNED = _sql("SELECT j::BIGINT AS i, i::INT AS j, v FROM V")
@@ -561,9 +609,45 @@ SQL |= {
     "factor_files": _sql("SELECT 'W' AS factor, i, k::INT AS j, round(w, 6) AS v FROM W3 UNION ALL SELECT 'H', k::BIGINT, j, round(h, 6) FROM H3", _EVENTS, *_chain(3)),
     "factor_file_tags": _sql(f"SELECT 'W' AS factor, 'row' AS what, i AS idx, r::VARCHAR AS tag FROM ri UNION ALL SELECT 'W', 'column', k, 'Factor_' || k FROM (SELECT unnest(range({K})) AS k) UNION ALL SELECT 'H', 'row', k, 'Factor_' || k FROM (SELECT unnest(range({K})) AS k) UNION ALL SELECT 'H', 'column', j, c FROM ci"),
     "block_distance": _sql("SELECT round(sqrt(sum((coalesce(v, 0) - x) * (coalesce(v, 0) - x))) / sqrt(sum(coalesce(v, 0) * coalesce(v, 0))), 6) AS distance FROM (SELECT i, j, sum(w * h) AS x FROM W3 JOIN H3 USING (k) GROUP BY i, j) LEFT JOIN V USING (i, j)", _EVENTS, *_chain(3)),
-    "text_forms": _values(FORMS, 2), "row_parser": _values(ROWS, 1), "blank_lines": _values(BLANKS, 1), "dimension_check": _values(SHAPES, 1), "command_line": _values(ARGUMENTS, 1),
-    "numeric_tokens": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {str(x).lower()})" for t, x in TOKENS.items()) + ") t(token, number)",
     "nmf_converge_trace": _solver(_EVENTS, K, 2000, 10, 40) + "SELECT (iter // 10)::INT AS test, iter::INT AS iter, diff, inc::INT AS inc FROM z WHERE iter > 0 AND iter % 10 = 0",
     "nmf_factorize": _solver(_MONTHS, 3, 200, 10, 40) + "SELECT (j - 1)::INT AS j, (k - 1)::INT AS k, round(h[j][k], 6) AS h FROM (SELECT h, unnest(range(1, len(h) + 1)) AS j FROM (SELECT * FROM z ORDER BY iter DESC LIMIT 1)), (SELECT unnest(range(1, 4)) AS k)",
 }
 SQL["distance_gram"] = SQL["relative_distance"]
+_TINY = "2.2250738585072014e-308::DOUBLE"
+_CELLS = "SELECT vec_id AS i, (generate_subscripts(embedding, 1) - 1)::INT AS j, unnest(embedding)::DOUBLE AS v FROM embeddings"
+_NUMBER = "[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
+_ALONE = "SELECT '{0}' AS form, {1}"
+_TAG_ROWS = {"name": "'name' AS what, 0::BIGINT AS idx, 'counts' AS tag", "row": "'row' AS what, i AS idx, r::VARCHAR AS tag FROM ri", "column": "'column' AS what, j::BIGINT AS idx, c AS tag FROM ci", "cells": "'cells' AS what, 0::BIGINT AS idx, sum(v * (i + 1) * (j + 1))::BIGINT::VARCHAR AS tag FROM V"}
+_FORMS = {"all": ("name", "row", "column"), "name": ("name",), "headers": ("column",), "labels": ("row",), "none": ()}
+_ORDERS = """WITH x AS (SELECT l_orderkey, l_linenumber * 100 AS i, l_discount < 0.02 AS blank, unnest(range(0, greatest(0, trunc(l_quantity)::INT - 30) + 1)) AS n FROM lineitem),
+y AS (SELECT l_orderkey, count(*) FILTER (WHERE blank OR n > 0) AS n, min(i + n) FILTER (WHERE blank OR n > 0) AS first, max(i) FILTER (WHERE NOT blank AND n = 0) AS last FROM x GROUP BY l_orderkey)
+SELECT l_orderkey, last IS NOT NULL AND NOT (coalesce(first < last, false) OR n > 15) AS good, CASE WHEN first < last OR n > 15 THEN first END::BIGINT AS first_blank FROM y"""
+_LINES = """WITH x AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'N' THEN l_discount::VARCHAR WHEN 'A' THEN l_tax::VARCHAR || l_linestatus END AS third, l_quantity AS q,
+         CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN '1e999' WHEN 3 THEN 'nan' ELSE ' -.5e' || l_linenumber END AS last, l_returnflag AS f, l_discount AS d
+  FROM lineitem
+), y AS (SELECT *, CASE WHEN third IS NULL THEN 'odd' WHEN f = 'A' OR l_linenumber IN (2, 3) THEN 'bad' ELSE 'good' END AS outcome FROM x)
+SELECT l_orderkey, l_linenumber, l_partkey, l_partkey::VARCHAR AS label, outcome, CASE WHEN outcome <> 'bad' THEN 0 WHEN f = 'A' THEN 2 ELSE 3 END::INT AS bad,
+       CASE WHEN outcome = 'good' THEN round(q + d + CASE WHEN l_linenumber = 1 THEN 0 ELSE -0.5::DOUBLE * power(10, l_linenumber) END, 6) END AS total
+FROM y"""
+_TOKENS = f"""WITH w AS (SELECT unnest(string_split_regex(text, '[\n ]')) AS token FROM documents), r AS (SELECT raw AS token FROM stamps),
+t AS (SELECT token FROM w UNION SELECT token FROM r UNION SELECT unnest(string_split_regex(token, '[-/:T+.]')) FROM r UNION SELECT regexp_replace(token, '[-/:T]', ' ', 'g') FROM r)
+SELECT token, list_bool_and(list_append(list_transform(list_filter(string_split_regex(token, '[ \\t\\n\\r\\f]+'), lambda x: x <> ''), lambda x: regexp_full_match(x, '{_NUMBER}')), true)) AS number FROM t WHERE token IS NOT NULL"""
+_RUNS = f"""SELECT 'p' AS run, k::BIGINT AS i, j, h AS v FROM ({{settled}}) UNION ALL SELECT 'n', k, j, h FROM ({{three}}) UNION ALL SELECT 'h', 0, 0, 0"""
+_FINAL = "SELECT (j - 1)::INT AS j, (k - 1)::INT AS k, round(h[j][k], 6) AS h FROM (SELECT h, unnest(range(1, len(h) + 1)) AS j FROM (SELECT * FROM z ORDER BY iter DESC LIMIT 1)), (SELECT unnest(range(1, {0})) AS k)"
+_TRACE = "SELECT (iter // {0})::INT AS test, iter::INT AS iter, diff, inc::INT AS inc FROM z WHERE iter > 0 AND iter % {0} = 0"
+_PARTS = "SELECT l_partkey AS r, l_returnflag || l_linestatus AS c, sum(l_quantity) AS v FROM lineitem WHERE l_partkey IS NOT NULL AND l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2"
+SQL |= {
+    "adjust": f"SELECT i, j, w = {_TINY} AS at_floor, w = 'inf'::DOUBLE AS infinite, CASE WHEN w BETWEEN 1e-6 AND 1e6 THEN round(w, 6) END AS w FROM (SELECT i, j, CASE WHEN isnan(w) OR w < {_TINY} THEN {_TINY} ELSE w END AS w FROM (SELECT i, j, CASE WHEN j % 4 = 1 THEN CASE WHEN v > 0 THEN 'inf' WHEN v < 0 THEN '-inf' ELSE 'nan' END::DOUBLE WHEN j % 4 = 2 THEN 'nan'::DOUBLE WHEN j % 4 = 3 THEN 0 ELSE v END AS w FROM ({_CELLS})))",
+    "exact_sums": f"SELECT j AS k, round(fsum(v), 6) AS acc FROM ({_CELLS}) GROUP BY j",
+    "generate_matrix": f"SELECT i, j::INT AS j, round({_uniform('i', 'j', 2).replace(' + 2.2250738585072014e-308::DOUBLE', '')} * 2.5::DOUBLE, 6) AS v FROM (SELECT unnest(range((SELECT count(*) FROM supplier))) AS i), (SELECT unnest(range((SELECT count(*) FROM nation))) AS j)",
+    "text_forms": _sql(" UNION ALL ".join(_ALONE.format(form, _TAG_ROWS[x]) for form, tags in _FORMS.items() for x in (*tags, "cells"))),
+    "row_parser": _LINES, "blank_lines": _ORDERS, "numeric_tokens": _TOKENS,
+    "dimension_check": "SELECT strftime(ts, '%Y-%m-%d') AS day, hour(ts)::INT AS hour, count(DISTINCT user_id) AS n_rows, count(DISTINCT event_type) AS n_cols, count(DISTINCT user_id) >= 2 AND count(DISTINCT event_type) >= 2 AS fits FROM events GROUP BY 1, 2",
+    "command_line": _RUNS.format(settled=_solver(_EVENTS, K, 60, 2, 3) + _FINAL.format(K + 1), three=_solver(_EVENTS, K, 3, 10, 40) + _FINAL.format(K + 1)),
+    "nmf_tiles": _sql("SELECT 'H' AS factor, j::BIGINT AS at, k, round(h, 6) AS x FROM H3 UNION ALL SELECT 'W', i, k, round(w, 6) FROM W3", _EVENTS, *_chain(3)),
+    "nmf_sparse": _sql("SELECT j, k, round(h, 6) AS h FROM H3", _PARTS, *_chain(3)),
+    "nmf_settled": _solver(_EVENTS, K, 200, 2, 2) + _TRACE.format(2),
+    "nmf_steps": _sql("SELECT * FROM (VALUES ('spread', 1, 0), ('start', 1, 0), ('H', 3, 3), ('W', 3, 3), ('test', 1, 0), ('distance', 1, 1)) t(step, calls, c)").replace("SELECT * FROM (VALUES", "SELECT step, calls::INT AS calls, c * (SELECT count(*) FROM V) AS cells FROM (VALUES"),
+}
+SQL |= {"exact_distance": SQL["relative_distance"], "distance_chosen": SQL["relative_distance"], "nmf_resumed": SQL["nmf_settled"]}

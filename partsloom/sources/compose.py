@@ -33,6 +33,11 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def compose(path: str, head: Iterable[bytes], pieces: Iterable[str], tail: Iterable[bytes] = (), append: bool = False) -> None:
     """Writes head, the pieces' contents one after the other, and tail; a piece passes through the driver COPY bytes at a time."""
     store, where = file_system(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,14 +23,27 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
 
 
+DIGITS = 20
+
+
+def natural(name: str) -> tuple[str, ...]:
+    """A file's name as a key that has numbers in it in order of their values: part-99999 before part-100000."""
+    return tuple(x.zfill(DIGITS) if x.isdigit() else x for x in re.findall("[0-9]+|[^0-9]+", name))
+
+
+def natural_key(name: Column) -> Column:
+    """The same key in Spark."""
+    return F.transform(F.regexp_extract_all(name, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), lambda x: F.when(x.rlike("^[0-9]+$") & (F.length(x) < DIGITS), F.lpad(x, DIGITS, "0")).otherwise(x))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line bigint, value): lines in order; a folder's files follow each other by name.
+    """(line bigint, value): lines in order; a folder's files follow each other by name, numbers in names by value.
 
     Lines are numbered within the splits of the files, which are read apart, and the splits' counts (a row a split) are added up.
     """
     raw = lines_of(spark, path)
     counts = raw.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = Window.orderBy("file", "at").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(natural_key(F.col("file")), "file", "at").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("file", "at", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     return raw.join(offsets, ["file", "at"]).select((F.col("offset") + F.col("id") - F.col("first")).alias("line"), "value")
 
@@ -38,7 +51,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def first_lines(spark: SparkSession, path: str, n: int = 2) -> list[str]:
     """The first n lines; reads no further."""
     out: list[str] = []
-    for f in sorted(spark.read.text(path).inputFiles()):
+    for f in sorted(spark.read.text(path).inputFiles(), key=natural):
         out += [r["value"].rstrip("\r") for r in spark.read.option("lineSep", "\n").text(f).head(n - len(out))]
         if len(out) == n:
             break
@@ -85,6 +98,29 @@ def infer(first: str, second: str | None, numeric_headers: bool = False, numeric
     return {"sep": sep, "name": name, "headers": headers, "labels": labels, "n_cols": n, "first": int(has)}
 
 
+def parsed(lines: DataFrame, sep: str, labels: bool, n_cols: int, check: bool = True) -> DataFrame:
+    """lines with i and value, of data; in place of value come blank, odd (another number of entries), label, bad (the first entry that no cell can hold, from 1, or 0), token
+    (what it is) and v (the cells; an empty one is 0). Blank and odd lines are not looked into."""
+    rest = [c for c in lines.columns if c != "value"]
+    tokens = lines.select(*rest, (F.trim("value") == "").alias("blank"), F.split("value", re.escape(sep), -1).alias("t"))
+    tokens = tokens.select(*rest, "blank", (F.size("t") != n_cols + labels).alias("odd"), F.get("t", F.lit(0)).alias("label"), F.slice("t", 1 + labels, n_cols).alias("t"))
+    values = tokens.withColumn("v", F.transform("t", parse_cell))
+    bad = F.array_position(F.transform("v", lambda x: x.isNull() | (~is_valid(x) if check else F.lit(False))), True)
+    values = values.withColumn("bad", F.when(~F.col("blank") & ~F.col("odd"), bad).otherwise(0).cast("int"))
+    return values.select(*rest, "blank", "odd", "label", "bad", F.get("t", F.col("bad") - 1).alias("token"), "v")
+
+
+def faults(lines: DataFrame, *by: str) -> DataFrame:
+    """For each file (by; none: all lines are of one) of parsed lines: last (its last line of data), blank (a blank line that may not be there: one before data, or the first of more than MOST_BLANK), odd
+    and bad (i, bad, token), each the first of its kind; null where there is none."""
+    line = lambda when, *what: F.min(F.when(when, F.struct("i", *what) if what else F.col("i")))
+    seen = lines.groupBy(*by).agg(
+        F.count(F.when(F.col("blank"), 1)).alias("n"), line(F.col("blank")).alias("first"), F.max(F.when(~F.col("blank"), F.col("i"))).alias("last"),
+        line(~F.col("blank") & F.col("odd")).alias("odd"), line(F.col("bad") > 0, "bad", "token").alias("bad"),
+    )
+    return seen.select(*by, "last", F.when((F.col("first") < F.col("last")) | (F.col("n") > MOST_BLANK), F.col("first")).alias("blank"), "odd", "bad")
+
+
 def read_text(spark: SparkSession, path: str, numeric_headers: bool = False, numeric_labels: bool = False, check: bool = True, shape: tuple[int, int] | None = None, transpose: bool = False) -> Matrix:
     """A file or a folder of part files. An empty cell is 0 and an empty tag stays an empty one. Up to MOST_BLANK blank lines may end the file; a blank line before data is an error.
 
@@ -95,28 +131,18 @@ def read_text(spark: SparkSession, path: str, numeric_headers: bool = False, num
     if not head or not head[0]:
         raise MatrixError("the file is empty")
     form = infer(head[0], head[1] if len(head) > 1 else None, numeric_headers, numeric_labels)
-    width = form["n_cols"] + form["labels"]
-    lines = numbered_lines(spark, path).where(F.col("line") >= form["first"])
-    tokens = lines.select((F.col("line") - form["first"]).alias("i"), (F.trim("value") == "").alias("blank"), F.split("value", re.escape(form["sep"]), -1).alias("t"))
-    tokens = tokens.select("i", "blank", (F.size("t") != width).alias("odd"), F.get("t", F.lit(0)).alias("label"), F.slice("t", 1 + form["labels"], form["n_cols"]).alias("t"))
-    values = tokens.withColumn("v", F.transform("t", parse_cell))
-    bad = F.array_position(F.transform("v", lambda x: x.isNull() | (~is_valid(x) if check else F.lit(False))), True)
-    values = values.withColumn("bad", F.when(~F.col("blank") & ~F.col("odd"), bad).otherwise(0).cast("int"))
-    parsed = checkpointed(values.select("i", "blank", "odd", "label", "bad", F.get("t", F.col("bad") - 1).alias("token"), "v"))
-    least = lambda when, *what: F.min(F.when(when, F.struct("i", *what)))
-    seen = parsed.agg(
-        F.sum(F.col("blank").cast("int")).alias("blank"), F.min(F.when(F.col("blank"), F.col("i"))).alias("first_blank"), F.max(F.when(~F.col("blank"), F.col("i"))).alias("last"),
-        F.min(F.when(~F.col("blank") & F.col("odd"), F.col("i"))).alias("odd"), least(F.col("bad") > 0, "bad", "token").alias("bad"),
-    ).first()
+    lines = numbered_lines(spark, path).where(F.col("line") >= form["first"]).select((F.col("line") - form["first"]).alias("i"), "value")
+    rows = checkpointed(parsed(lines, form["sep"], form["labels"], form["n_cols"], check))
+    seen = faults(rows).first()
     if seen["last"] is None:
         raise MatrixError("there is no line of data")
-    if seen["blank"] and (seen["first_blank"] < seen["last"] or seen["blank"] > MOST_BLANK):
-        raise MatrixError(f"row {seen['first_blank']} is blank")
+    if seen["blank"] is not None:
+        raise MatrixError(f"row {seen['blank']} is blank")
     if seen["odd"] is not None:
-        raise MatrixError(f"row {seen['odd']} does not have {width} entries")
+        raise MatrixError(f"row {seen['odd']} does not have {form['n_cols'] + form['labels']} entries")
     if seen["bad"] is not None:
         raise MatrixError(f"row {seen['bad']['i']}, column {seen['bad']['bad'] - 1}: {seen['bad']['token']!r} is no number that a cell can hold")
-    data = parsed.where("not blank")
+    data = rows.where("not blank")
     cells = data.select("i", F.posexplode("v").alias("j", "v")).where("v <> 0").select("i", F.col("j").cast("int").alias("j"), "v")
     labels = data.select("i", "label") if form["labels"] else None
     headers = spark.createDataFrame(list(enumerate(form["headers"])), "j int, header string") if form["headers"] else None
@@ -157,5 +183,5 @@ def write_text(m: Matrix, path: str, single: bool = True, append: bool = False,
     parts = scratch(spark, "text") if single else path
     (body.repartitionByRange(n, "i") if n else body.repartitionByRange("i")).sortWithinPartitions("i").select("value").write.mode("overwrite").text(parts)
     if single:
-        compose(path, [f"{head}\n".encode()] if head is not None else [], sorted(spark.read.text(parts).inputFiles()), append=append)
+        compose(path, [f"{head}\n".encode()] if head is not None else [], sorted(spark.read.text(parts).inputFiles(), key=natural), append=append)
         delete(spark, parts)

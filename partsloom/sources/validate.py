@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import R_MIN, is_valid
 from ..model import Matrix, MatrixError
 
+#: Rows and columns that a matrix has at least.
+LEAST = 2
+
 
 def bad_cells(cells: DataFrame) -> DataFrame:
     """Cells that are negative, or neither zero nor a normal number."""
@@ -20,8 +23,13 @@ def empty_lines(cells: DataFrame, key: str, n: int) -> DataFrame:
     return cells.sparkSession.range(n).join(full, "id", "left_anti").select(F.col("id").alias(key))
 
 
+def fits(n: Column, m: Column) -> Column:
+    """Whether there can be a matrix of n by m."""
+    return F.coalesce((n >= LEAST) & (m >= LEAST), F.lit(False))
+
+
 def check_shape(n: int, m: int) -> None:
-    if n < 2 or m < 2:
+    if n < LEAST or m < LEAST:
         raise MatrixError(f"a matrix needs two rows and columns at least, not {n} x {m}")
 
 

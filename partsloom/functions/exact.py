@@ -21,7 +21,7 @@ NAN, PLUS, MINUS = 5000, 5001, 5002
 @F.pandas_udf(T.StructType([T.StructField("e", T.IntegerType()), T.StructField("m", T.LongType())]))
 def binary_parts(x: pd.Series) -> pd.DataFrame:
     """The power and the whole number of each double; of one that is not finite the power says which it is."""
-    v = x.to_numpy(np.float64, na_value=0.0)
+    v = x.to_numpy(np.float64)
     ok = np.isfinite(v)
     m, e = np.frexp(np.where(ok, v, 0.0))
     odd = np.where(np.isnan(v), NAN, np.where(v > 0, PLUS, MINUS))

@@ -51,6 +51,7 @@ def parser() -> Lenient:
         c.add_argument("-e", type=binary_form, dest="target", help="binary output, alike")
         c.add_argument("-c", action="store_true", dest="numeric_headers", help="column headers are numbers")
         c.add_argument("-r", action="store_true", dest="numeric_labels", help="row labels are numbers")
+        c.add_argument("--wide", action="store_true", help="rows of text can be longer than a task holds")
         if name == "factorize":
             c.add_argument("-k", type=positive, default=2, help="rank, at least 2")
             c.add_argument("-i", type=positive, default=2000, dest="iterations", help="most iterations")
@@ -79,7 +80,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "generate":
         write_matrix(generate(spark, a.rows, a.cols, a.most, a.seed), a.path, a.target)
         return 0
-    options = {"numeric_headers": a.numeric_headers, "numeric_labels": a.numeric_labels}
+    options = {"numeric_headers": a.numeric_headers, "numeric_labels": a.numeric_labels, "wide": a.wide}
     if a.command == "convert":
         print(convert(spark, a.path, a.source, a.target, **options))
         return 0

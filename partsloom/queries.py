@@ -16,7 +16,7 @@ from .operators.start import FACTOR, PRIME, start_h, start_w
 from .plans.solver import Options, Result, factorize
 from .plans.updates import iterate, update_h, update_w
 from .session import checkpoint_dir
-from .sources import files, tables, validate
+from .sources import files, matrix_source, tables, validate, wide
 from .sources.binary import INTEGER
 from .sources.compose import exists
 from .sources.text import faults, numbered_lines, parsed
@@ -252,7 +252,7 @@ def nmf_sparse(spark, sf):
 
 def nmf_settled(spark, sf):
     """A whole run by tiles until the clustering has settled."""
-    r = _by_tiles(_v(spark, sf)[0], K, 200, 2, 2, SEED)
+    r = _by_tiles(_v(spark, sf)[0], K, 200, 2, 4, SEED)
     return spark.createDataFrame(r.trace, "test int, iter int, diff bigint, inc int")
 
 
@@ -268,10 +268,10 @@ def nmf_resumed(spark, sf):
 
     m, folder = _v(spark, sf)[0], f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
     try:
-        _by_tiles(m, K, 200, 2, 2, SEED, folder=folder, on_test=broken)
+        _by_tiles(m, K, 200, 2, 4, SEED, folder=folder, on_test=broken)
     except Broken:
         pass
-    return spark.createDataFrame(_by_tiles(m, K, 200, 2, 2, SEED, folder=folder).trace, "test int, iter int, diff bigint, inc int")
+    return spark.createDataFrame(_by_tiles(m, K, 200, 2, 4, SEED, folder=folder).trace, "test int, iter int, diff bigint, inc int")
 
 
 def nmf_steps(spark, sf):
@@ -473,6 +473,36 @@ def native_roundtrip(spark, sf):
     return files.read_matrix(spark, path, "native").cells
 
 
+def source_read(spark, sf):
+    """The second half of the rows, through the data source."""
+    m, path = _v(spark, sf)[0], _scratch(spark)
+    files.write_matrix(m, path, "binary")
+    matrix_source.register(spark)
+    return spark.read.format(matrix_source.NAME).option("path", path).load().where(F.col("i") >= m.n_rows // 2)
+
+
+def source_write(spark, sf):
+    """Written by the data source and read by the reader."""
+    m, path = _months(spark, sf), _scratch(spark)
+    matrix_source.register(spark)
+    m.cells.write.format(matrix_source.NAME).option("path", path).option("rows", m.n_rows).option("cols", m.n_cols).mode("append").save()
+    return files.read_matrix(spark, path, "binary").cells
+
+
+def text_wide(spark, sf):
+    """Suppliers by month turned on its side, read in ranges of 200 bytes, of which a row takes several, or many."""
+    m, path = _months(spark, sf).transpose(), _scratch(spark)
+    files.write_matrix(m, path, "text")
+    return files.read_matrix(spark, path, "text", wide=True, piece=200, numeric_headers=True).cells
+
+
+def text_wide_entries(spark, sf):
+    """Every entry of that file as it stands, tags and all, in ranges of 64 bytes."""
+    m, path = _v(spark, sf)[0].transpose(), _scratch(spark)
+    files.write_matrix(m, path, "text")
+    return wide.entries(spark, path, piece=64)
+
+
 def generate_matrix(spark, sf):
     """As many rows and columns as there are suppliers and nations."""
     n, m = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("supplier", "nation"))
@@ -485,6 +515,7 @@ ALL = [
     nmf_factorize, nmf_block, text_roundtrip, binary_roundtrip, native_roundtrip, generate_matrix, text_folder_roundtrip, text_append, text_file_lines, text_known_shape, transpose_file, transposed_on_save,
     binary_known_shape, integer_roundtrip, binary_tags, convert_text_binary_text, preview, factor_files, factor_file_tags, block_distance, text_forms, row_parser, blank_lines, numeric_tokens, dimension_check, command_line,
     nmf_tiles, nmf_sparse, nmf_settled, nmf_resumed, nmf_steps, exact_sums, exact_distance, distance_chosen,
+    source_read, source_write, text_wide, text_wide_entries,
 ]
 QUERIES = {f.__name__: f for f in ALL} | {"nmf_1_iter": _iters(1), "nmf_3_iters": _iters(3)}
 
@@ -647,7 +678,13 @@ SQL |= {
     "command_line": _RUNS.format(settled=_solver(_EVENTS, K, 60, 2, 3) + _FINAL.format(K + 1), three=_solver(_EVENTS, K, 3, 10, 40) + _FINAL.format(K + 1)),
     "nmf_tiles": _sql("SELECT 'H' AS factor, j::BIGINT AS at, k, round(h, 6) AS x FROM H3 UNION ALL SELECT 'W', i, k, round(w, 6) FROM W3", _EVENTS, *_chain(3)),
     "nmf_sparse": _sql("SELECT j, k, round(h, 6) AS h FROM H3", _PARTS, *_chain(3)),
-    "nmf_settled": _solver(_EVENTS, K, 200, 2, 2) + _TRACE.format(2),
+    "nmf_settled": _solver(_EVENTS, K, 200, 2, 4) + _TRACE.format(2),
     "nmf_steps": _sql("SELECT * FROM (VALUES ('spread', 1, 0), ('start', 1, 0), ('H', 3, 3), ('W', 3, 3), ('test', 1, 0), ('distance', 1, 1)) t(step, calls, c)").replace("SELECT * FROM (VALUES", "SELECT step, calls::INT AS calls, c * (SELECT count(*) FROM V) AS cells FROM (VALUES"),
 }
+SQL |= {
+    "source_read": _sql("SELECT i, j, v FROM V WHERE i >= (SELECT count(*) // 2 FROM ri)"),
+    "source_write": _sql("SELECT i, j, v FROM V", _MONTHS),
+    "text_wide": _sql("SELECT j::BIGINT AS i, i::INT AS j, v FROM V", _MONTHS),
+    "text_wide_entries": _sql("SELECT 0::BIGINT AS line, 0::BIGINT AS at, '' AS token UNION ALL SELECT 0, i + 1, r::VARCHAR FROM ri UNION ALL SELECT j + 1, 0, c FROM ci UNION ALL SELECT ci.j + 1, ri.i + 1, coalesce(v, 0)::BIGINT::VARCHAR FROM ri CROSS JOIN ci LEFT JOIN V ON V.i = ri.i AND V.j = ci.j"),
+}
 SQL |= {"exact_distance": SQL["relative_distance"], "distance_chosen": SQL["relative_distance"], "nmf_resumed": SQL["nmf_settled"]}

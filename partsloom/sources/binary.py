@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..model import Matrix, MatrixError
 from ..session import checkpointed
 from .compose import compose, delete, file_system, scratch
+from .positional import Placed, needs_plain, plain, transpose_cells, write_cells
 from .validate import check_shape, validate
 
 # Fixed values of the format: signatures of real and of integer matrices.
@@ -116,27 +118,53 @@ def _tags(spark: SparkSession, path: str, at: int, size: int, n: int, m: int, pi
     return {"row_tags": labels, "col_tags": spark.createDataFrame(list(enumerate(headers)), "j int, header string") if headers else None, "name": read(2) or None}
 
 
-def read_binary(spark: SparkSession, path: str, native: bool = False, real: str = "<f4", index: str = "<u4", check: bool = True, shape: tuple[int, int] | None = None, transpose: bool = False, signature: int = REAL) -> Matrix:
-    """Only the head, the column headers and the name are read on the driver; cells and row labels are decoded in pieces by tasks that seek to them."""
+@dataclass(frozen=True)
+class Head:
+    """What a file's head says: rows, columns, where cells begin and their type, and the file's size."""
+
+    n: int
+    m: int
+    at: int
+    real: np.dtype
+    size: int
+
+
+def kinds(native: bool, real: str, index: str, signature: int) -> tuple[np.dtype, np.dtype]:
+    return np.dtype(real) if native else np.dtype("<i4" if signature == INTEGER else "<f8"), np.dtype(index) if native else np.dtype("<u4")
+
+
+def head_bytes(n: int, m: int, native: bool = False, real: str = "<f4", index: str = "<u4", signature: int = REAL) -> tuple[bytes, np.dtype]:
+    """A file's head, and the type of its cells."""
+    cells, sizes = kinds(native, real, index, signature)
+    return (b"" if native else signature.to_bytes(4, "little")) + np.array([n, m], sizes).tobytes(), cells
+
+
+def read_head(path: str, native: bool = False, real: str = "<f4", index: str = "<u4", signature: int = REAL) -> Head:
     store, where = file_system(path)
-    real = np.dtype(real) if native else np.dtype("<i4" if signature == INTEGER else "<f8")
-    index = np.dtype(index) if native else np.dtype("<u4")
+    cells, sizes = kinds(native, real, index, signature)
     with store.open_input_file(where) as f:
         size, at = f.size(), 0
         if not native:
             if size < 12 or int.from_bytes(f.read(4), "little") != signature:
                 raise MatrixError("the file has not the signature of a matrix")
             at = 4
-        if size < at + 2 * index.itemsize:
+        if size < at + 2 * sizes.itemsize:
             raise MatrixError("the file is cut short")
         f.seek(at)
-        n, m = (int(x) for x in np.frombuffer(f.read(2 * index.itemsize), index))
-        at += 2 * index.itemsize
-        if shape and shape != (n, m):
-            raise MatrixError(f"the matrix is {n} x {m}, not {shape[0]} x {shape[1]}")
-        check_shape(n, m)
-        if size < at + n * m * real.itemsize:
-            raise MatrixError("the file is cut short")
+        n, m = (int(x) for x in np.frombuffer(f.read(2 * sizes.itemsize), sizes))
+    at += 2 * sizes.itemsize
+    check_shape(n, m)
+    if size < at + n * m * cells.itemsize:
+        raise MatrixError("the file is cut short")
+    return Head(n, m, at, cells, size)
+
+
+def read_binary(spark: SparkSession, path: str, native: bool = False, real: str = "<f4", index: str = "<u4", check: bool = True, shape: tuple[int, int] | None = None, transpose: bool = False, signature: int = REAL) -> Matrix:
+    """Only the head, the column headers and the name are read on the driver; cells and row labels are decoded in pieces by tasks that seek to them."""
+    h = read_head(path, native, real, index, signature)
+    n, m, at, size, real = h.n, h.m, h.at, h.size, h.real
+    if shape and shape != (n, m):
+        raise MatrixError(f"the matrix is {n} x {m}, not {shape[0]} x {shape[1]}")
     tags = _tags(spark, path, at + n * m * real.itemsize, size, n, m)
     rows = max(1, PIECE // m)
 
@@ -158,11 +186,64 @@ def read_binary(spark: SparkSession, path: str, native: bool = False, real: str
     return out.transpose() if transpose else out
 
 
+def _line(tags: DataFrame | None, key: str, tag: str, n: int) -> Iterator[bytes]:
+    """A line of tags, TABs between, streamed in order."""
+    if tags is not None:
+        at = 0
+        for r in tags.select(F.col(key).cast("bigint").alias("k"), tag).where((F.col("k") >= 0) & (F.col("k") < n)).orderBy("k").toLocalIterator():
+            yield b"\t" * (r["k"] - at) + (r[tag] or "").encode()
+            at = r["k"]
+        yield b"\t" * (n - 1 - at)
+
+
+def _tail(m: Matrix) -> Iterator[bytes]:
+    if m.tagged:
+        yield from _line(m.row_tags, "i", "label", m.n_rows)
+        yield b"\n"
+        yield from _line(m.col_tags, "j", "header", m.n_cols)
+        yield f"\n{m.name or ''}\n".encode()
+
+
 def write_binary(m: Matrix, path: str, native: bool = False, real: str = "<f4", index: str = "<u4", signature: int = REAL) -> None:
-    """One file in order of rows. Ranges of rows are written as pieces by tasks, and the file is put together from them; tags stream through the driver in order."""
+    """One file in order of rows. Where the path is of a shared file system, tasks put the stored cells at their places and the driver writes head and tags alone. Other stores
+    can't do that: ranges of rows are written as pieces by tasks there, and the file is put together from them. Tags stream through the driver in order."""
+    head, cells = head_bytes(m.n_rows, m.n_cols, native, real, index, signature)
+    where = plain(path)
+    if where is None:
+        _write_pieces(m, path, head, cells)
+        return
+    file = Placed(where)
+    try:
+        file.begin(head, len(head) + m.n_rows * m.n_cols * cells.itemsize)
+        write_cells(m.cells, file.temporary, len(head), m.n_cols, cells)
+        file.append(_tail(m))
+        file.finish()
+    finally:
+        file.give_up()
+
+
+def transpose_binary(spark: SparkSession, path: str, out: str, native: bool = False, real: str = "<f4", index: str = "<u4", signature: int = REAL, tile_bytes: int | None = None) -> None:
+    """The transposed file, with tags exchanged, by blocks of cells that go from file to file. Both paths are of a shared file system. Dimensions can be as large as the head's type holds."""
+    h = read_head(path, native, real, index, signature)
+    head, _ = head_bytes(h.m, h.n, native, real, index, signature)
+    tags = _tags(spark, path, h.at + h.n * h.m * h.real.itemsize, h.size, h.n, h.m)
+    rows, cols = tags.get("row_tags"), tags.get("col_tags")
+    file = Placed(needs_plain(out))
+    try:
+        file.begin(head, len(head) + h.n * h.m * h.real.itemsize)
+        transpose_cells(spark, needs_plain(path), file.temporary, h.at, (h.n, h.m), h.real, tile_bytes)
+        if tags:
+            file.append(_line(cols, "j", "header", h.m))
+            file.append([b"\n"])
+            file.append(_line(rows, "i", "label", h.n))
+            file.append([f"\n{tags.get('name') or ''}\n".encode()])
+        file.finish()
+    finally:
+        file.give_up()
+
+
+def _write_pieces(m: Matrix, path: str, head: bytes, real: np.dtype) -> None:
     spark = m.cells.sparkSession
-    real = np.dtype(real) if native else np.dtype("<i4" if signature == INTEGER else "<f8")
-    index = np.dtype(index) if native else np.dtype("<u4")
     folder = scratch(spark, "pieces")
     store, where = file_system(folder)
     store.create_dir(where, recursive=True)
@@ -180,22 +261,5 @@ def write_binary(m: Matrix, path: str, native: bool = False, real: str = "<f4",
 
     rows = m.dense_rows().repartitionByRange("i").sortWithinPartitions("i")
     pieces = checkpointed(rows.mapInPandas(run, "first bigint, name string")).orderBy("first").collect()
-
-    def line(tags: DataFrame | None, key: str, tag: str, n: int) -> Iterator[bytes]:
-        if tags is not None:
-            at = 0
-            for r in tags.select(F.col(key).cast("bigint").alias("k"), tag).where((F.col("k") >= 0) & (F.col("k") < n)).orderBy("k").toLocalIterator():
-                yield b"\t" * (r["k"] - at) + (r[tag] or "").encode()
-                at = r["k"]
-            yield b"\t" * (n - 1 - at)
-
-    def tail() -> Iterator[bytes]:
-        if m.tagged:
-            yield from line(m.row_tags, "i", "label", m.n_rows)
-            yield b"\n"
-            yield from line(m.col_tags, "j", "header", m.n_cols)
-            yield f"\n{m.name or ''}\n".encode()
-
-    head = [] if native else [signature.to_bytes(4, "little")]
-    compose(path, [*head, np.array([m.n_rows, m.n_cols], index).tobytes()], (f"{folder}/{r['name']}" for r in pieces), tail())
+    compose(path, [head], (f"{folder}/{r['name']}" for r in pieces), _tail(m))
     delete(spark, folder)

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..model import Matrix, MatrixError
 from ..operators.matrix import combine_columns
 from ..operators.start import new_seed, uniform
-from .binary import read_binary, write_binary
+from .binary import read_binary, transpose_binary, write_binary
+from .positional import plain
 from .text import read_text, write_text
+from .wide import read_wide
 
 EXTENSION = {"text": ".txt", "binary": ".dat", "native": ".native.dat"}
 
 
-def read_matrix(spark: SparkSession, path: str, fmt: str = "text", **options) -> Matrix:
+def read_matrix(spark: SparkSession, path: str, fmt: str = "text", wide: bool = False, **options) -> Matrix:
+    """wide: text of one file whose rows can be longer than a split."""
+    if fmt == "text" and wide:
+        return read_wide(spark, path, **options)
     if fmt == "text":
         return read_text(spark, path, **options)
     if fmt in ("binary", "native"):
@@ -40,6 +45,10 @@ def convert(spark: SparkSession, path: str, source: str, target: str, **options)
 
 
 def transpose_file(spark: SparkSession, path: str, out: str, fmt: str = "text", **options) -> None:
+    """Binary files on a shared file system go block by block from file to file; others are read and written."""
+    if fmt != "text" and plain(path) and plain(out):
+        transpose_binary(spark, path, out, fmt == "native", **options)
+        return
     write_matrix(read_matrix(spark, path, fmt, **options).transpose(), out, fmt)
 
 

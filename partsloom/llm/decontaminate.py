@@ -1,26 +1,30 @@
 """Benchmark decontamination: every passage of every document queries a BM25 index of the test items.
 
 The index is impact-scaled so that an item's own threshold is 1, posting lists are cut into blocks with their greatest impact, and
-block-max WAND finds all items that a passage lifts to their threshold. What it finds is verified by shared five-word
-shingles of the whole item and the words of its question and of its answer. The thresholds are low enough that an item which can pass the verification is always found.
+block-max WAND finds all items that a passage lifts to their threshold. What it finds is verified by shared shingles of the whole item, of five words, or of two if it is
+short, and by the words of its question and of its answer. The thresholds are low enough that an item which can pass the verification is always found.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, table
+from .common import col, kept, table
 from .simhash import LOWER
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
+#: Items of fewer words can have shingles of PAIR words instead: one word changed takes five shingles, more than the fifth that may be lacking.
+SHORT_WORDS, PAIR = 29, 2
 #: Least share of an item's shingles, and of the words of its question and of its answer, that one passage must hold.
 OVERLAP, PART_OVERLAP = 0.8, 0.5
 COMMON = 0.6
@@ -35,11 +39,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(LOWER).split()
 
 
-def shingles(words: list[bytes]) -> set[bytes]:
+def shingles(words: list[bytes], size: int = SHINGLE) -> set[bytes]:
     """Distinct shingles, joined by spaces; the whole sequence if it has fewer words; none without words."""
     if not words:
         return set()
-    return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
 def question_answer(text: str | None) -> tuple[str, str]:
@@ -49,17 +53,29 @@ def question_answer(text: str | None) -> tuple[str, str]:
     return (q, a) if q.strip() and a.strip() else (text, text)
 
 
+@dataclass(frozen=True)
+class Counts:
+    """Of all items with words: how many there are, their words, and in how many of them each word is."""
+
+    items: int
+    words: int
+    held: dict[bytes, int]
+
+
 class Index:
-    """Items of which question and answer hold no words are left out, as nothing could match them."""
+    """Items of which question and answer hold no words are left out, as nothing could match them. Frequencies of words and the mean length are those of counts, or of these items."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], counts: Counts | None = None):
         parts = [(i, *question_answer(t)) for i, t in items]
         self.items = [(i, words_of(q), words_of(a), words_of(q) if q is a else words_of(f"{q} {a}")) for i, q, a in parts]
         self.items = [x for x in self.items if x[3]]
         self.ids = [x[0] for x in self.items]
-        self.sets = [(shingles(q), shingles(a), shingles(q) | shingles(a)) for _, q, a, _ in self.items]
+        forms = [(SHINGLE, PAIR) if len(x[3]) < SHORT_WORDS else (SHINGLE,) for x in self.items]
+        #: For each item, by length of shingles: those of the question, of the answer and of both.
+        self.sets = [{k: (shingles(q, k), shingles(a, k), shingles(q, k) | shingles(a, k)) for k in form} for form, (_, q, a, _) in zip(forms, self.items, strict=True)]
         n, sizes = len(self.items), [len(x[3]) for x in self.items]
-        mean = sum(sizes) / max(1, n)
+        every = counts.items if counts else n
+        mean = (counts.words if counts else sum(sizes)) / max(1, every)
         found: dict[bytes, dict[int, int]] = {}
         for k, x in enumerate(self.items):
             for w in x[3]:
@@ -68,16 +84,19 @@ class Index:
         self.term = {w: t for t, w in enumerate(found)}
         gain: list[list[tuple[float, int]]] = [[] for _ in range(n)]
         for w, at in found.items():
-            idf = math.log(1 + (n - len(at) + 0.5) / (len(at) + 0.5))
+            df = counts.held[w] if counts else len(at)
+            idf = math.log(1 + (every - df + 0.5) / (df + 0.5))
             for k, tf in at.items():
                 gain[k].append((idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[k] / mean)), self.term[w]))
         self.own = np.array([sum(g for g, _ in x) for x in gain])
         # A passage with OVERLAP of the shingles lacks at most the others. Lacking words costs at least as many shingles, unless all of a part are gone.
         self.least = np.empty(n)
         for k, x in enumerate(gain):
-            spare = math.floor((1 - OVERLAP) * len(self.sets[k][2]) + 1e-9)
-            short = sum(SHINGLE - 1 for part in self.sets[k][:2] if len(part) <= spare + SHINGLE - 1)  # a short part can lose all its words with few shingles
-            self.least[k] = sum(sorted(g for g, _ in x)[: max(1, len(x) - spare - short)])
+            lack = 0
+            for size, (q, a, both) in self.sets[k].items():
+                spare = math.floor((1 - OVERLAP) * len(both) + 1e-9)
+                lack = max(lack, spare + sum(size - 1 for part in (q, a) if len(part) <= spare + size - 1))  # a short part can lose all its words with few shingles
+            self.least[k] = sum(sorted(g for g, _ in x)[: max(1, len(x) - lack)])
         postings: list[list[tuple[int, float]]] = [[] for _ in found]
         for k, x in enumerate(gain):
             for g, t in x:
@@ -162,12 +181,15 @@ class Index:
         c[1], c[0] = at, docs[at] if at < len(docs) else -1
 
     def verify(self, words: list[bytes], k: int) -> tuple[float, float, float]:
-        """The share of item k's shingles that the words hold, and the shares of its question's and its answer's words."""
-        here = shingles(words) if len(words) >= SHINGLE else set()
+        """The share of item k's shingles that the words hold, of the length that gives the larger one, and the shares of its question's and its answer's words."""
         text = b" " + b" ".join(words) + b" "
-        share = lambda s: sum(x in here or (x.count(b" ") < SHINGLE - 1 and b" " + x + b" " in text) for x in s) / len(s)
+
+        def share(size: int, s: set[bytes]) -> float:
+            here = shingles(words, size) if len(words) >= size else set()
+            return sum(x in here or (x.count(b" ") < size - 1 and b" " + x + b" " in text) for x in s) / len(s)
+
         held = lambda part: len(set(part) & set(words)) / len(set(part))
-        return share(self.sets[k][2]), held(self.items[k][1]), held(self.items[k][2])
+        return max(share(size, x[2]) for size, x in self.sets[k].items()), held(self.items[k][1]), held(self.items[k][2])
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, float, float, float]]:
         """(number of the text, item, score, question's share, answer's share), once for each text and item, of the passage that holds most of it.
@@ -215,21 +237,41 @@ class Index:
         return [(d, k, s, q, a) for (d, k), (_, s, q, a) in best.items()]
 
 
+def counted(src: DataFrame) -> DataFrame:
+    """(word, n, total) of items (t): in how many items with words each word is; one row of a null word has the number of such items and of all their words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b["t"].tolist():
+                q, a = question_answer(t)
+                w = words_of(q) if q is a else words_of(f"{q} {a}")
+                if w:
+                    yield pd.DataFrame({"word": pd.Series([None, *set(w)], dtype=object), "total": [len(w)] + [0] * len(set(w))})
+
+    return src.select("t").mapInPandas(run, "word binary, total long").groupBy("word").agg(F.count("*").alias("n"), F.sum("total").alias("total"))
+
+
 def indexes(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
-    """An index for each INDEX_BYTES of items or so, dealt by hash of the text; most benchmarks need one. One is built at a time."""
+    """An index for each INDEX_BYTES of items or so, dealt by hash of the text; most benchmarks need one. One is built at a time, with the counts of all items, so that scores do not depend on the parts."""
     src = items.select(col(id_col).cast("bigint").alias("i"), col(text_col).cast("string").alias("t"))
     n = -(-int(src.agg(F.coalesce(F.sum(F.octet_length("t") + 100), F.lit(0))).first()[0]) // INDEX_BYTES)
+    every = kept(counted(src), "benchmark-words") if n > 1 else None
     for k in range(n):
-        rows = src.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()
-        yield Index(sorted(((r["i"], r["t"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")))
+        part = src.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
+        rows, counts = part.collect(), None
+        if every is not None:
+            own = every.join(counted(part).select("word"), "word").collect()  # the words of this part alone
+            whole = every.where("word is null").first()
+            counts = Counts(whole["n"] if whole else 0, whole["total"] if whole else 0, {bytes(r["word"]): r["n"] for r in own})
+        yield Index(sorted(((r["i"], r["t"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")), counts)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for each row of docs and each item that it gives away; other columns are not read.
 
-    score is the BM25 score of the best passage as a share of the item's score for itself, in its index. Null or empty
+    score is the BM25 score of the best passage as a share of the item's score for itself. Null or empty
     texts match nothing, nor do items without words; equal items match each. A long document is cut into passages and
-    stays in its task. An empty docs or items gives an empty result. The broadcast index is bounded by INDEX_BYTES.
+    stays in its task, which takes some thirty times its size. An empty docs or items gives an empty result. The broadcast index is bounded by INDEX_BYTES.
     """
     spark = docs.sparkSession
     src = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("t"))

@@ -18,6 +18,8 @@ WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 STEPS, TOLERANCE = 60, 1e-6
 #: Documents of one source and size are dealt out to so many parts, each ranked by itself.
 PARTS = 1024
+#: Equal rows that are HOT-th of all, and LEAST_HOT, are dealt out apart.
+HOT, LEAST_HOT = 1000, 1000
 
 
 def word_count(text: Column) -> Column:
@@ -56,12 +58,18 @@ def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, sha
     does not grow with the documents once all sizes have been seen. Rounding goes through that table in order of
     size with the running sum of rates rounded to whole copies, which leaves a source's words within about half of its
     largest document of the target; which documents of one size get the odd copy depends on a hash of the
-    whole row, so reruns agree. A source with a third of all rows is dealt out by size and hash.
+    whole row, so reruns agree. A source with a third of all rows is dealt out by size and hash. Of equal rows there can be as many: hashes that a HOT-th of all rows have, or more, HOT at most, are
+    dealt out by row, as it makes no difference which of equal rows is taken. docs is written down once; hand in ids and sizes, not texts.
     """
     own = ("size", "source_size", "target", "rate", "copies", "taken")
     base = with_columns(docs, {"size": F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0))})
     base = base.withColumn("_pl_hash", F.xxhash64(*[col(c) for c, kind in base.dtypes if "map<" not in kind]))
-    base = base.withColumn("_pl_part", F.pmod(F.col("_pl_hash"), F.lit(PARTS)).cast("int"))
+    base = kept(base.withColumn("_pl_row", F.monotonically_increasing_id()), "mix-rows")
+    equal = kept(base.groupBy(F.col("_pl_hash").alias("_pl_h")).agg(F.count("*").alias("_pl_n")).where(F.col("_pl_n") >= LEAST_HOT), "mix-equal")
+    most = equal.where(F.col("_pl_n") >= max(LEAST_HOT, -(-base.count() // HOT)))
+    base = base.join(F.broadcast(most), F.col("_pl_hash") == F.col("_pl_h"), "left")
+    spread = F.when(F.col("_pl_h").isNull(), F.col("_pl_hash")).otherwise(F.xxhash64("_pl_row"))
+    base = base.withColumn("_pl_part", F.pmod(spread, F.lit(PARTS)).cast("int")).drop("_pl_h", "_pl_n")
     cells = kept(base.groupBy(F.col("source"), F.col("size"), F.col("_pl_part").alias("part")).agg(F.count("*").alias("n")), "mix-cells")
     hist = kept(cells.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-sizes")
     sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"), F.max("size").alias("longest"))
@@ -79,12 +87,13 @@ def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, sha
     # floor(seen * extra / n_cell) grows by n_part or less from part to part, as extra <= n_cell, and ends at extra
     seen = parts.withColumn("seen", F.sum("n").over(along))
     quota = F.floor(F.col("seen").cast("decimal(38,0)") * F.col("extra") / F.col("n_cell")) - F.floor((F.col("seen") - F.col("n")).cast("decimal(38,0)") * F.col("extra") / F.col("n_cell"))
-    dealt = seen.select(F.col("source").alias("s3"), F.col("size").alias("z3"), F.col("part").alias("p3"), "source_size", "target", "rate", "base", quota.cast("bigint").alias("quota"))
-    ranked = base.drop(*[c for c in base.columns if c.lower() in own and c.lower() != "size"]).join(dealt, F.col("source").eqNullSafe(F.col("s3")) & (F.col("size") == F.col("z3")) & (F.col("_pl_part") == F.col("p3")))
-    ranked = ranked.withColumn("_pl_rank", F.row_number().over(Window.partitionBy("s3", "z3", "p3").orderBy("_pl_hash")))
-    copies = (F.col("base") + F.when(F.col("_pl_rank") <= F.col("quota"), 1).otherwise(0)).cast("int")
+    new = ("source_size", "target", "rate")
+    dealt = seen.select(F.col("source").alias("_pl_s"), F.col("size").alias("_pl_z"), F.col("part").alias("_pl_p"), *[F.col(c).alias(f"_pl_{c}") for c in (*new, "base")], quota.cast("bigint").alias("_pl_quota"))
+    ranked = base.join(dealt, F.col("source").eqNullSafe(F.col("_pl_s")) & (F.col("size") == F.col("_pl_z")) & (F.col("_pl_part") == F.col("_pl_p")))
+    ranked = ranked.withColumn("_pl_rank", F.row_number().over(Window.partitionBy("_pl_s", "_pl_z", "_pl_p").orderBy("_pl_hash", "_pl_row")))
+    copies = (F.col("_pl_base") + F.when(F.col("_pl_rank") <= F.col("_pl_quota"), 1).otherwise(0)).cast("int")
     rest = [c for c in docs.columns if c.lower() not in own]
-    return ranked.select(*map(col, rest), "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return ranked.select(*map(col, rest), "size", *[F.col(f"_pl_{c}").alias(c) for c in new], copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def _logit(share: float, cap: int) -> float:

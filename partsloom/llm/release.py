@@ -19,17 +19,17 @@ ATTEMPTS, BACKOFF = 6, 10
 
 def numbered(df: DataFrame, key: str, order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
     """df and nth (long): each row's place in its key by order, from 1; and for each of sums (name: a value of the row, long) the
-    sum of nth * value up to the row, decimal(38,0). Rows that order does not tell apart stand in some fixed order.
+    sum of nth * value up to the row, decimal(38,0). Rows that order does not tell apart stand in the order of a hash; equal ones make no difference.
 
-    Rows are dealt out by range of (key, order, hash of the row), so a key that has a third of all rows takes a third of the tasks. Windows
+    Rows are dealt out by range of (key, order, hash of the row, number in the scan), so a key, or one row that is repeated, that has a third of all rows takes a third of the tasks. Windows
     number the rows of a key within each range; what the ranges before it hold of the key, a row for each range and key, is added.
     """
     spark, sums = df.sparkSession, sums or {}
     tie = F.xxhash64(*map(col, df.columns))
-    keyed = df.select(*map(col, df.columns), tie.alias("_pl_tie"), *[v.cast("decimal(38,0)").alias(f"_pl_v{i}") for i, v in enumerate(sums.values())])
-    dealt = keyed.repartitionByRange(F.col(key).asc_nulls_first(), *order, "_pl_tie").withColumn("_pl_range", F.spark_partition_id())
+    keyed = df.select(*map(col, df.columns), tie.alias("_pl_tie"), F.monotonically_increasing_id().alias("_pl_row"), *[v.cast("decimal(38,0)").alias(f"_pl_v{i}") for i, v in enumerate(sums.values())])
+    dealt = keyed.repartitionByRange(F.col(key).asc_nulls_first(), *order, "_pl_tie", "_pl_row").withColumn("_pl_range", F.spark_partition_id())
     dealt = kept(dealt, "ranges")
-    within = Window.partitionBy("_pl_range", key).orderBy(*order, "_pl_tie")
+    within = Window.partitionBy("_pl_range", key).orderBy(*order, "_pl_tie", "_pl_row")
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = dealt.withColumn("_pl_n", F.row_number().over(within).cast("bigint"))
     for i in range(len(sums)):

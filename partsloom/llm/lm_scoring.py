@@ -1,6 +1,6 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds runs of two and of three tokens with quantised counts: a run of quantised count q is entered q times, as (run, 1) to (run, q), so
+The filter is built once from the texts to learn from, written down in parts, and stands in for the counts from then on: scores come from probes of it alone. It holds runs of two and of three tokens with quantised counts: a run of quantised count q is entered q times, as (run, 1) to (run, q), so
 its count is found by probing until a probe fails. A run's share of its context is interpolated with the share of the run shorter by one, down to an exactly counted unigram base.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kept, release, table
-from .packed import DEALT, GOLDEN, dealt, doc_ids, meet, mix, pack, ranges, returned, unpack
+from .packed import ANSWERED, DEALT, GOLDEN, cuts, dealt, doc_ids, meet, mix, pack, ranges, returned, unpack
 from .simhash import LOWER
 
 #: Counts are quantised to powers of QUANTUM, rounded down; probes for each entry.
@@ -126,6 +126,27 @@ class Tokens:
         return mix(pairs[at - 1] + own[at]), at
 
 
+#: Bytes of a key that is sent to its range.
+KEY_BYTES = 6
+
+
+def brief(batch: int, piece: int, keys: np.ndarray, vals: np.ndarray | None, bits: int) -> pd.DataFrame:
+    """dealt(), with the 48 bits of each key that follow those of its range."""
+    full, at = cuts(keys, bits)
+    rest = (keys << np.uint64(bits)) >> np.uint64(64 - 8 * KEY_BYTES)
+    raw = np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+    ends = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    return pd.DataFrame({"range": full, "batch": batch, "piece": np.int32(piece), "keys": [raw[i:j].tobytes() for i, j in ends], "vals": [b"" if vals is None else vals[i:j].tobytes() for i, j in ends]})
+
+
+def whole(parts) -> np.ndarray:
+    """The keys that brief() sent."""
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, KEY_BYTES)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :KEY_BYTES] = raw
+    return out.view("<u8").ravel()
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_COUNT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; other columns are not read.
 
@@ -136,26 +157,33 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     token alone. Repeated rows are learned from and scored as often as they come; an empty df gives an empty result. A text is
     never cut: its task needs some twenty times its size.
 
-    The filter has ENTRY_BITS for each entry and as many parts as keys have ranges: a part is filled where its range of pairs meets,
-    answers the batches there and is gone. So it grows with the input and no task holds more than one part. Runs of a count below
-    least are not entered and score as unseen ones; with least 1 all are. Runs of two and of three are sent one after the other.
+    The filter has ENTRY_BITS for each entry and is cut by ranges of keys into some twice as many parts as there are batches, so it grows with the input and a
+    part stays small; it is written down, and nothing else is kept of the counts. As it is not bounded it is not broadcast: a batch's runs, without counts, meet each part where that is read, and
+    their levels go back. Runs of a count below least are not entered and score as unseen ones; with least 1 all are.
     """
     packed = pack(docs, id_col, text_col, BATCH_BYTES)
     cut = ranges(packed)
+    fine = min(30, cut + 1)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row in b.itertuples(index=False):
                 yield dealt(row.batch, *Tokens(row.ids, row.none, row.sizes, row.blob).words(), cut)
 
-    def runs(order: int):
+    def runs(learn: bool):
+        """Distinct runs of two and then of three tokens of each batch: those to learn from with their counts, or all of them without."""
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for row in b.itertuples(index=False):
                     t = Tokens(row.ids, row.none, row.sizes, row.blob)
-                    own, at = t.runs(order)
-                    keys, to = np.unique(own, return_inverse=True)
-                    yield dealt(row.batch, keys, np.bincount(to[t.learned[at]], minlength=len(keys)).astype(np.uint32), cut)
+                    for order in (2, 3):
+                        own, at = t.runs(order)
+                        if learn:
+                            keys, n = np.unique(own[t.learned[at]], return_counts=True)
+                            yield brief(row.batch, order, keys, n.astype("<u4"), fine)
+                        else:
+                            yield brief(row.batch, order, np.unique(own), None, fine)
 
         return run
 
@@ -168,29 +196,35 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = kept(meet(packed.mapInPandas(words, DEALT), "u8", count, ", n_distinct long, n_all long"), "lm-words")
     v, n = counted.agg(F.coalesce(F.sum("n_distinct"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
 
-    def probe(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, dict]:
-        """Fills the filter's part of these keys and looks all of them up."""
-        keys, to = np.unique(keys, return_inverse=True)
-        total = np.bincount(to, vals, len(keys)).astype(np.int64)
+    def fill(g: pd.DataFrame) -> pd.DataFrame:
+        """The filter's part of a range."""
+        keys, to = np.unique(whole(g["keys"]), return_inverse=True)
+        total = np.bincount(to, np.frombuffer(b"".join(g["vals"]), "<u4"), len(keys)).astype(np.int64)
         entered = total >= least
         q = level(total[entered])
-        size = max(LEAST_BITS >> cut, 64, 1 << int(max(1, q.sum() * ENTRY_BITS) - 1).bit_length())
-        part = Filter(size, 0, least)
-        part.data = np.frombuffer(part.part(keys[entered], q), np.uint8)
-        return part.levels(keys).astype(np.uint8)[to], {}
-
-    def found(order: int) -> DataFrame:
-        out = kept(meet(packed.mapInPandas(runs(order), DEALT), "u4", probe, ""), f"lm-runs-{order}")
-        release(docs.sparkSession)
-        return out
-
-    two, three = found(2), found(3)
-
-    def seen(t: Tokens, order: int, levels) -> tuple[np.ndarray, np.ndarray]:
-        """The quantised count of each run, and at which token it ends."""
+        size = max(LEAST_BITS >> fine, 64, 1 << int(max(1, q.sum() * ENTRY_BITS) - 1).bit_length())
+        return pd.DataFrame({"range": g["range"].iloc[:1], "size": [size], "bits": [Filter(size, 0, least).part(keys[entered], q)]})
+
+    def probe(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        """Levels of the runs asked for, from the part of the filter; without one nothing was learned in the range."""
+        if len(part):
+            filled = Filter(int(part["size"].iloc[0]), 0, least, np.frombuffer(part["bits"].iloc[0], np.uint8))
+            asked = asked.assign(ans=[filled.levels(whole([x])).astype(np.uint8).tobytes() for x in asked["keys"]])
+        else:
+            asked = asked.assign(ans=[bytes(len(x) // KEY_BYTES) for x in asked["keys"]])
+        return asked[["range", "batch", "piece", "ans"]]
+
+    filled = kept(packed.mapInPandas(runs(True), DEALT).groupBy("range").applyInPandas(fill, "range int, size long, bits binary"), "lm-filter")
+    release(docs.sparkSession)
+    asked = packed.mapInPandas(runs(False), DEALT).select("range", "batch", "piece", "keys")
+    levels = kept(asked.groupBy("range").cogroup(filled.groupBy("range")).applyInPandas(probe, ANSWERED), "lm-levels")
+    release(docs.sparkSession)
+
+    def seen(t: Tokens, order: int, levels: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """The quantised count of each run, at which token it ends, and the levels of runs of other orders, which come after."""
         own, at = t.runs(order)
-        counts = counted_as(np.frombuffer(b"".join(levels if levels is not None else []), np.uint8))
-        return counts[np.unique(own, return_inverse=True)[1]], at
+        keys, to = np.unique(own, return_inverse=True)
+        return counted_as(np.frombuffer(levels, np.uint8, len(keys)))[to], at, levels[len(keys) :]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -202,16 +236,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 context = np.empty(len(token))
                 context[1:] = token[:-1]
                 context[t.begin] = c[0]  # as many texts began as ended
-                pair, _ = seen(t, 2, row.two)
+                pair, _, rest = seen(t, 2, b"".join(row.levels))
                 p = np.where(context > 0, WEIGHT * np.minimum(pair / np.maximum(context, 1), 1) + (1 - WEIGHT) * base, base)
-                run, at = seen(t, 3, row.three)
+                run, at, _ = seen(t, 3, rest)
                 before = pair[at - 1]
                 p[at] = np.where(before > 0, WEIGHT_3 * np.minimum(run / np.maximum(before, 1), 1) + (1 - WEIGHT_3) * p[at], p[at])
                 sums = lambda x: np.add.reduceat(x, t.begin)
                 yield pd.DataFrame({"doc_id": doc_ids(row.ids, row.none), "held_out": ~t.train, "n_tokens": t.size, "n_known": sums((token > 0).astype(np.int64)), "train_tokens": n, "base_score": sums(np.log10(base)), "score": sums(np.log10(p))})
 
-    every = packed.join(returned(counted, "counts"), "batch").join(returned(two, "two"), "batch").join(returned(three, "three"), "batch", "left")
-    return every.select("batch", "ids", "none", "sizes", "blob", "counts", "two", "three").mapInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    every = packed.join(returned(counted, "counts"), "batch").join(returned(levels, "levels"), "batch")
+    return every.select("batch", "ids", "none", "sizes", "blob", "counts", "levels").mapInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ QUANTUM, PROBES = 1.25, 4
 ENTRY_BITS, LEAST_BITS = 12, 1 << 20
 #: Least count of a run that score_texts enters if not told otherwise: all are. A stray run has to pass all probes up to that count.
 LEAST_COUNT = 1
-#: Weights of the share of runs of two and of three tokens, where their contexts are known: the best, or nearly, on texts held out.
-WEIGHT, WEIGHT_3 = 0.4, 0.7
+#: Weights of the share of runs of two and of three tokens, where their contexts are known: the best of a grid for the texts to learn from whose crc32 leaves 2, learning from the others.
+WEIGHT, WEIGHT_3 = 0.2, 0.5
 LEVELS = 256
 #: Bytes of text in a batch; smaller ones need less memory and send more.
 BATCH_BYTES = 4_000_000

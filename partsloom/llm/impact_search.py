@@ -131,7 +131,7 @@ def narrowest(v: np.ndarray) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, per_block: int, wide: int) -> DataFrame:
-    """rows (id, v) as blocks (block, ids, vs, kind): vectors filled up with zeros to one length, packed; dealt by hash of the row, so ties and repeated ids spread."""
+    """rows (id, v) as blocks (block, ids, vs, kind): vectors filled up with zeros to one length, packed; dealt by the number of the row in its scan, so equal rows spread too."""
     n = max(1, -(-rows.count() // per_block))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -141,7 +141,7 @@ def _blocks(rows: DataFrame, per_block: int, wide: int) -> DataFrame:
         v = narrowest(v)
         return pd.DataFrame({"block": [int(g["b"].iloc[0])], "ids": [g["id"].to_numpy("<i8").tobytes()], "vs": [v.tobytes()], "kind": [v.dtype.str]})
 
-    at = rows.withColumn("b", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int"))
+    at = rows.withColumn("b", F.pmod(F.xxhash64("at"), F.lit(n)).cast("int"))
     return kept(at.groupBy("b").applyInPandas(run, "block int, ids binary, vs binary, kind string"), "search-blocks")
 
 
@@ -158,7 +158,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """
     spark = rows.sparkSession
     good = lambda d: d.where("id is not null and v is not null").select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    rows, queries = kept(good(rows), "search-rows"), kept(good(queries).distinct(), "search-queries")
+    numbered = lambda d: d.withColumn("at", F.monotonically_increasing_id())
+    rows, queries = kept(numbered(good(rows)), "search-rows"), kept(numbered(good(queries).distinct()), "search-queries")
     most = lambda d: d.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(F.array_max(F.transform("v", F.abs))), F.lit(0.0))).first()
     (wide, top), (wide_q, top_q) = most(rows), most(queries)
     wide = max(1, wide, wide_q)

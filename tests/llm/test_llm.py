@@ -369,6 +369,23 @@ def test_top_k_edges(spark):
     assert rows(impact_search.top_k(e.limit(0), e.limit(0))) == [] and rows(impact_search.top_k(e.limit(0), e)) == []
 
 
+def test_equal_vectors_are_dealt_out(spark, monkeypatch):
+    """A third of all rows equal: no block holds more than a little over its share, and results are those of brute force."""
+    monkeypatch.setattr(impact_search, "ROWS", 100)
+    monkeypatch.setattr(impact_search, "MOST_ROWS", 100)
+    data = [(7, [3, 1, 2])] * 1000 + [(i, [int(x) for x in RNG.integers(-9, 9, 3)]) for i in range(100, 2100)]
+    made, keep = [], impact_search.kept
+    monkeypatch.setattr(impact_search, "kept", lambda df, what: (lambda x: (made.append(x), x)[1] if what == "search-blocks" else x)(keep(df, what)))
+    df = spark.createDataFrame(data, "id long, v array<long>").repartition(5)
+    got = sorted(map(tuple, impact_search.top_k(df, df.where("id = 7 or id = 100"), 3).collect()))
+    sizes = [len(r["ids"]) // 8 for r in made[0].collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 160
+    for q in (7, 100):
+        v = next(x for i, x in data if i == q)
+        best = sorted(((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in data if i != q))[:3]
+        assert [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)] == [x for x in got if x[0] == q]
+
+
 def test_top_k_of_large_components(spark):
     """Beyond what doubles hold scores are still exact; beyond longs there is an error and no wrong number."""
     big = 2**31 - 1

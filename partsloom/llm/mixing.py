@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return s.withColumn("t", t).select("source", "source_size", F.least(F.col("most"), F.coalesce(F.col("t") * F.col("w"), F.col("most"))).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, order: Column | None = None) -> DataFrame:
     """docs with size, source_size (bigint), target (double, the source's), rate (double), copies (int) and taken (bigint, copies * size).
 
     These replace columns so named. docs needs a column source; null is a source of its own. size is a whole
@@ -57,13 +57,13 @@ def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, sha
     Rates depend on source and size alone, so the dual is solved on a table of the sizes in each source, which
     does not grow with the documents once all sizes have been seen. Rounding goes through that table in order of
     size with the running sum of rates rounded to whole copies, which leaves a source's words within about half of its
-    largest document of the target; which documents of one size get the odd copy depends on a hash of the
+    largest document of the target; which documents of one size get the odd copy depends on order, a long, or else a hash of the
     whole row, so reruns agree. A source with a third of all rows is dealt out by size and hash. Of equal rows there can be as many: hashes that a HOT-th of all rows have, or more, HOT at most, are
     dealt out by row, as it makes no difference which of equal rows is taken. docs is written down once; hand in ids and sizes, not texts.
     """
     own = ("size", "source_size", "target", "rate", "copies", "taken")
     base = with_columns(docs, {"size": F.greatest(F.coalesce(size.cast("bigint"), F.lit(0)), F.lit(0))})
-    base = base.withColumn("_pl_hash", F.xxhash64(*[col(c) for c, kind in base.dtypes if "map<" not in kind]))
+    base = base.withColumn("_pl_hash", F.xxhash64(*[col(c) for c, kind in base.dtypes if "map<" not in kind]) if order is None else order)
     base = kept(base.withColumn("_pl_row", F.monotonically_increasing_id()), "mix-rows")
     equal = kept(base.groupBy(F.col("_pl_hash").alias("_pl_h")).agg(F.count("*").alias("_pl_n")).where(F.col("_pl_n") >= LEAST_HOT), "mix-equal")
     most = equal.where(F.col("_pl_n") >= max(LEAST_HOT, -(-base.count() // HOT)))

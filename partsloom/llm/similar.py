@@ -233,7 +233,9 @@ def links(groups: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int =
             pairs = np.array(at, np.int64).reshape(-1, 2)
             yield pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
-    both = texts.dropDuplicates(["key"]).join(groups.join(nodes.select("node", "key"), "node"), "key").select("group", "node", "label", "t")
+    asked = kept(groups.join(nodes.select("node", "key"), "node"), "simhash-asked")
+    own = texts.join(asked.select("key").distinct(), "key", "left_semi")  # only texts that are in a group are looked at for repeats
+    both = own.dropDuplicates(["key"]).join(asked, "key").select("group", "node", "label", "t")
     return both.repartition("group").sortWithinPartitions("group").mapInPandas(check, "a long, b long")
 
 

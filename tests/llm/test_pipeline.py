@@ -212,12 +212,12 @@ def test_query_matches_sql(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = registry.QUERIES[name](spark, SF)
     want = db.sql(registry.SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
-    assert sorted(map(tuple, df.collect())) == sorted(want.query("x", f'SELECT {", ".join(df.columns)} FROM x').fetchall())
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want.query("x", f'SELECT {", ".join(df.columns)} FROM x').fetchall(), key=str)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

@@ -25,7 +25,7 @@ from ..operators.start import FACTOR, PRIME, new_seed
 from ..session import checkpoint_dir
 from ..sources.compose import delete, exists
 from ..sources.validate import check_rank
-from .tiles import CELL_BYTES, Tiling, in_order, matrix_of, met, partial, plan, spread, total
+from .tiles import CELL_BYTES, Tiling, in_order, matrix_of, met, ordered_sum, partial, plan, spread, total
 
 #: Cells of V up to which one task solves all, and bytes that a task may take for a tile and its factors' blocks.
 LOCAL_CELLS, MEMORY = 4_000_000, 256_000_000
@@ -288,22 +288,21 @@ class Run:
         t, k = self.tiles, self.o.k
         seen = Observation()
         with self._step(side.upper()) as step:
-            parts = partial(met(t, self.w, self.h), k, side).observe(seen, F.count("*").alias("tiles"), F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"))
+            parts = partial(met(t, self.w, self.h, k), k, side).observe(seen, F.count("*").alias("tiles"), F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"))
             own, key, most, other, other_key, n = (self.h, "cb", t.most_h, self.w, "rb", t.tiling.row_blocks) if side == "h" else (self.w, "rb", t.most_w, self.h, "cb", t.tiling.col_blocks)
             acc = total(other, other_key, "acc", n)
-            both = own.join(in_order(parts, most).select(F.col("block").alias(key), "x"), key, "left").join(F.broadcast(acc))
-
-            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for b in batches:
-                    for r in b.itertuples(index=False):
-                        x = np.frombuffer(getattr(r, side)).reshape(-1, k)
-                        num = np.zeros_like(x) if r.x is None else np.frombuffer(r.x).reshape(-1, k)
-                        with np.errstate(all="ignore"):
-                            x = x * num / np.asarray(r.total)
-                        x = floored(x) if floor else x
-                        yield pd.DataFrame({key: [getattr(r, key)], side: [x.tobytes()], "acc": [x.sum(axis=0)], **({"cls": [r.cls]} if side == "h" else {})})
-
-            at, old = self._save(both.mapInPandas(run, self.H if side == "h" else self.W)), self.h_at if side == "h" else self.w_at
+            own = own.join(F.broadcast(acc))
+
+            def run(mine: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+                r, num = next(mine.itertuples(index=False)), ordered_sum(sums)
+                x = np.frombuffer(getattr(r, side)).reshape(-1, k)
+                with np.errstate(all="ignore"):
+                    x = x * (np.zeros_like(x) if num is None else num.reshape(-1, k)) / np.asarray(r.total)
+                x = floored(x) if floor else x
+                return pd.DataFrame({key: [getattr(r, key)], side: [x.tobytes()], "acc": [x.sum(axis=0)], **({"cls": [r.cls]} if side == "h" else {})})
+
+            new = own.groupBy(key).cogroup(in_order(parts, most, last=False).groupBy("block")).applyInPandas(run, self.H if side == "h" else self.W)
+            at, old = self._save(new), self.h_at if side == "h" else self.w_at
             got = seen.get
             step.done(got["tiles"], got["cells"])
         if side == "h":
@@ -355,7 +354,7 @@ class Run:
 
         seen = Observation()
         with self._step("distance") as step:
-            parts = partial(met(self.tiles, self.w, self.h), k, "d").observe(seen, F.count("*").alias("tiles"), F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"))
+            parts = partial(met(self.tiles, self.w, self.h, k), k, "d").observe(seen, F.count("*").alias("tiles"), F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"))
             unpacked = in_order(parts, self.tiles.most_h).mapInPandas(lambda bs: (pd.DataFrame({"cb": b["block"], "a": [np.frombuffer(x) for x in b["x"]]}) for b in bs), "cb long, a array<double>")
             dot_v, stored, products = total(unpacked, "cb", "a", self.tiling.col_blocks).first()[0]
             step.done(seen.get["tiles"], seen.get["cells"])

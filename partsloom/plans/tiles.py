@@ -26,6 +26,8 @@ CELL_BYTES, COPIES = 80, 4
 FAN_IN = 32
 #: Most cells of a row of the table.
 PIECE = 500_000
+#: Bytes of both factors up to which they are sent to all tasks instead of being copied for each tile.
+SENT = 8_000_000
 TILE = ["rb", "cb", "s"]
 
 
@@ -189,9 +191,12 @@ def spread(cells: DataFrame, tiling: Tiling, tile_cells: int) -> Tiles:
     return Tiles(tiling, table, index, (most[0] or 0) + 1, (most[1] or 0) + 1)
 
 
-def met(t: Tiles, w: DataFrame, h: DataFrame) -> DataFrame:
-    """Tiles with their blocks of W (rb, w) and of H (cb, h). Only the factors move: they are copied for each tile and dealt out as the tiles are."""
-    both = t.index.join(w.select("rb", "w"), "rb").join(h.select("cb", "h"), "cb")
+def met(t: Tiles, w: DataFrame, h: DataFrame, k: int) -> DataFrame:
+    """Tiles with their blocks of W (rb, w) and of H (cb, h). Only the factors move: to all tasks if both take SENT bytes or less; else they are copied for each tile and dealt out as the tiles are."""
+    w, h = w.select("rb", "w"), h.select("cb", "h")
+    if (t.tiling.n_rows + t.tiling.n_cols) * k * 8 <= SENT:
+        return t.table.join(F.broadcast(t.index), TILE).join(F.broadcast(w), "rb").join(F.broadcast(h), "cb")
+    both = t.index.join(w, "rb").join(h, "cb")
     return t.table.join(both.hint("shuffle_hash"), TILE)
 
 
@@ -222,20 +227,26 @@ def partial(joined: DataFrame, k: int, side: str) -> DataFrame:
     return joined.mapInPandas(run, "block long, n long, x binary, cells long")
 
 
-def in_order(parts: DataFrame, most: int) -> DataFrame:
-    """(block, x): sums of arrays (block, n, x) in order of n, FAN_IN at a time, so that neither partitions nor arrival change a bit, and no task holds more than FAN_IN of them."""
+def ordered_sum(g: pd.DataFrame) -> np.ndarray | None:
+    """The sum of arrays (n, x) in order of n; none of none."""
+    out = None
+    for x in g.sort_values("n")["x"]:
+        out = np.frombuffer(x) if out is None else out + np.frombuffer(x)
+    return out
+
+
+def in_order(parts: DataFrame, most: int, last: bool = True) -> DataFrame:
+    """(block, n, x): sums of arrays (block, n, x) in order of n, FAN_IN at a time, so that neither partitions nor arrival change a bit, and no task holds more than FAN_IN of
+    them: one of each block, or, not last, FAN_IN at most, which are still to be added up."""
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
-        g, out = g.sort_values("n"), 0.0
-        for x in g["x"]:
-            out = out + np.frombuffer(x)
-        return pd.DataFrame({"block": g["block"].iloc[:1], "n": g["n"].iloc[:1] // FAN_IN, "x": [np.asarray(out).tobytes()]})
+        return pd.DataFrame({"block": g["block"].iloc[:1], "n": g["n"].iloc[:1] // FAN_IN, "x": [ordered_sum(g).tobytes()]})
 
     out = parts.select("block", "n", "x")
-    while most > 1:
+    while most > (1 if last else FAN_IN):
         out = out.groupBy("block", F.expr(f"n div {FAN_IN}").alias("g")).applyInPandas(add, "block long, n long, x binary")
         most = -(-most // FAN_IN)
-    return out.select("block", "x")
+    return out
 
 
 def total(blocks: DataFrame, key: str, value: str, most: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..model import Matrix, MatrixError
 from ..session import checkpointed
 from .compose import compose, delete, file_system, scratch
-from .positional import Placed, needs_plain, plain, transpose_cells, write_cells
+from .positional import Placed, needs_plain, plain, tag_line, transpose_cells, write_cells
 from .validate import check_shape, validate
 
 # Fixed values of the format: signatures of real and of integer matrices.
@@ -186,21 +186,11 @@ def read_binary(spark: SparkSession, path: str, native: bool = False, real: str
     return out.transpose() if transpose else out
 
 
-def _line(tags: DataFrame | None, key: str, tag: str, n: int) -> Iterator[bytes]:
-    """A line of tags, TABs between, streamed in order."""
-    if tags is not None:
-        at = 0
-        for r in tags.select(F.col(key).cast("bigint").alias("k"), tag).where((F.col("k") >= 0) & (F.col("k") < n)).orderBy("k").toLocalIterator():
-            yield b"\t" * (r["k"] - at) + (r[tag] or "").encode()
-            at = r["k"]
-        yield b"\t" * (n - 1 - at)
-
-
 def _tail(m: Matrix) -> Iterator[bytes]:
     if m.tagged:
-        yield from _line(m.row_tags, "i", "label", m.n_rows)
+        yield from tag_line(m.row_tags, "i", "label", m.n_rows)
         yield b"\n"
-        yield from _line(m.col_tags, "j", "header", m.n_cols)
+        yield from tag_line(m.col_tags, "j", "header", m.n_cols)
         yield f"\n{m.name or ''}\n".encode()
 
 
@@ -233,9 +223,9 @@ def transpose_binary(spark: SparkSession, path: str, out: str, native: bool = Fa
         file.begin(head, len(head) + h.n * h.m * h.real.itemsize)
         transpose_cells(spark, needs_plain(path), file.temporary, h.at, (h.n, h.m), h.real, tile_bytes)
         if tags:
-            file.append(_line(cols, "j", "header", h.m))
+            file.append(tag_line(cols, "j", "header", h.m))
             file.append([b"\n"])
-            file.append(_line(rows, "i", "label", h.n))
+            file.append(tag_line(rows, "i", "label", h.n))
             file.append([f"\n{tags.get('name') or ''}\n".encode()])
         file.finish()
     finally:

@@ -14,9 +14,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import MatrixError
-from .compose import file_system
+from .compose import COPY, file_system
 
 #: Bytes of a tile that is transposed at a time.
 TILE_BYTES = 64_000_000
@@ -42,6 +43,12 @@ class Placed:
             f.write(head)
             f.truncate(size)
 
+    def grow(self, size: int) -> int:
+        """Makes the file longer by size; returns where that begins."""
+        at = os.path.getsize(self.temporary)
+        os.truncate(self.temporary, at + size)
+        return at
+
     def append(self, pieces: Iterable[bytes]) -> None:
         with open(self.temporary, "ab") as f:
             for x in pieces:
@@ -55,6 +62,16 @@ class Placed:
             os.remove(self.temporary)
 
 
+def tag_line(tags: DataFrame | None, key: str, tag: str, n: int) -> Iterator[bytes]:
+    """A line of tags, TABs between, streamed in order."""
+    if tags is not None:
+        at = 0
+        for r in tags.select(F.col(key).cast("bigint").alias("k"), tag).where((F.col("k") >= 0) & (F.col("k") < n)).orderBy("k").toLocalIterator():
+            yield b"\t" * (r["k"] - at) + (r[tag] or "").encode()
+            at = r["k"]
+        yield b"\t" * (n - 1 - at)
+
+
 def put(fd: int, data: bytes, at: int) -> None:
     view = memoryview(data)
     while view:
@@ -87,6 +104,28 @@ def write_cells(cells: DataFrame, path: str, base: int, n_cols: int, kind: np.dt
     cells.select("i", "j", "v").repartitionByRange("i", "j").sortWithinPartitions("i", "j").mapInPandas(run, "n int").write.format("noop").mode("overwrite").save()
 
 
+def join_files(spark: SparkSession, pieces: list[str], sizes: list[int], path: str, base: int) -> None:
+    """Files one after the other into the file at path, from base on: a task copies a piece to its place, COPY bytes at a time."""
+    at = (base + np.cumsum([0, *sizes[:-1]])).tolist() if sizes else []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fd = os.open(path, os.O_WRONLY)
+        try:
+            for b in batches:
+                for piece, to in zip(b["piece"], b["at"].tolist(), strict=True):
+                    store, where = file_system(piece)
+                    with store.open_input_stream(where) as f:
+                        while x := f.read(COPY):
+                            put(fd, x, to)
+                            to += len(x)
+        finally:
+            os.close(fd)
+        yield from ()
+
+    if pieces:
+        spark.createDataFrame(list(zip(pieces, at, strict=True)), "piece string, at bigint").repartition(len(pieces), "piece").mapInPandas(run, "n int").write.format("noop").mode("overwrite").save()
+
+
 def read_block(fd: int, base: int, n_cols: int, kind: np.dtype, rows: tuple[int, int], cols: tuple[int, int]) -> np.ndarray:
     """A block of a file's cells: a read for each row, or one for all if the rows are whole."""
     (a, z), (p, q) = rows, cols

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from pyspark.sql.window import Window
 from ..functions.numeric import NUMBERS, format_g, is_valid, parse_cell
 from ..model import Matrix, MatrixError
 from ..session import checkpointed
-from .compose import compose, delete, scratch
+from .compose import compose, delete, file_system, scratch
+from .positional import Placed, join_files, plain, tag_line
 from .validate import validate
 
 MOST_BLANK = 15
@@ -161,13 +164,14 @@ def text_lines(m: Matrix) -> DataFrame:
     return rows
 
 
-def header_line(m: Matrix) -> str | None:
+def header_pieces(m: Matrix) -> Iterator[bytes]:
+    """The line of name and headers without its end, streamed in order; nothing if there are neither."""
     if m.col_tags is None:
-        return m.name
-    tags = dict((r["j"], r["header"]) for r in m.col_tags.collect())
-    row = [tags.get(j) or "" for j in range(m.n_cols)]
-    corner = [m.name or ""] if m.name is not None or m.row_tags is not None else []
-    return "\t".join(corner + row)
+        if m.name is not None:
+            yield m.name.encode()
+        return
+    yield (m.name or "").encode() + (b"\t" if m.name is not None or m.row_tags is not None else b"")
+    yield from tag_line(m.col_tags, "j", "header", m.n_cols)
 
 
 def write_text(m: Matrix, path: str, single: bool = True, append: bool = False, n: int | None = None) -> None:
@@ -175,13 +179,41 @@ def write_text(m: Matrix, path: str, single: bool = True, append: bool = False,
 
     Rows are sorted by range and written in parallel either way; one file is then put together from the parts. append adds them to the end of a file. n: how many parts, if Spark is not to choose.
     """
-    spark = m.cells.sparkSession
-    head = header_line(m)
-    body = text_lines(m)
-    if head is not None and not single:
-        body = body.unionByName(spark.createDataFrame([(-1, head)], "i bigint, value string"))
+    spark, where, body = m.cells.sparkSession, plain(path), text_lines(m)
+    headed = m.name is not None or m.col_tags is not None
+    if headed and not single:
+        body = body.unionByName(spark.createDataFrame([(-1, b"".join(header_pieces(m)).decode())], "i bigint, value string"))
     parts = scratch(spark, "text") if single else path
     (body.repartitionByRange(n, "i") if n else body.repartitionByRange("i")).sortWithinPartitions("i").select("value").write.mode("overwrite").text(parts)
-    if single:
-        compose(path, [f"{head}\n".encode()] if head is not None else [], sorted(spark.read.text(parts).inputFiles(), key=natural), append=append)
-        delete(spark, parts)
+    if not single:
+        return
+    pieces = sorted(spark.read.text(parts).inputFiles(), key=natural)
+    head = (x for x in (*header_pieces(m), b"\n")) if headed else ()
+    if where is None:
+        compose(path, head, pieces, append=append)
+    else:
+        _place(spark, where, head, pieces, append)
+    delete(spark, parts)
+
+
+def _place(spark: SparkSession, where: str, head: Iterable[bytes], pieces: list[str], append: bool) -> None:
+    """The pieces into one file, each by a task at its place; the driver writes the head alone. What an append adds is cut off again if it fails."""
+    sizes = [store.get_file_info(at).size for store, at in map(file_system, pieces)]
+    if append and os.path.exists(where):
+        before, file = os.path.getsize(where), Placed(where)
+        file.temporary = where
+        try:
+            file.append(head)
+            join_files(spark, pieces, sizes, where, file.grow(sum(sizes)))
+        except BaseException:
+            os.truncate(where, before)
+            raise
+        return
+    file = Placed(where)
+    try:
+        file.begin(b"", 0)
+        file.append(head)
+        join_files(spark, pieces, sizes, file.temporary, file.grow(sum(sizes)))
+        file.finish()
+    finally:
+        file.give_up()

@@ -35,8 +35,9 @@ def same(a, b, shape, k):
     assert np.allclose(array(a.h, (m, k), "jkh"), array(b.h, (m, k), "jkh"), rtol=1e-9)
 
 
-@pytest.mark.parametrize("memory", [8_000, 10_000_000])
-def test_tiles_match_one_task(spark, memory):
+@pytest.mark.parametrize(("memory", "sent"), [(8_000, 0), (8_000, tiles.SENT), (10_000_000, tiles.SENT)])
+def test_tiles_match_one_task(spark, monkeypatch, memory, sent):
+    monkeypatch.setattr(tiles, "SENT", sent)
     v = sparse(31, 13, 0.3)
     o = Options(2, 5, 2, 40, 3, memory=memory)
     assert (tiles.plan(31, 13, 100, 2, 8_000).row_blocks > 2) and tiles.plan(31, 13, 100, 2, 8_000).col_blocks > 1
@@ -45,6 +46,12 @@ def test_tiles_match_one_task(spark, memory):
     assert b.steps["H"][0] == b.steps["W"][0] == 5 and b.steps["test"][0] == 2 and b.steps["H"][2] == 5 * np.count_nonzero(v) and b.steps["distance"][2] == np.count_nonzero(v)
 
 
+def test_sums_of_more_blocks_than_are_added_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "FAN_IN", 2)
+    v, o = sparse(40, 9, 0.4), Options(2, 2, 2, 40, 3, memory=4_000)
+    same(factorize(matrix(spark, v), o), factorize(matrix(spark, v), o, local_cells=0), v.shape, 2)
+
+
 def test_a_whole_run_to_the_end(spark):
     v = np.kron(np.eye(2), np.ones((6, 4))) + 0.01
     o = Options(2, 100, 1, 2, 5, memory=6_000)
@@ -82,20 +89,21 @@ def test_a_hot_tile_is_split(spark):
     same(factorize(m, o, local_cells=10**9), factorize(m, o), v.shape, 2)
 
 
-def test_v_is_not_moved(spark):
+def test_v_is_not_moved(spark, monkeypatch):
     """The plan of a half-step has no exchange above the tiles, whatever the factors' sizes."""
     run = Run(matrix(spark, sparse(60, 20, 0.3)), Options(2, 1, 2, 40, 3, memory=9_000), 3, None)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    for size in (old, "-1"):
+    for size, sent in ((old, tiles.SENT), (old, 0), ("-1", 0)):
+        monkeypatch.setattr(tiles, "SENT", sent)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
         try:
             said = io.StringIO()
             with redirect_stdout(said):
-                tiles.partial(tiles.met(run.tiles, run.w, run.h), 2, "h").explain()
+                tiles.partial(tiles.met(run.tiles, run.w, run.h, 2), 2, "h").explain()
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         lines = said.getvalue().splitlines()
-        at = next(i for i, x in enumerate(lines) if "Bucketed: true" in x)
+        at = next(i for i, x in enumerate(lines) if "FileScan parquet spark_catalog.default.tiles_" in x)
         depth = lines[at].index("FileScan")
         above = [x for x in lines[:at] if len(x) - len(x.lstrip(" :+-*()0123456789")) < depth and "Exchange" in x]
         assert not above, said.getvalue()

@@ -55,13 +55,13 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Sizes and hashes go through the mix; texts meet the numbers of copies once, by the number of their row."""
+    """Each document as often as the mix takes it. Sizes and hashes go through the mix; texts meet the numbers of copies once, by the number of their row, the same way at any size."""
     own, back = aside(docs)
     own = own.select("*", mixing.word_count(F.col("text")).alias("_pl_size"), F.xxhash64("doc_id", "text").alias("_pl_hashed"), F.monotonically_increasing_id().alias("_pl_at"))
     own = kept(own, "mix-sized")
     counts = mixing.mix(own.select("_pl_at", "source", "_pl_size", "_pl_hashed"), F.col("_pl_size"), order=F.col("_pl_hashed"))
     counts = kept(counts.where("copies > 0").select("_pl_at", "copies"), "mix-copies")
-    return back(own.join(counts, "_pl_at").withColumn("_pl_nth", F.explode(F.sequence(F.lit(1), F.col("copies")))))
+    return back(own.join(counts.hint("merge"), "_pl_at").withColumn("_pl_nth", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

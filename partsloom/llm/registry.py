@@ -25,4 +25,5 @@ SQL = {
     "op9_line_dedup": line_dedup.SQL,
     "op11_release": release.SQL,
     "op12_warc": warc.SQL,
+    "op13_spelling": spelling.SQL,
 }

@@ -239,3 +239,25 @@ def variants(vocabulary: DataFrame, ratio: int = RATIO) -> DataFrame:
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nulls, empty and very long texts: as words_of has it. Repeated rows count as often as they come; an empty table gives no words."""
     return variants(words_of(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+_BITS = "list_reduce(list_prepend(i, range(8)), lambda c, n: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+_DIGITS = "hex(encode(id || ':' || run))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len({_DIGITS}) // 2), lambda x: ('0x' || substr({_DIGITS}, 2 * x + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t.byte[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+#: Near words by patterns: words that agree but for one position share the pattern that leaves it out, and a word with a letter less is what is left of the longer one.
+SQL = f"""
+WITH RECURSIVE t AS (SELECT list({_BITS} ORDER BY i) AS byte FROM (SELECT unnest(range(256)) AS i)),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[{LETTERS}]{{{LEAST_LENGTH},}}')), '{UPPER}', '{UPPER.lower()}') AS run FROM documents),
+h AS (SELECT run, n, {_CRC} AS h FROM (SELECT id, run, count(*) AS n FROM r GROUP BY id, run), t),
+w AS (SELECT CASE WHEN h % {EVERY} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+x AS MATERIALIZED (SELECT word, left(word, i) AS a, substr(word, i + 2) AS z FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+d AS (SELECT DISTINCT x.word AS long, v.word AS short FROM x JOIN v ON v.word = x.a || x.z),
+p AS (SELECT x.word, y.word AS other FROM x JOIN x y ON x.a || '*' || x.z = y.a || '*' || y.z AND x.word <> y.word UNION ALL SELECT long, short FROM d UNION ALL SELECT short, long FROM d),
+b AS (SELECT p.word, count(*) AS n_near, list(struct_pack(n := -v.n, word := other) ORDER BY -v.n, other)[1] AS best FROM p JOIN v ON v.word = other GROUP BY p.word),
+f AS MATERIALIZED (SELECT b.word, best.word AS form, -best.n AS form_n FROM b JOIN v ON v.word = b.word WHERE -best.n >= {RATIO} * v.n),
+c AS (SELECT word, form AS root, 1 AS step FROM f UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON f.word = c.root),
+l AS (SELECT word, arg_max(root, step) AS root FROM c GROUP BY word)
+SELECT v.word, form, coalesce(root, v.word) AS root, v.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n::BIGINT AS form_n
+FROM v LEFT JOIN b ON b.word = v.word LEFT JOIN f ON f.word = v.word LEFT JOIN l ON l.word = v.word
+"""

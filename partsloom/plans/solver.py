@@ -25,7 +25,7 @@ from ..operators.start import FACTOR, PRIME, new_seed
 from ..session import checkpoint_dir
 from ..sources.compose import delete, exists
 from ..sources.validate import check_rank
-from .tiles import CELL_BYTES, Tiling, in_order, matrix_of, met, ordered_sum, partial, plan, spread, total
+from .tiles import CELL_BYTES, SENT, Tiling, floored, frames, in_order, listed, matrix_of, met, ordered_sum, partial, passed, plan, spread, total
 
 #: Cells of V up to which one task solves all, and bytes that a task may take for a tile and its factors' blocks.
 LOCAL_CELLS, MEMORY = 4_000_000, 256_000_000
@@ -86,10 +86,6 @@ def next_w(v: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
     return w * (ratios(v, w, h) @ h) / h.sum(axis=0)
 
 
-def floored(x: np.ndarray) -> np.ndarray:
-    return np.where(np.isnan(x) | (x < R_MIN), R_MIN, x)
-
-
 def difference(a: np.ndarray, b: np.ndarray, k: int) -> int:
     """Pairs that share a class in one of two classifications only."""
     pairs = lambda n: int((n.astype(np.int64) * (n.astype(np.int64) - 1) // 2).sum())
@@ -210,6 +206,7 @@ class Run:
         self.folder = folder or f"{checkpoint_dir(self.spark)}/factors-{uuid.uuid4().hex}"
         self.steps: dict[str, list] = {}
         self.turn, self.watch, self.iteration, self.done = 0, Watch(0, o), 0, False
+        self.numerators: tuple[int, int, int] | None = None  # the table of tall tiles that holds H's next ones, and the tiles and cells that gave them
         old = self._load()
         if old:
             if old.shape != [m.n_rows, m.n_cols] or old.options != self._options() or (o.seed is not None and seed != old.seed):
@@ -274,14 +271,13 @@ class Run:
         t, k, seed = self.tiling, self.o.k, self.seed
         size, count, of = (t.rows, t.row_blocks, t.rows_of) if which == 0 else (t.cols, t.col_blocks, t.cols_of)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
             for b in batches:
                 for block in b["id"].tolist():
                     x = start_values(block * size + np.arange(of(block)), k, which, seed)
-                    row = {"rb": [block], "w": [x.tobytes()], "acc": [x.sum(axis=0)]} if which == 0 else {"cb": [block], "h": [x.tobytes()], "acc": [x.sum(axis=0)], "cls": [np.zeros(len(x), "<i4").tobytes()]}
-                    yield pd.DataFrame(row)
+                    yield {"rb": block, "w": x.tobytes(), "acc": x.sum(axis=0)} if which == 0 else {"cb": block, "h": x.tobytes(), "acc": x.sum(axis=0), "cls": np.zeros(len(x), "<i4").tobytes()}
 
-        return self._save(self.spark.range(count).mapInPandas(run, self.H if which else self.W))
+        return self._save(self.spark.range(count).mapInPandas(lambda batches: frames(run(batches)), self.H if which else self.W))
 
     def update(self, side: str, floor: bool = False) -> None:
         """One half-step: the factor of that side from the numerators at the tiles and the other factor's sums."""
@@ -291,17 +287,18 @@ class Run:
             parts = partial(met(t, self.w, self.h, k), k, side).observe(seen, F.count("*").alias("tiles"), F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"))
             own, key, most, other, other_key, n = (self.h, "cb", t.most_h, self.w, "rb", t.tiling.row_blocks) if side == "h" else (self.w, "rb", t.most_w, self.h, "cb", t.tiling.col_blocks)
             acc = total(other, other_key, "acc", n)
-            own = own.join(F.broadcast(acc))
-
-            def run(mine: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-                r, num = next(mine.itertuples(index=False)), ordered_sum(sums)
-                x = np.frombuffer(getattr(r, side)).reshape(-1, k)
-                with np.errstate(all="ignore"):
-                    x = x * (np.zeros_like(x) if num is None else num.reshape(-1, k)) / np.asarray(r.total)
-                x = floored(x) if floor else x
-                return pd.DataFrame({key: [getattr(r, key)], side: [x.tobytes()], "acc": [x.sum(axis=0)], **({"cls": [r.cls]} if side == "h" else {})})
-
-            new = own.groupBy(key).cogroup(in_order(parts, most, last=False).groupBy("block")).applyInPandas(run, self.H if side == "h" else self.W)
+            sums = listed(in_order(parts, most, last=False), F.col("block").alias(key))
+            own = own.join(sums, key, "left").join(F.broadcast(acc))
+
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+                for r in (r for b in batches for r in b.itertuples(index=False)):
+                    num, x = ordered_sum(() if r.xs is None else r.xs), np.frombuffer(getattr(r, side)).reshape(-1, k)
+                    with np.errstate(all="ignore"):
+                        x = x * (np.zeros_like(x) if num is None else num.reshape(-1, k)) / np.asarray(r.total)
+                    x = floored(x) if floor else x
+                    yield {key: getattr(r, key), side: x.tobytes(), "acc": x.sum(axis=0), **({"cls": r.cls} if side == "h" else {})}
+
+            new = own.mapInPandas(lambda batches: frames(run(batches)), self.H if side == "h" else self.W)
             at, old = self._save(new), self.h_at if side == "h" else self.w_at
             got = seen.get
             step.done(got["tiles"], got["cells"])
@@ -311,6 +308,58 @@ class Run:
             self.w_at = at
         self._retire(old)
 
+    def iterate(self, floor: bool, last: bool) -> None:
+        """Both half-steps. Tall tiles take one pass over V for them: the rows of a tile need all of H, which is one block, and no other rows, so the task that has made them gives H's numerators for the next iteration as well."""
+        if not self.tiles.tall:
+            self.update("h")
+            self.update("w", floor=floor)
+            return
+        if self.numerators is None:
+            with self._step("H"):
+                self._pass(False, False, True)
+            self.steps["H"][0] -= 1  # it belongs to the call that follows
+        with self._step("H") as step:
+            old, self.h_at = self.h_at, self._next_h()
+            step.done(*self.numerators[1:])
+        self._retire(old)
+        with self._step("W") as step:
+            old = self.w_at
+            self._pass(True, floor, not last)
+            step.done(*self.numerators[1:])
+        self._retire(old)
+
+    def _pass(self, update: bool, floor: bool, numerators: bool) -> None:
+        seen = Observation()
+        rows = passed(met(self.tiles, self.w, self.h, self.o.k), self.o.k, update, floor, numerators).observe(seen, F.count("*").alias("tiles"), F.sum("cells").alias("cells"))
+        at = self._save(rows if update else rows.select("rb", "x"))
+        if update:
+            self.w_at = at
+        self.numerators = at, seen.get["tiles"], seen.get["cells"]
+
+    def _next_h(self) -> int:
+        """H's one block from the numerators of all tiles, which one task adds up in order, one at a time, behind H; if they take more than SENT bytes, they are added up by FAN_IN first."""
+        k, n = self.o.k, self.tiling.row_blocks
+        at = self.numerators[0]
+        parts = self._read(at, "rb long, x binary").select(F.lit(0).cast("bigint").alias("block"), F.col("rb").alias("n"), "x")
+        if n * (self.m.n_cols + 1) * k * 8 > SENT:
+            parts = in_order(parts, n, last=False)
+        every = self.h.select(F.lit(-1).cast("bigint").alias("n"), F.col("h").alias("x"), "cls").unionByName(parts.select("n", "x", F.lit(None).cast("binary").alias("cls")))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = (r for b in batches for r in b.itertuples(index=False))
+            own = next(rows, None)
+            if own is None:
+                return
+            x, num = np.frombuffer(own.x).reshape(-1, k), ordered_sum(r.x for r in rows)
+            with np.errstate(all="ignore"):
+                x = x * num[:-k].reshape(-1, k) / num[-k:]
+            yield pd.DataFrame({"cb": [0], "h": [x.tobytes()], "acc": [x.sum(axis=0)], "cls": [own.cls]})
+
+        new = self._save(every.coalesce(1).sortWithinPartitions("n").mapInPandas(run, self.H))
+        if at != self.w_at:
+            self._drop(at)
+        return new
+
     def _retire(self, old: int) -> None:
         """Tables that the last stored state names stay until there is a newer state."""
         if self.kept:
@@ -322,15 +371,15 @@ class Run:
         """Floors H, classes its columns and counts what has changed since the test before; only K * K counts come to the driver."""
         k = self.o.k
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
             for b in batches:
                 for r in b.itertuples(index=False):
                     x = floored(np.frombuffer(r.h).reshape(-1, k))
                     now = x.argmax(axis=1)
-                    yield pd.DataFrame({"cb": [r.cb], "h": [x.tobytes()], "acc": [x.sum(axis=0)], "cls": [now.astype("<i4").tobytes()], "n": [cross(now, np.frombuffer(r.cls, "<i4").astype(np.int64), k).ravel()]})
+                    yield {"cb": r.cb, "h": x.tobytes(), "acc": x.sum(axis=0), "cls": now.astype("<i4").tobytes(), "n": cross(now, np.frombuffer(r.cls, "<i4").astype(np.int64), k).ravel()}
 
         with self._step("test"):
-            path, old = self._save(self.h.mapInPandas(run, f"{self.H}, n array<long>")), self.h_at
+            path, old = self._save(self.h.mapInPandas(lambda batches: frames(run(batches)), f"{self.H}, n array<long>")), self.h_at
             counts = self._read(path, f"{self.H}, n array<long>").select(F.posexplode("n").alias("p", "n")).groupBy("p").agg(F.sum("n").alias("n"))
             n = np.zeros(k * k, np.int64)
             for r in counts.collect():
@@ -344,13 +393,13 @@ class Run:
         k = self.o.k
 
         def gram(blocks: DataFrame, key: str, value: str, n: int) -> np.ndarray:
-            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
                 for b in batches:
                     for at, x in zip(b[key], b[value], strict=True):
                         a = np.frombuffer(x).reshape(-1, k)
-                        yield pd.DataFrame({key: [at], "g": [(a.T @ a).ravel()]})
+                        yield {key: at, "g": (a.T @ a).ravel()}
 
-            return np.array(total(blocks.select(key, value).mapInPandas(run, f"{key} long, g array<double>"), key, "g", n).first()[0]).reshape(k, k)
+            return np.array(total(blocks.select(key, value).mapInPandas(lambda batches: frames(run(batches)), f"{key} long, g array<double>"), key, "g", n).first()[0]).reshape(k, k)
 
         seen = Observation()
         with self._step("distance") as step:
@@ -392,8 +441,7 @@ def _by_tiles(m: Matrix, o: Options, seed: int, folder: str | None = None, on_te
     while run.iteration < o.iterations and not run.done:
         n = run.iteration + 1
         test = n % o.period == 0
-        run.update("h")
-        run.update("w", floor=test)
+        run.iterate(floor=test, last=n == o.iterations)
         if test:
             run.done = run.test()
         run.iteration = n

@@ -8,7 +8,7 @@ factor is ever whole in a task or on the driver.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.numeric import R_MIN
 from ..model import MatrixError
 from ..session import checkpoint_dir, checkpointed
 
@@ -26,6 +27,12 @@ CELL_BYTES, COPIES = 80, 4
 FAN_IN = 32
 #: Most cells of a row of the table.
 PIECE = 500_000
+#: Cells of V that a bucket of its table holds. A task goes through its bucket tile by tile, so small tiles need no more buckets.
+BUCKET = 4_000_000
+#: A matrix is cut into so many tiles if each has LEAST cells or more, so that there is work for that many tasks, whatever one of them could hold. These numbers do not depend on the cluster, so the tiles, and the bits of the results, do not either.
+SPREAD, LEAST = 64, 200_000
+#: Bytes of rows that make a frame.
+FRAME = 8_000_000
 #: Bytes of both factors up to which they are sent to all tasks instead of being copied for each tile.
 SENT = 8_000_000
 TILE = ["rb", "cb", "s"]
@@ -62,9 +69,10 @@ def tile_bytes(rows: int, cols: int, density: float, k: int) -> int:
 
 
 def plan(n_rows: int, n_cols: int, cells: int, k: int, memory: int) -> Tiling:
-    """The largest tiles that fit in memory: the side whose half saves more is halved until they do."""
+    """The largest tiles that fit in memory and leave enough of them for many tasks: the side whose half saves more is halved until they do."""
     rows, cols, density = n_rows, n_cols, cells / (n_rows * n_cols)
-    while tile_bytes(rows, cols, density, k) > memory:
+    most = max(LEAST, cells // SPREAD)
+    while tile_bytes(rows, cols, density, k) > memory or (rows * cols * density > most and rows * cols > 1):
         if rows == cols == 1:
             raise MatrixError(f"{memory} bytes do not hold a tile of one cell at rank {k}")
         fewer_rows = tile_bytes(-(-rows // 2), cols, density, k) if rows > 1 else memory << 20
@@ -95,8 +103,8 @@ class Rows:
     def read(cls, ids: bytes, ptr: bytes, cols: bytes, v: bytes) -> Rows:
         return cls(np.frombuffer(ids, "<i4"), np.frombuffer(ptr, "<i4"), np.frombuffer(cols, "<i4"), np.frombuffer(v, "<f8"))
 
-    def fields(self) -> dict[str, list[bytes]]:
-        return {x: [getattr(self, x).tobytes()] for x in ("ids", "ptr", "cols", "v")}
+    def fields(self) -> dict[str, bytes]:
+        return {x: getattr(self, x).tobytes() for x in ("ids", "ptr", "cols", "v")}
 
     def product(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
         """W H at the stored cells, a factor at a time."""
@@ -105,13 +113,30 @@ class Rows:
             out += w[at, k] * h[self.cols, k]
         return out
 
+    def full(self, w: np.ndarray, h: np.ndarray) -> bool:
+        """Whether half of the cells or more are stored, so that products of whole blocks cost less, in time and in memory, than products at the stored cells."""
+        return 0 < len(w) * len(h) <= 2 * len(self.v) and bool(np.isfinite(w).all() and np.isfinite(h).all())
+
+    def ratios(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """V ./ (W H) as a whole block, zero where V is."""
+        out = np.zeros((len(w), len(h)))
+        out.ravel()[np.repeat(self.ids.astype(np.int64) * len(h), np.diff(self.ptr)) + self.cols] = self.v
+        none = out == 0
+        out /= w @ h.T
+        out[none] = 0
+        return out
+
     def for_h(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
         """W^T (V ./ (W H)), columns by K."""
+        if self.full(w, h):
+            return self.ratios(w, h).T @ w
         r, at = self.v / self.product(w, h), np.repeat(self.ids, np.diff(self.ptr))
         return np.stack([np.bincount(self.cols, r * w[at, k], len(h)) for k in range(w.shape[1])], axis=1)
 
     def for_w(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
         """(V ./ (W H)) H^T, rows by K."""
+        if self.full(w, h):
+            return self.ratios(w, h) @ h
         r, out = self.v / self.product(w, h), np.zeros_like(w)
         if len(r):
             for k in range(w.shape[1]):
@@ -129,13 +154,28 @@ CELLS = "rb long, cb long, s int, piece int, ids binary, ptr binary, cols binary
 
 @dataclass(frozen=True)
 class Tiles:
-    """table: CELLS, written in buckets of (rb, cb, s); index: rb, cb, s, nh and nw, which number the tiles of a block of columns and of rows from 0; most: the largest of these and one."""
+    """table: CELLS, written in buckets of (rb, cb, s); index: rb, cb, s, nh and nw, which number the tiles of a block of columns and of rows from 0; most: the largest of these and one.
+    tall: there is one block of columns, and one tile for each block of rows."""
 
     tiling: Tiling
     table: DataFrame
     index: DataFrame
     most_h: int
     most_w: int
+    tall: bool
+
+
+def frames(rows: Iterable[dict]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of some FRAME bytes, since a frame for each small row would cost far more than the row."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += 200 + sum(len(x) for x in r.values() if isinstance(x, bytes))
+        if size >= FRAME:
+            yield pd.DataFrame(held)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held)
 
 
 def bucketed(df: DataFrame, n: int, keys: list[str], order: list[str], what: str) -> DataFrame:
@@ -158,18 +198,19 @@ def spread(cells: DataFrame, tiling: Tiling, tile_cells: int) -> Tiles:
     hot = sizes.where("splits > 1").select("rb", "cb", "splits")
     s = F.pmod(F.xxhash64("r"), F.coalesce("splits", F.lit(1))).cast("int")
     own = placed.join(F.broadcast(hot), ["rb", "cb"], "left").select("rb", "cb", s.alias("s"), "r", "c", "v")
-    n = min(100_000, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // (4 * tile_cells)))
+    seen = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cells"), F.coalesce(F.sum("splits"), F.lit(0)).alias("tiles")).first()
+    n = min(100_000, max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), seen["tiles"]), seen["cells"] // BUCKET))
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         """Cells of a task by tile and row, cut where the tile changes and after PIECE cells."""
         tile, held, count, piece = None, [], 0, 0
 
-        def row() -> pd.DataFrame:
+        def row() -> dict:
             r, c, v = (np.concatenate(x) for x in zip(*held, strict=True))
-            return pd.DataFrame({"rb": [tile[0]], "cb": [tile[1]], "s": np.array([tile[2]], np.int32), "piece": np.array([piece], np.int32), **Rows.of(r, c, v).fields()})
+            return {"rb": tile[0], "cb": tile[1], "s": tile[2], "piece": piece, **Rows.of(r, c, v).fields()}
 
         for b in batches:
-            keys = b[TILE].to_numpy()
+            keys, cells = b[TILE].to_numpy(), [b[x].to_numpy() for x in "rcv"]
             edges = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(b)] if len(b) else [0]
             for a, z in zip(edges[:-1], edges[1:], strict=True):
                 now = tuple(keys[a].tolist())
@@ -177,18 +218,18 @@ def spread(cells: DataFrame, tiling: Tiling, tile_cells: int) -> Tiles:
                     yield row()
                     piece, held, count = piece + 1 if now == tile else 0, [], 0
                 tile = now
-                held.append(tuple(b[x].to_numpy()[a:z] for x in "rcv"))
+                held.append(tuple(x[a:z] for x in cells))
                 count += z - a
         if held:
             yield row()
 
-    dealt = own.repartition(n, *TILE).sortWithinPartitions(*TILE, "r", "c").mapInPandas(packed, CELLS)
+    dealt = own.repartition(n, *TILE).sortWithinPartitions(*TILE, "r", "c").mapInPandas(lambda batches: frames(packed(batches)), CELLS)
     table = bucketed(dealt, n, TILE, [*TILE, "piece"], "tiles")
     tiles = table.select(*TILE).distinct()
     number = lambda by, *order: (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).cast("bigint")
     index = checkpointed(tiles.select(*TILE, number("cb", "rb", "s").alias("nh"), number("rb", "cb", "s").alias("nw")))
-    most = index.agg(F.max("nh"), F.max("nw")).first()
-    return Tiles(tiling, table, index, (most[0] or 0) + 1, (most[1] or 0) + 1)
+    most = index.agg(F.max("nh"), F.max("nw"), F.count("*")).first()
+    return Tiles(tiling, table, index, (most[0] or 0) + 1, (most[1] or 0) + 1, tiling.col_blocks == 1 and (most[1] or 0) == 0 and most[2] == tiling.row_blocks)
 
 
 def met(t: Tiles, w: DataFrame, h: DataFrame, k: int) -> DataFrame:
@@ -204,11 +245,11 @@ def partial(joined: DataFrame, k: int, side: str) -> DataFrame:
     """(block, n, x, cells): of each tile its part of the numerators of H (side h), of W (side w), or the three dots (side d)."""
     block, order = {"h": ("cb", "nh"), "w": ("rb", "nw"), "d": ("cb", "nh")}[side]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         tile, x, cells, at = None, None, 0, None
 
-        def row() -> pd.DataFrame:
-            return pd.DataFrame({"block": [at[0]], "n": [at[1]], "x": [x.tobytes()], "cells": [cells]})
+        def row() -> dict:
+            return {"block": at[0], "n": at[1], "x": x.tobytes(), "cells": cells}
 
         for b in batches:
             for r in b.itertuples(index=False):
@@ -224,27 +265,66 @@ def partial(joined: DataFrame, k: int, side: str) -> DataFrame:
         if tile:
             yield row()
 
-    return joined.mapInPandas(run, "block long, n long, x binary, cells long")
+    return joined.mapInPandas(lambda batches: frames(run(batches)), "block long, n long, x binary, cells long")
+
+
+def passed(joined: DataFrame, k: int, update: bool, floor: bool, numerators: bool) -> DataFrame:
+    """(rb, w, acc, x, cells) of tall tiles in one pass over V: the block of W, with update the next one by H, its sums by factor, and, with numerators, x: H's numerators at the tile by that W, and
+    these sums behind them. floor: both factors are floored at the end of this iteration."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        held: list = []
+
+        def row() -> dict:
+            r = held[0]
+            pieces, w, h = [Rows.read(p.ids, p.ptr, p.cols, p.v) for p in held], np.frombuffer(r.w).reshape(-1, k), np.frombuffer(r.h).reshape(-1, k)
+            with np.errstate(all="ignore"):
+                if update:
+                    w = w * sum((a.for_w(w, h) for a in pieces[1:]), pieces[0].for_w(w, h)) / h.sum(axis=0)
+                    w = floored(w) if floor else w
+                h = floored(h) if floor else h
+                x = sum((a.for_h(w, h) for a in pieces[1:]), pieces[0].for_h(w, h)) if numerators else None
+            acc = w.sum(axis=0)
+            return {"rb": r.rb, "w": w.tobytes(), "acc": acc, "x": np.r_[x.ravel(), acc].tobytes() if numerators else None, "cells": sum(len(a.v) for a in pieces)}
+
+        for r in (r for b in batches for r in b.itertuples(index=False)):
+            if held and held[0].rb != r.rb:
+                yield row()
+                held.clear()
+            held.append(r)
+        if held:
+            yield row()
+
+    return joined.mapInPandas(lambda batches: frames(run(batches)), "rb long, w binary, acc array<double>, x binary, cells long")
+
 
+def floored(x: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(x) | (x < R_MIN), R_MIN, x)
 
-def ordered_sum(g: pd.DataFrame) -> np.ndarray | None:
-    """The sum of arrays (n, x) in order of n; none of none."""
+
+def ordered_sum(arrays: Iterable[bytes]) -> np.ndarray | None:
+    """The sum of arrays, first to last; none of none."""
     out = None
-    for x in g.sort_values("n")["x"]:
+    for x in arrays:
         out = np.frombuffer(x) if out is None else out + np.frombuffer(x)
     return out
 
 
+def listed(parts: DataFrame, *by: Column | str) -> DataFrame:
+    """by, and xs: the arrays of parts (n, x) in order of n."""
+    return parts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda p: p["x"]).alias("xs"))
+
+
 def in_order(parts: DataFrame, most: int, last: bool = True) -> DataFrame:
-    """(block, n, x): sums of arrays (block, n, x) in order of n, FAN_IN at a time, so that neither partitions nor arrival change a bit, and no task holds more than FAN_IN of
-    them: one of each block, or, not last, FAN_IN at most, which are still to be added up."""
+    """(block, n, x): sums of arrays (block, n, x) in order of n, FAN_IN at a time, so that neither partitions nor arrival change a bit, and no task adds up more than FAN_IN of
+    them at once: one of each block, or, not last, FAN_IN at most, which are still to be added up."""
 
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": g["block"].iloc[:1], "n": g["n"].iloc[:1] // FAN_IN, "x": [ordered_sum(g).tobytes()]})
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from frames({"block": r.block, "n": r.n, "x": ordered_sum(r.xs).tobytes()} for b in batches for r in b.itertuples(index=False))
 
     out = parts.select("block", "n", "x")
     while most > (1 if last else FAN_IN):
-        out = out.groupBy("block", F.expr(f"n div {FAN_IN}").alias("g")).applyInPandas(add, "block long, n long, x binary")
+        out = listed(out.withColumn("g", F.expr(f"n div {FAN_IN}")), "block", "g").withColumnRenamed("g", "n").mapInPandas(add, "block long, n long, x binary")
         most = -(-most // FAN_IN)
     return out
 
@@ -271,8 +351,9 @@ def matrix_of(blocks: DataFrame, k: int, key: str, value: str, out: str, size: i
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for block, x in zip(b[key], b[value], strict=True):
-                a = np.frombuffer(x).reshape(-1, k)
-                yield pd.DataFrame({out: block * size + np.repeat(np.arange(len(a)), k), "k": np.tile(np.arange(k, dtype=np.int32), len(a)), value: a.ravel()})
+            ends = np.cumsum([len(x) for x in b[value]]) // FRAME
+            for _, g in b.groupby(ends):  # some blocks at a time
+                at = np.concatenate([block * size + np.arange(len(x) // (8 * k)) for block, x in zip(g[key], g[value], strict=True)])
+                yield pd.DataFrame({out: np.repeat(at, k), "k": np.tile(np.arange(k, dtype=np.int32), len(at)), value: np.frombuffer(b"".join(g[value]))})
 
     return blocks.select(key, value).mapInPandas(run, f"{out} {kind}, k int, {value} double")

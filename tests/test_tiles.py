@@ -201,3 +201,43 @@ def test_exact_sums(spark):
     assert exact_sums(df.limit(0), [], {"s": "x"}).collect()[0]["s"] == 0
     two = exact_sums(df.where("g < 3"), [], {"a": "x", "b": "x"}).first()
     assert two["a"] == two["b"] == float(sum((Fraction(v) for g, v in rows if g < 3), Fraction(0)))
+
+
+def test_tall_tiles_take_one_pass(spark, tmp_path, monkeypatch):
+    """With one block of columns V is read once an iteration, and once before the first; results are those of one task, also by FAN_IN, in few buckets and after a break."""
+    v, passes = sparse(60, 5, 0.8), []
+    o = Options(2, 5, 2, 40, 3, memory=9_000, local_cells=0)
+    assert tiles.plan(60, 5, np.count_nonzero(v), 2, 9_000).row_blocks > 4
+    met = solver.met
+    monkeypatch.setattr(solver, "met", lambda *a: (passes.append(1), met(*a))[1])
+    a = factorize(matrix(spark, v), o)
+    assert len(passes) == 7 and a.steps["H"][:1] + a.steps["W"][:1] == [5, 5] and a.steps["H"][2] == a.steps["W"][2] == 5 * np.count_nonzero(v)
+    same(factorize(matrix(spark, v), o, local_cells=10**9), a, v.shape, 2)
+    monkeypatch.setattr(solver, "SENT", 0)
+    monkeypatch.setattr(tiles, "FAN_IN", 2)
+
+    def broken(test):
+        raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        factorize(matrix(spark, v), o, folder=f"file://{tmp_path}/run", on_test=broken)
+    same(a, factorize(matrix(spark, v), o, folder=f"file://{tmp_path}/run"), v.shape, 2)
+
+
+def test_small_tiles_need_no_more_buckets(spark):
+    v = sparse(300, 4, 0.9)
+    t = tiles.spread(matrix(spark, v).cells, tiles.Tiling(300, 4, 2, 4), 1)
+    assert t.index.count() >= 150 and t.table.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_many_tiles_where_one_would_do_for_the_memory():
+    t = tiles.plan(60_000, 83, 4_951_860, 3, 256_000_000)
+    assert t.row_blocks >= 16 and t.col_blocks == 1 and tiles.plan(360_000, 83, 29_711_160, 3, 256_000_000).row_blocks >= 64
+
+
+def test_whole_blocks_where_most_cells_are_stored():
+    v = sparse(30, 7, 0.9)
+    w, h = RNG.random((30, 3)) + 0.1, RNG.random((7, 3)) + 0.1
+    a = tiles.Rows.of(*np.nonzero(v), v[np.nonzero(v)])
+    assert a.full(w, h) and not a.full(w, np.where(h > 1, np.inf, h) + [np.inf, 0, 0])
+    assert np.allclose(a.for_h(w, h), solver.ratios(v, w, h).T @ w) and np.allclose(a.for_w(w, h), solver.ratios(v, w, h) @ h)

@@ -23,15 +23,32 @@ from .validate import validate
 
 #: Bytes of a range.
 RANGE = 16_000_000
+#: Small ranges are made wider until a file has no more than so many of them, or they are of RANGE bytes: a range costs some milliseconds, whatever its size.
+RANGES = 1_000
 #: Bytes read at a time past the end of a range.
 MORE = 1 << 16
 END = 10
 
 
+def width(size: int, piece: int) -> int:
+    """Bytes of a range: piece, or as many times that as leaves RANGES of them, but not beyond RANGE for that."""
+    return piece * max(1, min(-(-size // (piece * RANGES)), RANGE // piece))
+
+
+def tasks(spark: SparkSession, n: int, size: int) -> int:
+    """Tasks for n ranges: some for each core, more only where a task would get more than RANGE bytes."""
+    return max(1, min(n, 10_000, max(3 * spark.sparkContext.defaultParallelism, -(-size // RANGE))))
+
+
+def one_frame(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
+    if held := list(rows):  # the ranges of a task, a few numbers each
+        yield pd.DataFrame(held)
+
+
 def _counts(spark: SparkSession, path: str, size: int, piece: int, sep: int) -> DataFrame:
     """(id, row, col) of each range: at which row and entry its first byte stands."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         store, where = file_system(path)
         for b in batches:
             with store.open_input_file(where) as f:
@@ -39,10 +56,10 @@ def _counts(spark: SparkSession, path: str, size: int, piece: int, sep: int) ->
                     f.seek(r * piece)
                     x = np.frombuffer(f.read(min(piece, size - r * piece)), np.uint8)
                     ends = np.flatnonzero(x == END)
-                    yield pd.DataFrame({"id": [r], "ends": [len(ends)], "seps": [int((x[ends[-1] + 1 if len(ends) else 0 :] == sep).sum())]})
+                    yield {"id": r, "ends": len(ends), "seps": int((x[ends[-1] + 1 if len(ends) else 0 :] == sep).sum())}
 
     n = -(-size // piece)
-    seen = checkpointed(spark.range(0, n, 1, min(n, 10_000)).mapInPandas(run, "id long, ends long, seps long"))
+    seen = checkpointed(spark.range(0, n, 1, tasks(spark, n, size)).mapInPandas(lambda batches: one_frame(run(batches)), "id long, ends long, seps long"))
     before = Window.orderBy("id")
     rows = seen.withColumn("upto", F.sum("ends").over(before)).withColumn("run", F.sum((F.col("ends") > 0).cast("int")).over(before))
     # from one range with a line end to the next, delimiters go on from range to range
@@ -51,12 +68,12 @@ def _counts(spark: SparkSession, path: str, size: int, piece: int, sep: int) ->
 
 
 def entries(spark: SparkSession, path: str, sep: str = "\t", piece: int | None = None) -> DataFrame:
-    """(line, at, token) of every entry of a file: line and place from 0. CR LF and LF end lines alike. An empty file has none, and the end of the last line begins no other."""
-    piece = piece or RANGE
+    """(line, at, token) of every entry of a file: line and place from 0. CR LF and LF end lines alike. An empty file has none, and the end of the last line begins no other. piece: bytes of a range
+    at least (see width())."""
     store, where = file_system(path)
     with store.open_input_file(where) as f:
         size = f.size()
-    mark = ord(sep)
+    piece, mark = width(size, piece or RANGE), ord(sep)
     if not size:
         return spark.createDataFrame([], "line long, at long, token string")
 
@@ -94,7 +111,7 @@ def entries(spark: SparkSession, path: str, sep: str = "\t", piece: int | None =
 
     starts = _counts(spark, path, size, piece, mark)
     n = -(-size // piece)
-    return starts.repartition(min(n, 10_000), "id").mapInPandas(run, "line long, at long, token string")
+    return starts.repartition(tasks(spark, n, size), "id").mapInPandas(run, "line long, at long, token string")
 
 
 def read_wide(spark: SparkSession, path: str, numeric_headers: bool = False, numeric_labels: bool = False, piece: int | None = None, check: bool = True) -> Matrix:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partsloom import MatrixError
-from partsloom.sources import binary, compose, files, matrix_source, positional
+from partsloom.sources import binary, compose, files, matrix_source, positional, wide
 from partsloom.sources.text import read_text
 from partsloom.sources.wide import entries, read_wide
 from test_matrix import array, matrix, write
@@ -177,6 +177,19 @@ def test_wide_rows_over_many_ranges(spark, tmp_path):
     assert [r["label"] for r in b.row_tags.orderBy("i").collect()] == [f"r{i}" for i in range(4)] and b.col_tags.count() == 300
 
 
+def test_small_ranges_of_a_large_file_are_wider(spark, tmp_path, monkeypatch):
+    """As many ranges as RANGES in place of one for some bytes, in few tasks, with the same entries."""
+    v, out = some(40, 300), str(tmp_path / "wide.txt")
+    files.write_matrix(matrix(spark, v), out, "text")
+    size = os.path.getsize(out)
+    assert wide.width(size, 10**6) == 10**6 and wide.width(150_000_000, 200) == 150_000 and wide.width(10**12, 200) == wide.RANGE
+    want = sorted(map(tuple, entries(spark, out, "\t", 10**6).collect()))
+    for most in (1, 7, 500):
+        monkeypatch.setattr(wide, "RANGES", most)
+        got = entries(spark, out, "\t", 8)
+        assert sorted(map(tuple, got.collect())) == want and got.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("text", ["1\t2\n\n3\t4\n", "1\t2\n3\t4\n" + "\n" * 16, "1\t2\n3\t-4\n", "1\t2\n3\t1d\n", "1\t2\n3\n", "1\t2\n3\t4\t5\n", "0\t0\n3\t4\n", ""])
 def test_wide_errors(spark, tmp_path, text):
     with pytest.raises(MatrixError):

@@ -281,7 +281,7 @@ def read_warc(files: DataFrame, content: bool = True, strict: bool = True) -> Da
         for path in (p for b in batches for p in b["path"]):
             store, where = file_system(path)
             rows, held = [], 0
-            with store.open_input_stream(where) as f:
+            with store.open_input_stream(where, compression=None) as f:
                 try:
                     for r, at, fault in records(f, content, strict):
                         h = r.headers if r else {}

@@ -320,7 +320,7 @@ def _write(rows: DataFrame, folder: str, date: str, file_bytes: int) -> DataFram
             for r in b.itertuples(index=False):
                 if out is None:  # each try of a task names its files anew, and only a task that ends well tells their names
                     name, count, size = f"{root}/{part:06d}-{len(done):05d}-{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = store.open_output_stream(name)
+                    out = store.open_output_stream(name, compression=None)  # by its name Arrow would put all members into one more
                     x = warcinfo(urn(name), name.rsplit("/", 1)[-1], date)
                     out.write(x)
                     size = len(x)

@@ -68,6 +68,17 @@ def test_empty_table_and_small_files(spark, tmp_path):
     assert files.count() > 3 and digest_rows(back) == expected(rows)
 
 
+def test_files_hold_the_members_themselves(spark, tmp_path):
+    """Each record can be cut out of the file at its offset and unpacked by itself, without this reader."""
+    rows = [(i, f"http://h/{i}", f"page {i // 2} " * 40) for i in range(20)]
+    files, back = there_and_back(spark, spark.createDataFrame(rows, SCHEMA), tmp_path / "plain")
+    raw = {r["path"]: open(r["path"].removeprefix("file://"), "rb").read() for r in files.collect()}
+    assert {r["path"]: r["n_bytes"] for r in files.collect()} == {k: len(x) for k, x in raw.items()}
+    cut = [(r, gzip.decompress(raw[r["path"]][r["offset"] : r["offset"] + r["size"]])) for r in back.collect()]
+    assert len(cut) == len(rows) + len(raw) and all(x.startswith(b"WARC/1.1\r\nWARC-Type: " + r["record_type"].encode()) and x.endswith(b"\r\n\r\n") for r, x in cut)
+    assert sorted(r["row_id"] for r, x in cut if r["record_type"] == "response" and x.endswith(rows[r["row_id"]][2].encode() + b"\r\n\r\n")) == list(range(1, 20, 2))
+
+
 def test_a_third_of_all_rows_alike(spark, tmp_path, monkeypatch):
     """The hot digest is sent to all tasks, so its rows stay dealt out, and results stay the same."""
     rows = [(i, f"u{i}", "hot" if i % 3 == 0 else f"cold {i // 2}") for i in range(3000)]

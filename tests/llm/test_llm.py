@@ -191,6 +191,20 @@ def test_removal_edges(spark):
     assert rows(substring_dedup.remove_repeats(empty_docs(spark))) == []
 
 
+def test_op2_at_its_own_length(spark, tmp_path):
+    """Passages of over 50 words that documents share go if they have 400 bytes and stay if not; one that a single document repeats goes; n_bytes is the whole text's in any case."""
+    rng = np.random.default_rng(12)  # texts of the other tests stay as they are
+    words = lambda n: " ".join(rng.choice(WORDS, n))
+    wide, narrow, own = words(110), " ".join(rng.choice([*"abcdefgh"], 60)), words(110)
+    texts = [f"{words(30)} {wide} {words(20)}", f"{words(5)} {wide}", f"{words(40)} {narrow} {words(9)}", f"{narrow} é {words(200)}", f"{own} {words(7)} {own}", words(300), "a" * 400, "b" * 401, None]
+    frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    out = substring_dedup.op2_substring_dedup(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    data = [(t or "").encode() for t in texts]
+    want = [(i, len(t), len(t) - len(left), spans, hashlib.sha256(left).hexdigest()) for i, (t, (left, spans)) in enumerate(zip(data, naive_removal(data, 400), strict=True))]
+    assert sorted(map(tuple, rows(out))) == want and [i for i, _, n, *_ in want if n] == [0, 1, 4, 7]
+
+
 # 3: mixing
 
 
